@@ -108,11 +108,20 @@ def blocks(starts: np.ndarray, most: int):
         first = last
 
 
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in data."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in data; no word crosses an offset."""
     inner = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return runs_of(inner, offsets)
+
+
+def runs_of(inner: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches where inner holds; none crosses an offset."""
+    start, last = inner.copy(), inner.copy()
+    start[1:] &= ~inner[:-1]
+    last[:-1] &= ~inner[1:]
+    begin, end = offsets[:-1][offsets[:-1] < len(inner)], offsets[1:][offsets[1:] > 0] - 1
+    start[begin], last[end] = inner[begin], inner[end]
+    return np.flatnonzero(start), np.flatnonzero(last) + 1
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
