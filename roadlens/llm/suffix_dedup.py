@@ -305,3 +305,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffixes = texts.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(_send_suffixes(n_buckets, length, seed), MESSAGE)
     answers = suffixes.groupBy("bucket").applyInArrow(_answer_suffixes(length, seed), REPLY)
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(n_buckets, length, seed), RESULT)
+
+
+def query(spark, sf_dir):
+    found = remove_repeats(C.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
