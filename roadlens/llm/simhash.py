@@ -129,6 +129,8 @@ def _masks(plan: list[tuple[list[int], int]]) -> list[int]:
 
 def _stars(tile: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, least member joined to it) in each tile; rows of one tile stand together. All pairs of a tile are compared, few are returned."""
+    if not len(tile):
+        return fp, fp
     firsts = C.starts_of_runs(tile)
     end = np.repeat(np.append(firsts[1:], len(tile)), np.diff(np.append(firsts, len(tile))))
     row, pairs = np.arange(len(tile)), []

@@ -116,7 +116,7 @@ class Runs:
 def _group(bucket: np.ndarray):
     """(bucket, first, end) of each stretch of equal buckets."""
     firsts = C.starts_of_runs(bucket)
-    for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(bucket)).tolist(), strict=True):
+    for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(bucket)], strict=False):
         yield int(bucket[a]), a, b
 
 
