@@ -1,0 +1 @@
+"""Nothing streams: no operator of the survey has a stream source, watermark or state over time."""
