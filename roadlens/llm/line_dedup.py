@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import common as C
 
+SPREAD = 16
 TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -32,7 +33,10 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stream = Window.partitionBy("h1", "h2", "slot").orderBy(F.col("id").desc(), "text_hash", "pos")
     firsts = lines.select("h1", "h2", "id", F.lag("id").over(stream).alias("before")).filter(~F.col("id").eqNullSafe(F.col("before")))
     keys = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= min_docs)
-    doomed = lines.select("h1", "h2", "id", "text_hash", "pos").join(keys, ["h1", "h2"]).filter(F.col("id") < F.col("last"))
+    # the rows of a very common key meet it in SPREAD places
+    keys = keys.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    placed = lines.select("h1", "h2", "id", "text_hash", "pos", F.pmod(F.xxhash64("text_hash"), F.lit(SPREAD)).cast("int").alias("place"))
+    doomed = placed.join(keys, ["h1", "h2", "place"]).filter(F.col("id") < F.col("last"))
     drops = doomed.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
     first = F.array_except("pos", F.transform("pos", lambda x: x + 1))
     last = F.array_except("pos", F.transform("pos", lambda x: x - 1))
