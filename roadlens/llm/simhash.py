@@ -74,7 +74,7 @@ def plan_parts(sample: np.ndarray, n: int, most: int = 3) -> list[tuple[list[int
     best: tuple[float, list] = (math.inf, [])
     for m in range(1, most + 2):
         parts = _correlated(tied, m)
-        cost = [[_cost(bits, part, t, n) for t in range(most + 1)] for part in parts]
+        cost = [[_cost(bits, part, t, max(n, 1)) for t in range(most + 1)] for part in parts]
         # left[s]: least cost of thresholds that sum to s, when -1 is counted as 0, 0 as 1, ...
         left: dict[int, tuple[float, list]] = {0: (0.0, [])}
         for i, part in enumerate(parts):
