@@ -3,9 +3,10 @@
 Training counts words and bigrams: tasks count their own blocks and shuffle, for each bucket of hashes, one
 message of different hashes with counts. A bucket adds them up, keeps its words' counts as a table and writes
 its bigrams into its segment of a log-frequency Bloom filter: a bigram of count c goes in once for each level
-from 1 to 1 + log_b(c). The segments are broadcast; together they never exceed `max_bits`, whatever the input:
-beyond about max_bits / bits_per_entry entries false hits rise, but no bigram is left out. Scoring probes level
-after level until one is missing; the level reached stands for the mean count of the bigrams at it.
+from 1 to 1 + log_b(c). Segments grow with their entries, so the rate of false hits is the same at every size.
+Scoring probes level after level until one is missing; the level reached stands for the mean count of the bigrams
+at it. The segments are broadcast as long as they have at most `max_bits` together; a larger filter stays where it
+is, and each chunk of documents asks each segment for its different bigrams. Both ways give the same scores.
 
     P(w | h) = (count(h w) + mu * P(w)) / (count(h) + mu),   P(w) = (c + 0.5) / (N + 0.5 * (V + 1))
 
@@ -31,8 +32,8 @@ BLOCK = 4 << 20
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 COUNTS = "bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
 MERGED = "bucket int, words binary, word_counts binary, bits binary, n_bits long, n_hashes int, tokens long, types long, level_sums binary"
-ASKED = "chunk int, bucket int, words binary"
-TOLD = "chunk int, bucket int, counts binary"
+ASKED = "chunk int, bucket int, words binary, grams binary"
+TOLD = "chunk int, bucket int, counts binary, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 LEVELS = 96
 
@@ -112,13 +113,13 @@ def _seeds(h: np.ndarray, n_level: int) -> tuple[np.ndarray, np.ndarray]:
     return seed, C.mix(seed ^ np.uint64(0xA5A5A5A5)) | np.uint64(1)
 
 
-def _merge(base: float, bits_per_entry: float, most_bits: int):
+def _merge(base: float, bits_per_entry: float):
     def merge(key, table):
         numbers = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
         words, word_counts = _sum(numbers("words", np.uint64), numbers("word_counts", np.uint32))
         grams, gram_counts = _sum([C.widen(x.as_py(), 6) for x in table.column("grams")], numbers("gram_counts", np.uint32))
         levels = level(gram_counts, base)
-        n_bits = int(min(most_bits, max(64, bits_per_entry * levels.sum())) + 7) // 8 * 8
+        n_bits = int(max(64, bits_per_entry * levels.sum()) + 7) // 8 * 8
         n_hashes = int(np.clip(round(0.693 * n_bits / max(1, levels.sum())), 1, 6))
         on = np.zeros(n_bits, bool)
         for n in range(1, int(levels.max(initial=0)) + 1):
@@ -132,33 +133,37 @@ def _merge(base: float, bits_per_entry: float, most_bits: int):
     return merge
 
 
+def probe(bits: bytes, n_bits: int, n_hashes: int, grams: np.ndarray) -> np.ndarray:
+    """The level of each bigram in its segment, 0 if it isn't there: levels are probed until one is missing."""
+    table, h = np.frombuffer(bits, np.uint8), grams & np.uint64((1 << 48) - 1)
+    reached, left, n = np.zeros(len(h), np.uint8), np.arange(len(h)), 1
+    while len(left) and n < LEVELS:
+        seed, step = _seeds(h[left], n)
+        for _ in range(n_hashes):
+            place = seed % np.uint64(n_bits)
+            hit = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, step = left[hit], step[hit]
+            seed = seed[hit] + step
+        reached[left] = n
+        n += 1
+    return reached
+
+
 class Filter:
-    """The broadcast log-frequency Bloom filter: segments by bucket, and the mean count at each level."""
+    """The mean count at each level of the log-frequency Bloom filter and, where it is broadcast, its segments by bucket."""
 
-    def __init__(self, rows: list, n_buckets: int):
-        self.n_buckets = n_buckets
-        self.segments = {r["bucket"]: (bytes(r["bits"]), r["n_bits"], r["n_hashes"]) for r in rows}
+    def __init__(self, rows: list, n_buckets: int, is_broadcast: bool = True):
+        self.n_buckets, self.is_broadcast = n_buckets, is_broadcast
+        self.segments = {r["bucket"]: (bytes(r["bits"]), r["n_bits"], r["n_hashes"]) for r in rows} if is_broadcast else {}
         n, total = sum((np.frombuffer(r["level_sums"]).reshape(2, -1) for r in rows), np.zeros((2, LEVELS)))
         self.means = np.where(n > 0, total / np.maximum(n, 1), 0.0)
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Estimated count of each bigram, 0 if it isn't there: levels are probed until one is missing."""
+        """Estimated count of each bigram, 0 if it isn't there."""
         out = np.zeros(len(grams))
         for b, at in _by_bucket(grams, self.n_buckets):
             if b in self.segments and len(at):
-                bits, n_bits, n_hashes = self.segments[b]
-                bits, h = np.frombuffer(bits, np.uint8), grams[at] & np.uint64((1 << 48) - 1)
-                reached, left, n = np.zeros(len(at), np.int64), np.arange(len(at)), 1
-                while len(left) and n < LEVELS:
-                    seed, step = _seeds(h[left], n)
-                    for _ in range(n_hashes):
-                        place = seed % np.uint64(n_bits)
-                        hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        left, step = left[hit], step[hit]
-                        seed = seed[hit] + step
-                    reached[left] = n
-                    n += 1
-                out[at] = self.means[reached]
+                out[at] = self.means[probe(*self.segments[b], grams[at])]
         return out
 
 
@@ -169,23 +174,28 @@ def _chunk_words(table) -> tuple:
     return token, begin, words, of
 
 
-def _ask(n_buckets: int):
+def _ask(n_buckets: int, with_grams: bool):
     def ask(key, table):
-        words = _chunk_words(table)[2]
-        return pa.Table.from_pylist([{"chunk": key[0].as_py(), "bucket": b, "words": words[x].tobytes()} for b, x in _by_bucket(words, n_buckets) if len(x)], _schema(ASKED))
+        token, begin, words, _ = _chunk_words(table)
+        grams = np.unique(bigrams(token, begin)) if with_grams else words[:0]
+        parts = zip(_by_bucket(words, n_buckets), _by_bucket(grams, n_buckets), strict=True)
+        return pa.Table.from_pylist([{"chunk": key[0].as_py(), "bucket": b, "words": words[x].tobytes(), "grams": C.narrow(grams[y], 6)} for (b, x), (_, y) in parts if len(x) or len(y)], _schema(ASKED))
 
     return ask
 
 
 def _tell(key, asked, known):
-    words = np.frombuffer(known.column("words")[0].as_py(), np.uint64) if known.num_rows else np.zeros(0, np.uint64)
-    counts = np.append(np.frombuffer(known.column("word_counts")[0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64), 0)
+    """Counts of the words and levels of the bigrams that chunks ask of a bucket; known has its row, or none."""
+    mine = known.to_pylist()[0] if known.num_rows else None
+    words = np.frombuffer(mine["words"], np.uint64) if mine else np.zeros(0, np.uint64)
+    counts = np.append(np.frombuffer(mine["word_counts"], np.int64) if mine else np.zeros(0, np.int64), 0)
     rows = []
     for r in asked.to_pylist():
-        want = np.frombuffer(r["words"], np.uint64)
+        want, grams = np.frombuffer(r["words"], np.uint64), C.widen(r["grams"], 6)
         at = np.searchsorted(words, want)
         found = (at < len(words)) & (np.append(words, 0)[at] == want)
-        rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": np.where(found, counts[at], 0).astype(np.int64).tobytes()})
+        levels = probe(mine["bits"], mine["n_bits"], mine["n_hashes"], grams) if mine and len(grams) else np.zeros(len(grams), np.uint8)
+        rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": np.where(found, counts[at], 0).astype(np.int64).tobytes(), "levels": levels.tobytes()})
     return pa.Table.from_pylist(rows, _schema(TOLD))
 
 
@@ -195,10 +205,10 @@ def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int,
             return _schema(SCORES).empty_table()
         token, begin, words, of = _chunk_words(table)
         counts = np.zeros(len(words), np.int64)
-        replies = {r["bucket"]: r["counts"] for r in told.to_pylist()}
+        replies = {r["bucket"]: r for r in told.to_pylist()}
         for b, x in _by_bucket(words, n_buckets):
             if len(x):
-                counts[x] = np.frombuffer(replies[b], np.int64)
+                counts[x] = np.frombuffer(replies[b]["counts"], np.int64)
         c = counts[of]
         p = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
         before = np.empty_like(c)
@@ -206,7 +216,16 @@ def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int,
         before[begin[:-1]] = n_texts
         together = np.zeros(len(c))
         seen = (c > 0) & (before > 0)  # a bigram is no more frequent than its words
-        together[seen] = np.minimum(held.value.counts(bigrams(token, begin)[seen]), np.minimum(c, before)[seen])
+        if held.value.is_broadcast:
+            estimates = held.value.counts(bigrams(token, begin)[seen])
+        else:
+            grams, of_gram = np.unique(bigrams(token, begin), return_inverse=True)
+            levels = np.zeros(len(grams), np.uint8)
+            for b, x in _by_bucket(grams, n_buckets):
+                if len(x):
+                    levels[x] = np.frombuffer(replies[b]["levels"], np.uint8)
+            estimates = held.value.means[levels[of_gram]][seen]
+        together[seen] = np.minimum(estimates, np.minimum(c, before)[seen])
         model = np.log10((together + mu * p) / (before + mu))
         per_text = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  each text has at least its end
         return pa.table(
@@ -217,20 +236,23 @@ def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int,
     return score
 
 
-def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, bits_per_entry: float = 8.0, max_bits: int = 1 << 31, mu: float = 500.0) -> DataFrame:
+def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, bits_per_entry: float = 8.0, max_bits: int = 1 << 30, mu: float = 500.0) -> DataFrame:
     """Scores of all texts under a model of those for which the Column train holds (columns: see SCORES)."""
     spark = docs.sparkSession
     n_buckets, n_chunks = C.partitions(spark), C.chunk_count(spark)
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     counted = t.filter("train").select("text").mapInArrow(_count(n_buckets), COUNTS)
-    merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry, max_bits // n_buckets), MERGED))
-    n_tokens, n_types = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types")).first())
-    # bounded by max_bits in all
-    held = spark.sparkContext.broadcast(Filter(merged.select("bucket", "bits", "n_bits", "n_hashes", "level_sums").collect(), n_buckets))
+    merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry), MERGED))
+    n_tokens, n_types, n_bits = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types"), F.sum("n_bits")).first())
+    small = n_bits <= max_bits
+    segment = ["bits", "n_bits", "n_hashes"]
+    # one row for each bucket: sums of LEVELS levels, and segments of max_bits in all
+    held = spark.sparkContext.broadcast(Filter(merged.select("bucket", "level_sums", *(segment if small else [])).collect(), n_buckets, small))
     n_texts = t.filter("train").count()
     chunked = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")).repartition(n_buckets, "chunk")
-    asked = chunked.groupBy("chunk").applyInArrow(_ask(n_buckets), ASKED)
-    told = asked.groupBy("bucket").cogroup(merged.select("bucket", "words", "word_counts").groupBy("bucket")).applyInArrow(_tell, TOLD)
+    asked = chunked.groupBy("chunk").applyInArrow(_ask(n_buckets, not small), ASKED)
+    known = merged.select("bucket", "words", "word_counts", *([] if small else segment))
+    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_tell, TOLD)
     scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk"))
     return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, held), SCORES)
 

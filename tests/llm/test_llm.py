@@ -254,7 +254,10 @@ def test_lm_score(spark, docs):
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(r.score < 0 for r in got)
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
+    rounded = lambda rows: bag((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9)) for r in rows)
+    assert rounded(lm_score.score_texts(docs, train, max_bits=0).collect()) == rounded(got)  # a filter too large to broadcast
     assert lm_score.score_texts(empty(spark), train).count() == 0
+    assert lm_score.score_texts(docs, F.lit(False), max_bits=-1).filter("train_tokens = 0 and n_known = 0").count() == len(ROWS)
 
 
 def test_bloom_filter_keeps_counts():
@@ -263,7 +266,7 @@ def test_bloom_filter_keeps_counts():
     import pyarrow as pa
 
     table = pa.table({"words": [b""], "word_counts": [b""], "grams": [lm_score.C.narrow(grams, 6)], "gram_counts": [counts.astype(np.uint32).tobytes()]})
-    row = lm_score._merge(1.5, 12.0, 1 << 30)((pa.scalar(0),), table).to_pylist()[0]
+    row = lm_score._merge(1.5, 12.0)((pa.scalar(0),), table).to_pylist()[0]
     held = lm_score.Filter([row], 1)
     assert (np.abs(np.log(held.counts(grams) / counts)) < 0.75).mean() > 0.97
     assert (held.counts(grams + np.uint64(12345)) == 0).mean() > 0.97
