@@ -141,6 +141,67 @@ pref AS (
   UNION ALL SELECT user_id, 'ibcf', 'Via ' || ((user_id + k) % 40), ((user_id + 3 * k) % 10) / 1e1 FROM trip, unnest([1, 3]) AS t(k) WHERE user_id % 3 = 2),
 fac AS (SELECT request_id, strategy, via, round(greatest(1e-1, least(5e0, {_FACTOR})), 3) AS factor FROM pref)
 """
+
+
+def _list(scores: str, name: str, strategy: str, n: int) -> str:
+    """The first n recommendations of each request, unrounded."""
+    return f"({RATED}{_topn(scores, name, strategy)} SELECT user_id, strategy, rank, via, score FROM ranked WHERE rank <= {n})"
+
+
+LISTS = f"WITH ub AS {_list(UBCF, 'us', 'ubcf', 5)}, ib AS {_list(IBCF, 'isc', 'ibcf', 5)}\n"
+HEAT = f"""
+lim AS (SELECT * FROM hot ORDER BY segment_id, segment_seq, lat, lon LIMIT 2000),
+asked AS (SELECT user_id AS request_id, dayname(fecha) AS want_day, CAST(user_id % 24 AS DOUBLE) AS h FROM points WHERE user_id % 50 = 0 AND indice_coord = 0),
+matched AS (
+  SELECT request_id, weight FROM lim JOIN asked ON day = want_day AND (bucket = '' OR bucket = {HOUR.format(h='h')})
+    AND coalesce(CASE WHEN start_hour <= end_hour THEN h BETWEEN start_hour AND end_hour ELSE h >= start_hour OR h <= end_hour END, true)),
+shown AS (
+  SELECT * FROM matched
+  UNION ALL SELECT request_id, weight FROM lim, asked WHERE request_id NOT IN (SELECT request_id FROM matched))
+SELECT request_id, count(*) AS points, round(sum(weight), 6) AS weight FROM shown GROUP BY request_id
+"""
+
+
+def _norm(c: str) -> str:
+    return f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 5e-1 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
+
+
+ROAD_PROFILES = f"""
+attr AS (
+  SELECT via, avg(velocidad_kmh) AS s, avg(distancia_km * (1 + row_no % 8)) AS k, avg(duracion_hrs) AS t FROM points
+  WHERE lat BETWEEN -36.95e0 AND -36.7e0 AND lon BETWEEN -73.2e0 AND -72.9e0 GROUP BY via),
+filled AS (SELECT via, coalesce(s, median(s) OVER (), 0) AS s, coalesce(k, median(k) OVER (), 0) AS k, coalesce(t, median(t) OVER (), 0) AS t FROM attr),
+rated AS (SELECT replace(via, 'Via', 'via') AS via, ({_norm('s')}) * 4 + 1 AS s, (1 - ({_norm('k')})) * 4 + 1 AS k, (1 - ({_norm('t')})) * 4 + 1 AS t FROM filled)
+SELECT 'speed_hunter' AS user_id, via, round(s, 2) AS rating FROM rated
+UNION ALL SELECT 'short_trip', via, round(k, 2) FROM rated
+UNION ALL SELECT 'time_saver', via, round(t, 2) FROM rated
+UNION ALL SELECT 'balanced_traveler', via, round((s + k + t) / 3, 2) FROM rated
+"""
+INCIDENT_PROFILES = """,
+speeds AS (SELECT replace(via, 'Via', 'via') AS via, avg(coalesce(velocidad_kmh, 4e1)) AS v FROM points GROUP BY 1),
+joined AS (
+  SELECT via, v, coalesce(danger_score, 0) AS d, coalesce(accident_count, 0) AS n FROM speeds LEFT JOIN danger USING (via)),
+marks AS (
+  SELECT min(v) AS v0, max(v) AS v1, min(d) AS d0, max(d) AS d1, quantile_cont(d, 0.33) AS p33, quantile_cont(d, 0.66) AS p66, quantile_cont(v, 0.5) AS p50 FROM joined),
+scaled AS (SELECT *, (v - v0) / (v1 - v0 + 1e-2) AS fast, (d - d0) / (d1 - d0 + 1e-2) AS risk FROM joined, marks),
+rated AS (
+  SELECT 'safety_focused' AS user_id, via, 5 - risk * 3.5e0 AS r FROM scaled
+  UNION ALL SELECT 'risk_taker', via, 2.5e0 + fast * 2.5e0 + (1 - risk) * 5e-1 FROM scaled
+  UNION ALL SELECT 'moderate_risk', via, 3 + CASE WHEN d BETWEEN p33 AND p66 THEN 1e0 ELSE 0e0 END - CASE WHEN d > p66 THEN 8e-1 ELSE 0e0 END + CASE WHEN v > p50 THEN 5e-1 ELSE 0e0 END FROM scaled
+  UNION ALL SELECT 'usuario_demo', via, 3 + CASE WHEN fast > 6e-1 AND risk < 3e-1 THEN 1.5e0 ELSE 0e0 END - CASE WHEN fast < 4e-1 OR risk > 7e-1 THEN 1e0 ELSE 0e0 END - CASE WHEN n > 0 THEN 8e-1 ELSE 0e0 END FROM scaled)
+SELECT user_id, via, round(least(5e0, greatest(1e0, r)), 4) AS rating FROM rated
+"""
+ROAD_ROWS = """,
+edge AS (
+  SELECT *, (event_id % 9) * 1e1 / 1000 AS km, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 90 AS DOUBLE) ELSE 4e1 END AS speed,
+    CASE WHEN event_id % 2 = 0 THEN [0e0, 1e-4, 2e-4] WHEN event_id % 4 = 1 THEN [5e-4, 0e0] ELSE [0e0, 5e-4] END AS shift FROM points),
+flat AS (SELECT *, unnest(shift) AS dx, generate_subscripts(shift, 1) - 1 AS k FROM edge)
+SELECT k AS row_idx, 'osm::Region' AS archivo_origen, round(CASE WHEN km > 0 THEN km / greatest(speed, 5e0) ELSE 0e0 END, 6) AS duracion_hrs, round(km, 6) AS distancia_km, speed AS velocidad_kmh,
+  '00:00' AS hora_inicio, '00:00' AS hora_fin, CASE WHEN event_id % 4 = 0 THEN comuna ELSE 'Region' END AS comuna,
+  CASE WHEN event_id % 5 <> 0 THEN replace(via, 'Via', 'via') ELSE 'Sin nombre' END AS via, k AS indice_coord, round(lon + dx, 6) AS lon, round(lat, 6) AS lat, 0e0 AS alt,
+  '2025-01-01' AS fecha, 'osm::' || CASE WHEN event_id % 3 <> 0 THEN 'w' || user_id ELSE event_id || '-' || (event_id + 1) END || '::' || event_id || '->' || (event_id + 1) AS segment_id,
+  event_id % 4 <> 0 AS oneway FROM flat
+"""
 _PREPARED = "segment_id, indice_coord, lat, lon, duracion_hrs, distancia_km, velocidad_kmh, hora_inicio, hora_fin, comuna, via, oneway, tipo_evento, penalty_factor, hora_num, src_rank, row_no, franja_horaria, dia_semana, duracion_categoria, velocidad_categoria, segment_seq"
 _SAME = "lower(dia_semana) = 'monday'"
 _HOUR = f"franja_horaria = '{S.HOUR_BUCKETS[1][2]}'"
@@ -180,6 +241,15 @@ FROM (SELECT * FROM jit WHERE src_rank = 2) a LEFT JOIN (SELECT * FROM jit WHERE
     "ubcf_topn": RATED + _topn(UBCF, "us", "ubcf") + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating FROM ranked WHERE rank <= 5",
     "ibcf_topn": RATED + _topn(IBCF, "isc", "ibcf") + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating FROM ranked WHERE rank <= 5",
     "popular_fallback": RATED + f"{REQUESTS}, {POPULAR} SELECT user_id, 'popular' AS strategy, rank, via, score FROM (SELECT req.user_id, pop.via, round(pop.rating, 6) AS score, row_number() OVER (PARTITION BY req.user_id ORDER BY pop.rating DESC, pop.via) AS rank FROM req JOIN pop ON pop.via <> req.known) WHERE rank <= 5",
+    "heat_filter": HOT.rstrip() + "," + HEAT,
+    "playground": LISTS + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating, asked FROM (SELECT *, 'ubcf' AS asked FROM ub WHERE CAST(substr(user_id, 2) AS INT) % 3 <> 0 UNION ALL SELECT *, 'ibcf' FROM ib)",
+    "strategy_overlap": LISTS + """SELECT user_id, count(*) FILTER (WHERE ub.rank IS NOT NULL AND ib.rank IS NOT NULL) AS common, count(*) FILTER (WHERE ib.rank IS NULL) AS only_a, count(*) FILTER (WHERE ub.rank IS NULL) AS only_b,
+  round(avg(ub.score), 6) AS mean_a, round(avg(ib.score), 6) AS mean_b, round(abs(avg(ub.score) - avg(ib.score)), 6) AS mean_difference FROM ub FULL JOIN ib USING (user_id, via) GROUP BY user_id""",
+    "preference_extremes": f"WITH ub AS {_list(UBCF, 'us', 'ubcf', 200)}, " + """placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, strategy ORDER BY score DESC, via) AS top, count(*) OVER (PARTITION BY user_id, strategy) AS n FROM ub)
+SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating, round(score / 5, 3) AS weight FROM placed WHERE top <= 20 OR top > n - 20""",
+    "road_profiles": BASE + ROAD_PROFILES,
+    "incident_profiles": DANGER.rstrip() + INCIDENT_PROFILES,
+    "road_rows": _plain(BASE).rstrip() + ROAD_ROWS,
     "ratings_by_user": _plain(RATED) + "SELECT user_id, round(avg(rating), 6) AS mean, round(stddev_samp(rating), 6) AS std, count(*) AS count FROM r GROUP BY user_id",
     "rating_counts": _plain(RATED) + "SELECT count(DISTINCT user_id) AS users, count(DISTINCT via) AS vias, count(*) AS ratings FROM r",
     "via_danger": DANGER + "SELECT via, incident_count, round(avg_duration, 6) AS avg_duration, accident_count, congestion_count, round(danger_score, 6) AS danger_score FROM danger",

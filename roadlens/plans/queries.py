@@ -210,7 +210,8 @@ def danger_report(spark, d):
 
 @query
 def road_profiles(spark, d):
-    return ratings.road_profiles(D.roads(spark, d), "concepcion")
+    lengths = D.roads(spark, d).withColumn("distancia_km", F.col("distancia_km") * (1 + F.col("row_no") % 8))  # equal means would leave only rounding errors to scale
+    return ratings.road_profiles(lengths, "concepcion")
 
 
 @query
