@@ -7,6 +7,11 @@ in some part. Parts and thresholds come from dynamic programming on estimated co
 candidates verified), from a sample of at most SAMPLE fingerprints, the ones with the least hash; every
 fingerprint is probed. A part with threshold t is probed by its bits with each choice of t of them left out.
 
+With `most_both` each text has a second fingerprint, of the same hashes mixed anew. It isn't probed; a link then also
+needs at most most_both different bits in both together. So `most` can be raised to what near copies with a given
+shingle similarity need, and texts that agree in 64 bits by chance stay apart. Shingle sets of Jaccard
+similarity J have a cosine of 2J / (1 + J) and differ in about a share of arccos(cosine) / pi of the bits: 0.15 for 0.8.
+
 Only different fingerprints are probed, so exact copies never meet. A signature's group is verified in tiles of
 at most TILE fingerprints on either side, in numpy, and a tile returns stars (member, least member joined to it) rather than
 all pairs. Components are found by alternating large-star and small-star steps on the links; each step is a
@@ -34,36 +39,42 @@ SAMPLE = 20_000
 TILE = 1024
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a text's shingles, repeats included."""
+def fingerprint(text: bytes | None, words: int = 3, n: int = 1) -> np.ndarray:
+    """n unsigned 64-bit fingerprints of a text's shingles, repeats included; those after the first are of the hashes mixed anew."""
     import xxhash
 
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.zeros(n, np.uint64)
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.append(0, ends[:-1] + 1)
-    n = max(1, len(found) - words + 1)
-    last = ends[-n:].tolist() if len(found) >= words else [len(joined)]
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last, strict=True)], ">u8")
+    m = max(1, len(found) - words + 1)
+    last = ends[-m:].tolist() if len(found) >= words else [len(joined)]
+    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), last, strict=True)], np.uint64)
+    return np.array([_majority(C.mix(h + np.uint64(i)) if i else h) for i in range(n)], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
     votes = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 14):
-        votes += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n).view(">u8")[0])
+    for i in range(0, len(h), 1 << 14):
+        votes += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), with `second` also the second one, fp2."""
     import pyarrow as pa
 
+    names = ["fp", "fp2"] if second else ["fp"]
+
     def of(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_py(), words, len(names)) for x in batch.column(1)], np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f) for f in fps.view(np.int64).T]], ["doc_id", *names])
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return t.mapInArrow(of, "doc_id long, fp long")
+    return t.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def plan_parts(sample: np.ndarray, n: int, most: int = 3) -> list[tuple[list[int], int]]:
@@ -105,7 +116,9 @@ def _correlated(tied: np.ndarray, m: int) -> list[list[int]]:
 
 
 def _cost(bits: np.ndarray, part: list[int], t: int, n: int) -> float:
-    """Signatures written for a part, with pairs that share one; a pair costs a hundredth of a row."""
+    """Signatures written for a part, with pairs that share one; a pair costs a 250th of a row."""
+    if t >= len(part):  # no bits left to compare
+        return math.inf
     signatures = math.comb(len(part), t)
     rows = bits[:, part]
     # chance that two fingerprints agree in the part: from blocks of 8 bits, as a sample has few agreements in all of them
@@ -114,7 +127,7 @@ def _cost(bits: np.ndarray, part: list[int], t: int, n: int) -> float:
         _, c = np.unique(np.packbits(rows[:, i : i + 8], axis=1), return_counts=True)
         agree *= float((c / c.sum()) @ (c / c.sum()))
     rare = float(np.mean(np.minimum(rows.mean(0), 1 - rows.mean(0)) * 2).clip(0.05, 1))
-    return n * signatures + 0.01 * n * n / 2 * agree * signatures * (1 + rare) ** t
+    return n * signatures + 0.004 * n * n / 2 * agree * signatures * (1 + rare) ** t
 
 
 def _masks(plan: list[tuple[list[int], int]]) -> list[int]:
@@ -127,7 +140,7 @@ def _masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return [x - (1 << BITS) if x >= 1 << (BITS - 1) else x for x in out]
 
 
-def _stars(tile: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _stars(tile: np.ndarray, fp: np.ndarray, most: int, fp2: np.ndarray | None = None, most_both: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(member, least member joined to it) in each tile; rows of one tile stand together. All pairs of a tile are compared, few are returned."""
     if not len(tile):
         return fp, fp
@@ -136,7 +149,11 @@ def _stars(tile: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.
     row, pairs = np.arange(len(tile)), []
     step = 1
     while len(row := row[row + step < end[row]]):
-        near = row[np.bitwise_count(fp[row] ^ fp[row + step]) <= most]
+        bits = np.bitwise_count(fp[row] ^ fp[row + step])
+        is_near = bits <= most
+        if fp2 is not None:
+            is_near &= bits + np.bitwise_count(fp2[row] ^ fp2[row + step]) <= most_both
+        near = row[is_near]
         pairs.append((near, near + step))
         step += 1
     if not pairs:
@@ -154,43 +171,44 @@ def _stars(tile: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return fp[joined], fp[label[joined]]
 
 
-def _verify(most: int):
+def _verify(most: int, most_both: int | None):
     import pyarrow as pa
 
-    def found(tile, fp):
-        a, b = _stars(tile, fp.view(np.uint64), most)
+    def found(tile, fp, fp2=None):
+        a, b = _stars(tile, fp.view(np.uint64), most, fp2 if fp2 is None else fp2.view(np.uint64), most_both)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     def verify(batches):
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last tile, which may go on in the next batch: two slices at most
+        kept = [np.zeros(0, np.int64)] * (2 if most_both is None else 3)  # the last tile, which may go on in the next batch: two slices at most
         for batch in batches:
-            tile, fp = (np.concatenate([k, np.asarray(c)]) for k, c in zip(kept, batch.columns, strict=True))
+            tile, *fps = (np.concatenate([k, np.asarray(c)]) for k, c in zip(kept, batch.columns, strict=True))
             if len(tile):
                 last = int(np.flatnonzero(np.append(True, tile != tile[-1]))[-1])
-                yield found(tile[:last], fp[:last])
-                kept = (tile[last:], fp[last:])
+                yield found(tile[:last], *[f[:last] for f in fps])
+                kept = [tile[last:], *[f[last:] for f in fps]]
         yield found(*kept)
 
     return verify
 
 
-def links(fps: DataFrame, most: int = 3) -> DataFrame:
-    """a, b: pairs of different fingerprints (column fp, no repeats) whose components are those of all links."""
+def links(fps: DataFrame, most: int = 3, most_both: int | None = None) -> DataFrame:
+    """a, b: pairs of different fingerprints (column fp, no repeats; with most_both also fp2) whose components are those of all links."""
+    columns = ["fp"] if most_both is None else ["fp", "fp2"]
     p = C.partitions(fps.sparkSession)
     n = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     masks = _masks(plan_parts(sample, n, most))
-    probes = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(probes).alias("probe")).select("fp", F.xxhash64("probe.mask", "probe.part").alias("group"))
+    rows = fps.select(*columns, F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "mask"))
+    rows = rows.select(*columns, F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"))
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = rows.join(sizes, "group")
     # a group of more than TILE is cut into slices, and each pair of slices is a tile
     slices = F.ceil(F.col("n") / TILE)
     own = F.pmod(F.xxhash64(F.lit(1), "fp"), slices)
     others = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
-    rows = rows.select("fp", "group", F.explode(others).alias("tile"))
-    rows = rows.select(F.xxhash64("group", "tile.x", "tile.y").alias("tile"), "fp").repartition(p, "tile").sortWithinPartitions("tile", "fp")
-    found = rows.mapInArrow(_verify(most), "a long, b long")
+    rows = rows.select(*columns, "group", F.explode(others).alias("tile"))
+    rows = rows.select(F.xxhash64("group", "tile.x", "tile.y").alias("tile"), *columns).repartition(p, "tile").sortWithinPartitions("tile", "fp")
+    found = rows.mapInArrow(_verify(most, most_both), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -215,11 +233,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach)."""
-    t = C.materialise(fingerprints(docs, id_col, text_col, words))
-    classes = C.materialise(t.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = connected(links(classes.select("fp"), most))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, most_both: int | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach). Texts with equal first fingerprints are one class, with the least second one."""
+    t = C.materialise(fingerprints(docs, id_col, text_col, words, most_both is not None))
+    seconds = [] if most_both is None else [F.min("fp2").alias("fp2")]
+    classes = C.materialise(t.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *seconds))
+    roots = connected(links(classes.drop("least_id"), most, most_both))
     near = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = near.groupBy("root").agg(F.min("least_id").alias("component_id"))
     near = near.join(ids, "root").select("fp", "component_id")

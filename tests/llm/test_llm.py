@@ -226,6 +226,33 @@ def test_simhash(spark, docs):
     assert simhash.near_groups(empty(spark)).count() == 0
 
 
+def test_simhash_near_copies(spark):
+    rng = random.Random(3)
+    sentence = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for group in range(40):
+        words = sentence(rng.randint(300, 600))
+        for copy in range(4):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), copy):  # at most 3 words, so 15 shingles: similar by 0.9 at least
+                changed[at] = "changed"
+            rows.append((group * 4 + copy, " ".join(changed)))
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (1002, "one"), (1003, "two words")]
+    fps = {i: simhash.fingerprint((t or "").encode(), 5, 2).tolist() for i, t in rows if i is not None}
+    least = {i: i for i in fps}
+    for _ in range(5):
+        for a, b in ((a, b) for a in fps for b in fps):
+            first, second = ((x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
+            if first <= 10 and first + second <= 22:
+                least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, words=5, most=10, most_both=22).collect()}
+    assert got.pop(None) == 0 and got == least
+    assert sum(got[i] == i // 4 * 4 for i in range(160)) >= 155 and all(got[i] // 4 == i // 4 for i in range(160))
+    kept = [r.doc_id for r in simhash.drop_near(df, words=5, most=10, most_both=22).collect()]
+    assert len(kept) == len(set(got.values())) + 1
+
+
 def test_simhash_links_dense_groups(spark):
     rng = random.Random(1)
     fps = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}) for c in [rng.getrandbits(64) for _ in range(4)] for _ in range(200)}
@@ -236,11 +263,12 @@ def test_simhash_links_dense_groups(spark):
 
 def test_pigeonhole_plan_covers_every_link():
     rng = np.random.default_rng(2)
-    for n in (100, 10**5, 10**8):
-        plan = simhash.plan_parts(rng.integers(0, 1 << 63, 500, dtype=np.uint64), n)
+    for n, most in ((100, 3), (10**5, 3), (10**8, 3), (10**4, 10), (10**7, 10)):
+        plan = simhash.plan_parts(rng.integers(0, 1 << 63, 500, dtype=np.uint64), n, most)
         masks = [m & (1 << 64) - 1 for m in simhash._masks(plan)]
+        assert masks
         for _ in range(500):
-            bits = sum({1 << int(b) for b in rng.integers(0, 64, 3)})
+            bits = sum({1 << int(b) for b in rng.integers(0, 64, most)})
             assert any(bits & m == 0 for m in masks)
 
 
