@@ -11,6 +11,8 @@ With `most_both` each text has a second fingerprint, of the same hashes mixed an
 needs at most most_both different bits in both together. So `most` can be raised to what near copies with a given
 shingle similarity need, and texts that agree in 64 bits by chance stay apart. Shingle sets of Jaccard
 similarity J have a cosine of 2J / (1 + J) and differ in about a share of arccos(cosine) / pi of the bits: 0.15 for 0.8.
+With `planned` the thresholds are made for that many fingerprints at least, so that up to there the work for each is the
+same at every size.
 
 Only different fingerprints are probed, so exact copies never meet. A signature's group is verified in tiles of
 at most TILE fingerprints on either side, in numpy, and a tile returns stars (member, least member joined to it) rather than
@@ -191,13 +193,13 @@ def _verify(most: int, most_both: int | None):
     return verify
 
 
-def links(fps: DataFrame, most: int = 3, most_both: int | None = None) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, most_both: int | None = None, planned: int = 1) -> DataFrame:
     """a, b: pairs of different fingerprints (column fp, no repeats; with most_both also fp2) whose components are those of all links."""
     columns = ["fp"] if most_both is None else ["fp", "fp2"]
     p = C.partitions(fps.sparkSession)
     n = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    masks = _masks(plan_parts(sample, n, most))
+    masks = _masks(plan_parts(sample, max(n, planned), most))
     rows = fps.select(*columns, F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "mask"))
     rows = rows.select(*columns, F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"))
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -233,12 +235,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, most_both: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, most_both: int | None = None, planned: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach). Texts with equal first fingerprints are one class, with the least second one."""
     t = C.materialise(fingerprints(docs, id_col, text_col, words, most_both is not None))
     seconds = [] if most_both is None else [F.min("fp2").alias("fp2")]
     classes = C.materialise(t.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *seconds))
-    roots = connected(links(classes.drop("least_id"), most, most_both))
+    roots = connected(links(classes.drop("least_id"), most, most_both, planned))
     near = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = near.groupBy("root").agg(F.min("least_id").alias("component_id"))
     near = near.join(ids, "root").select("fp", "component_id")
