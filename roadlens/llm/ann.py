@@ -4,11 +4,13 @@ Vectors are scaled to length one, so the inner product is the cosine. A product
 for each subspace (four bits) is trained with a score-aware loss: the residual's part along the vector, which
 changes its inner products with near queries, weighs eta times as much as the rest. Codebooks come from a
 sample of at most SAMPLE vectors (those with the least hash of their id); every vector is coded, by the same loss.
-A search scans the codes with one table for each two subspaces, takes the best `rerank` of each block of
-candidates, and ranks those by exact cosines of the original vectors, in double precision.
+A search scans the codes with one table for each two subspaces, takes at least the best `rerank` of each block of
+candidates, and ranks those by exact cosines of the original vectors, in double precision. As queries have length one,
+a scan score is off by at most the length of the row's residual, which is stored with its code: every other candidate
+whose score plus that bound reaches the k-th exact cosine is ranked exactly too, so no row of the true k is lost.
 
 The query set meets all rows in blocks of both, so a task holds one block of queries and one of candidates;
-blocks are cut by hash of the id, so equal vectors are spread evenly. Ties in the scan go to the smaller id.
+blocks are cut by hash of the id, so equal vectors are spread evenly. Ties of exact cosines go to the smaller id.
 
 Defined results: vectors null, empty, zero or holding null or non-finite components take no part, nor do rows
 without id or of another length than most. A query has fewer than k rows if there are fewer candidates. Repeated
@@ -29,6 +31,7 @@ from roadlens.llm import common as C
 SAMPLE = 8192
 CENTRES = 16
 CANDIDATES, QUERIES = 8192, 2048
+PIECE = 1024
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -70,6 +73,12 @@ class Quantiser:
                 code[:, m], inner[:, m] = best, new
         return code.astype(np.uint8)
 
+    def errors(self, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """By how much a scan score of a query of length one can be off: the residual's length and the rounding of the tables' sums."""
+        left = self._split(vectors) - self.books[np.arange(self.parts), codes]
+        length = np.sqrt((left * left).sum((1, 2)))
+        return length + (self.parts + 4) * 2.0**-23 * (1 + length)
+
     def _update(self, x: np.ndarray, code: np.ndarray) -> None:
         """The best centres for given codes, one subspace after the other (least squares of the same loss)."""
         rows = np.arange(self.parts)
@@ -108,9 +117,11 @@ def _encode(quantiser):
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                codes = packed(quantiser.value.codes(_matrix(batch.column(1))))
-                blob = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob], ["vec_id", "vec", "code"])
+                vectors = _matrix(batch.column(1))
+                codes = quantiser.value.codes(vectors)
+                blob = pa.array([c.tobytes() for c in packed(codes)], pa.binary())
+                errors = pa.array(quantiser.value.errors(vectors, codes))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), blob, errors], ["vec_id", "vec", "code", "error"])
 
     return encode
 
@@ -121,11 +132,12 @@ def _search(quantiser, k: int, rerank: int):
     def search(key, candidates, queries):
         if not candidates.num_rows or not queries.num_rows:
             return schema.empty_table()
-        candidates = candidates.sort_by("vec_id")  # ties of the scan: the smaller ids
         ids, vectors = np.asarray(candidates.column("vec_id")), _matrix(candidates.column("vec")).astype(np.float64)
         codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T
-        lengths = np.sqrt((vectors * vectors).sum(1))
+        lengths, errors = np.sqrt((vectors * vectors).sum(1)), np.asarray(candidates.column("error"))
         query_ids, wanted = np.asarray(queries.column("query_id")), _matrix(queries.column("query")).astype(np.float64)
+        exact = lambda rows, q: (vectors[rows] * q).sum(1) / (lengths[rows] * np.sqrt((q * q).sum()))
+        kth = lambda score: np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
         out = []
         for first in range(0, len(query_ids), 128):
             tables = quantiser.value.tables(wanted[first : first + 128])
@@ -134,13 +146,20 @@ def _search(quantiser, k: int, rerank: int):
                 scan += table[:, code]
             for i, near in enumerate(scan, first):
                 near[ids == query_ids[i]] = -np.inf
-                n = min(rerank, len(near))
-                least = np.partition(near, len(near) - n)[len(near) - n]
-                best = np.flatnonzero(near > least)
-                best = np.append(best, np.flatnonzero(near == least)[: n - len(best)])
+                n = min(max(rerank, k), len(near))
+                best = np.argpartition(near, len(near) - n)[len(near) - n :]
                 best = best[np.isfinite(near[best])]
-                q = wanted[i]
-                score = (vectors[best] * q).sum(1) / (lengths[best] * np.sqrt((q * q).sum()))
+                score, reach = exact(best, wanted[i]), near + errors
+                reach[best] = -np.inf
+                least = kth(score)
+                rest = np.flatnonzero((reach >= least) & np.isfinite(reach))
+                rest = rest[np.argsort(-reach[rest])]
+                for at in range(0, len(rest), PIECE):
+                    piece = rest[at : at + PIECE]
+                    if reach[piece[0]] < least:
+                        break
+                    best, score = np.append(best, piece), np.append(score, exact(piece, wanted[i]))
+                    least = kth(score)
                 top = np.lexsort((ids[best], -score))[:k]
                 out.append((np.full(len(top), query_ids[i]), ids[best][top], score[top]))
         return pa.table([np.concatenate([x[j] for x in out]) for j in range(3)], schema=schema)
@@ -164,7 +183,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kind = dict(t.dtypes)["vec"]
-    coded = t.select("vec_id", "vec").mapInArrow(_encode(quantiser), f"vec_id long, vec {kind}, code binary")
+    coded = t.select("vec_id", "vec").mapInArrow(_encode(quantiser), f"vec_id long, vec {kind}, code binary, error double")
     coded = coded.withColumn("block", block(n_blocks)).select("*", others(n_queries).alias("queries"))
     queries = t.filter("is_query").withColumn("queries", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(n_queries)).cast("int"))
     queries = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), "queries", others(n_blocks).alias("block"))

@@ -323,6 +323,24 @@ def test_nearest(spark, n):
     assert hits / total >= 0.9 and set(found) == set(range(0, n, 50))
 
 
+def test_nearest_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 64))
+    x[:2700] = x[0] + rng.normal(size=(2700, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(8000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    place = np.argsort(ids)
+    assert len(got) == 160
+    for q, rows in got.items():
+        cos = x[place] @ x[place[q]]
+        cos[q] = -2
+        assert [r[1] for r in sorted(rows)] == np.argsort(-cos)[:5].tolist()
+
+
 def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
