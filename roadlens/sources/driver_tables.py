@@ -72,8 +72,9 @@ def recommendation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for every twentieth street: a few blocks from its third point; odd hundreds go to a street that doesn't cross."""
-    p = points(spark, sf_dir).filter("user_id % 20 = 0 and indice_coord = 2").select("user_id", "lat", "lon")
+    """One request for each street: a few blocks from its third point, or its last one; far streets don't cross, so their targets can't be reached."""
+    third = F.max_by(F.struct("lat", "lon"), "indice_coord").alias("p")
+    p = points(spark, sf_dir).filter("indice_coord <= 2").groupBy("user_id").agg(third).select("user_id", "p.lat", "p.lon")
     own = F.col("user_id") % 3
     weight = lambda k: F.struct(F.concat(F.lit("Via "), (F.col("user_id") + k) % 40).alias("via"), ((F.col("user_id") + 3 * k) % 10 / 10.0).alias("weight"))
     return p.select(

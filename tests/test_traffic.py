@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
 from roadlens.operators import cf, events, graph, hotspots, paths, ratings, routes, spatial
-from roadlens.sources import tables
+from roadlens.sources import driver_tables, tables
 
 R8 = [("alice", "Ruta Azul", 5.0), ("alice", "Ruta Roja", 2.0), ("bob", "Ruta Azul", 4.0), ("bob", "Ruta Verde", 5.0), ("carla", "Ruta Roja", 4.0), ("carla", "Ruta Verde", 1.0), ("david", "Ruta Roja", 5.0), ("david", "Ruta Verde", 4.0)]
 
@@ -159,6 +159,14 @@ def test_paths_equal_dijkstra(spark):
         assert all(math.isclose(y[2] - x[2], weights[x[1], y[1]]) for x, y in zip(path, path[1:], strict=False))
 
 
+def test_every_street_has_a_route_request(spark, tmp_path):
+    rows = [(n, 1 + n % 7 if n < 70 else 8, "view", 1.0) for n in range(71)]  # street 8 has one point
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    point = {(r.user_id, r.indice_coord): (r.lat, r.lon) for r in driver_tables.points(spark, str(tmp_path)).collect()}
+    got = {r.request_id: tuple(r.origin) for r in driver_tables.route_requests(spark, str(tmp_path)).collect()}
+    assert got == {u: point[u, 0 if u == 8 else 2] for u in range(1, 9)}
+
+
 def test_delay_and_distance(spark):
     step = spark.createDataFrame(
         [(1, "baseline", 0, "a", "s", 0, -36.0, -73.0, "Referencia", 0.0, "Wednesday", S.HOUR_BUCKETS[1][2]), (1, "baseline", 1, "b", "s", 1, -36.01, -73.01, "Congestión", 0.5, "Wednesday", S.HOUR_BUCKETS[1][2])],
