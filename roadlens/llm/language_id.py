@@ -10,7 +10,8 @@ Bayesian fusion of four kinds of evidence:
 
 The last three come from grouped sums of the text posteriors over all rows; each row's own share is
 taken out of its host's and domain's sums. The text model is trained on a bounded sample of labelled rows (about SAMPLE rows,
-those with the least hash), by grouped counts. Models are bounded: LANGUAGES languages and BUCKETS trigrams.
+those with the least hash, and of each label about EACH rows or all it has), by grouped counts. Models are bounded: the
+LANGUAGES labels with the most rows, and BUCKETS trigrams; further labels are never answered.
 
 A row is rejected if its text has no trigram with a letter, or if no language reaches `min_confidence`.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from roadlens.llm import common as C
 
 SAMPLE = 4000
+EACH = 60
 LANGUAGES = 64
 BUCKETS = 1 << 15
 BLOCK = 2 << 20
@@ -50,10 +52,13 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(rows: DataFrame, text_col: str, label_col: str, key_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probabilities (language, bucket) of their trigrams, from about `sample` labelled rows."""
+    """Languages and the log probabilities (language, bucket) of their trigrams, from about `sample` labelled rows; a rare label has about EACH or all of its rows."""
     rows = rows.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    keep = F.pmod(F.xxhash64(F.lit(4), key_col), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
+    labels = C.materialise(rows.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    n = labels.agg(F.sum("n")).first()[0] or 0
+    most = labels.orderBy(F.col("n").desc(), "label").limit(LANGUAGES).collect()
+    limits = [F.lit(x) for r in most for x in (r["label"], int((1 << 30) * min(1.0, max(sample / n, EACH / r["n"]))))]
+    keep = F.pmod(F.xxhash64(F.lit(4), key_col), F.lit(1 << 30)) < F.try_element_at(F.create_map(*limits), F.col(label_col)) if limits else F.lit(False)
 
     def count(batches):
         for batch in batches:
@@ -139,9 +144,12 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[st
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Web pages: page_id, url, html. The text is the markup without scripts, styles and tags."""
+    """Web pages: page_id, url, html. The text is the markup without scripts, styles, tags and all that stands in nav, header or footer; where that has no trigram, with these three."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer)\b[^>]*>.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    without = lambda names: F.regexp_replace(F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    main = without("script|style|nav|header|footer")
+    told = F.decode(F.encode(main, "UTF-8"), "ISO-8859-1").rlike(r"(?s)[A-Za-z\x80-\xFF]..")  # a character for each byte, as trigrams are of bytes
+    text = F.when(told, main).otherwise(without("script|style"))
     declared = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     host = F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#:@]+)", 1))
     host = F.when(host != "", host)

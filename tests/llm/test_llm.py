@@ -356,6 +356,14 @@ def test_language_id(spark):
     assert language_id.accepted_documents(docs.limit(0)).count() == 0
 
 
+def test_language_id_of_rare_labels_and_headers(spark):
+    rows = [(i, "the and of that is the with and the", "en") for i in range(3000)] + [(9000 + i, "zwölf größere Übungen", "qq") for i in range(3)]
+    languages, table = model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", sample=30)
+    assert languages == ["en", "qq"] and table.shape[0] == 2
+    pages = spark.createDataFrame([(1, "http://a.b/", "<html><header>the and of that is the</header></html>"), (2, "http://c.d/", "<html><script>the and of</script>12</html>"), (3, "http://e.f/", "<nav>the and of that</nav><p>zwölf größere Übungen</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in language_id.identify_pages(pages, model).collect()} == {1: "en", 2: None, 3: "qq"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
