@@ -98,6 +98,15 @@ def test_fallbacks_and_strategies(spark):
     assert got == [("bob", "ibcf", "popular", 1, "Ruta Azul"), ("bob", "ibcf", "popular", 2, "Ruta Verde"), ("carla", "ibcf", "ibcf", 1, "Ruta Azul"), ("carla", "ubcf", "ubcf", 1, "Ruta Azul"), ("nobody", "ubcf", "popular", 1, "Ruta Roja"), ("nobody", "ubcf", "popular", 2, "Ruta Verde")]
 
 
+def test_vias_are_ranked_in_ranges(spark):
+    rows = [("u", f"v{n}", float(n * 37 % 50)) for n in range(300)]
+    r = spark.createDataFrame(rows, "user_id string, via string, rating double")
+    q = spark.createDataFrame([("nobody", [], 200)], "user_id string, known array<string>, limit int")
+    t = cf.popular(r, q)
+    assert [x.via for x in sorted(t.collect(), key=lambda x: x["rank"])] == [v for _, v, _ in sorted(rows, key=lambda x: (-x[2], x[1]))][:200]
+    assert "SinglePartition" not in t._jdf.queryExecution().toString()
+
+
 def test_ratings_source(spark, tmp_path):
     (tmp_path / "user_ratings.csv").write_text("user_id,via,rating\n1,ruta azul,4\n2,nan,3\n3,x,bad\n")
     assert [tuple(r)[:3] for r in tables.profile_ratings(spark, str(tmp_path), "regional").collect()] == [("1", "Ruta Azul", 4.0)]
