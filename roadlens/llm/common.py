@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.sources import shared
+
 #: The bytes that separate words in every contract of this subpackage: [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Chunks of documents for each shuffle partition, at every size: a chunk's arrays stay small in a Python worker.
+CHUNKS = 4
+#: Rows of an Arrow batch, at most: texts of several KB each must not fill a Python worker.
+BATCH_ROWS = 1000
 
 #: Odd 64-bit multiplier of the polynomial fingerprints, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
+materialise, discard = shared.saved, shared.discard
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -28,30 +34,56 @@ def partitions(spark: SparkSession) -> int:
 
 
 def chunk_count(spark: SparkSession) -> int:
-    """Chunks of documents: a few for each partition, so that hashing evens them out, without many tiny messages between chunks and buckets."""
-    p = partitions(spark)
-    return max(p, min(4 * p, 256))
+    return CHUNKS * partitions(spark)
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests, one machine), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="roadlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it is computed once, and lost executors don't cost its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/roadlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+M64 = (1 << 64) - 1
+
+
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each span of bytes: mixed from all of its bytes up to 16 of them, beyond that the halves of its XXH3-128."""
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 24, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    lo = eight[starts] & _LOW[np.minimum(size, 8)]
+    hi = eight[starts + 8] & _LOW[np.clip(size - 8, 0, 8)]
+    n = size.astype(np.uint64)
+    name = mix(lo ^ mix(hi + n * np.uint64(BASE)))
+    check = mix(hi ^ mix(lo + n * np.uint64(BASE_INVERSE)))
+    for i in np.flatnonzero(size > 16).tolist():
+        both = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
+        name[i], check[i] = both & M64, both >> 64
+    return name, check
+
+
+def sorted_groups(name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal (name, check) next to each other, by name, and where each group of it begins."""
+    order = np.argsort(name, kind="stable")
+    a, b = name[order], check[order]
+    if (b[1:] != b[:-1])[a[1:] == a[:-1]].any():  # different spans with one name
+        order = np.lexsort((check, name))
+        a, b = name[order], check[order]
+    return order, starts_of_runs(a, b)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,24 +1,31 @@
 """Language-model scores (operator 5).
 
 Training counts words and bigrams: tasks count their own blocks and shuffle, for each bucket of hashes, one
-message of different hashes with counts. A bucket adds them up, keeps its words' counts as a table and writes
+message of different names with counts. A bucket adds them up, keeps its words' counts as a table and writes
 its bigrams into its segment of a log-frequency Bloom filter: a bigram of count c goes in once for each level
 from 1 to 1 + log_b(c). Segments grow with their entries, so the rate of false hits is the same at every size.
 Scoring probes level after level until one is missing; the level reached stands for the mean count of the bigrams
-at it. The segments are broadcast as long as they have at most `max_bits` together; a larger filter stays where it
-is, and each chunk of documents asks each segment for its different bigrams. Both ways give the same scores.
+at it.
 
     P(w | h) = (count(h w) + mu * P(w)) / (count(h) + mu),   P(w) = (c + 0.5) / (N + 0.5 * (V + 1))
 
-The exact counts of words are never broadcast: each chunk of documents asks each bucket for the words it has.
+The filter follows the corpus, so it is never broadcast whole: its segments are broadcast in groups of about
+`group_bytes`, one group after the other. Each chunk of documents writes down its different bigrams once, filed by
+group, and each group's pass answers its own share of these questions, without a shuffle. The exact counts of words are
+never broadcast: each chunk asks each bucket for the words it has. All sizes take this one way.
+
+Words are named by 128 bits (see common.names), bigrams by 32 bits within their bucket, next to which the filter's
+own false hits are many; a bucket's share of the bigrams doesn't grow, as there are as many buckets as partitions.
 
 Defined results: null text counts as empty (one token, the end). A null doc_id counts as empty text for the split, and so is
 a training row. With no training tokens at all P(w) = 1. Repeated rows count as often as they stand there.
-Extra columns are ignored. Empty tables give empty results.
+Extra columns are ignored. Empty tables give empty results. A very long text is read in one block of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -26,16 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm import common as C
+from roadlens.sources import shared
 
 BLOCK = 4 << 20
-#: Names of the end of a text and of what stands before its first word; words are named by fingerprints.
+GROUP_BYTES = 32 << 20
+#: Names of the end of a text and of what stands before its first word; the second name of both is 0.
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
-COUNTS = "bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
-MERGED = "bucket int, words binary, word_counts binary, bits binary, n_bits long, n_hashes int, tokens long, types long, level_sums binary"
-ASKED = "chunk int, bucket int, words binary, grams binary"
+COUNTS = "bucket int, words binary, checks binary, word_counts binary, grams binary, gram_counts binary"
+MERGED = "bucket int, words binary, checks binary, word_counts binary, bits binary, n_bits long, n_hashes int, tokens long, types long, level_sums binary"
+ASKED = "chunk int, bucket int, part int, words binary, checks binary, grams binary"
 TOLD = "chunk int, bucket int, counts binary, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 LEVELS = 96
+GRAM_BITS = np.uint64((1 << 32) - 1)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -43,17 +53,16 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's words and then its end, and where each text's tokens begin (one more for the end)."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both names of all tokens, each text's words and then its end, and where each text's tokens begin (one more for the end)."""
     low = C.lowered(data)
     starts, ends = C.words_of(low, offsets)
-    prefix = C.prefix_hashes(low)
-    words = C.span_hash(prefix, starts, ends) ^ (ends - starts).astype(np.uint64)
     doc = np.searchsorted(offsets, starts, "right") - 1
     begin = np.searchsorted(doc, np.arange(len(offsets))) + np.arange(len(offsets))
-    out = np.full(len(words) + len(offsets) - 1, END, np.uint64)
-    out[np.arange(len(words)) + doc] = words
-    return out, begin
+    name, check = np.full(len(starts) + len(offsets) - 1, END, np.uint64), np.zeros(len(starts) + len(offsets) - 1, np.uint64)
+    at = np.arange(len(starts)) + doc
+    name[at], check[at] = C.names(low, starts, ends)
+    return name, check, begin
 
 
 def bigrams(token: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -68,38 +77,41 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _by_bucket(h: np.ndarray, n: int):
-    """(bucket, places of its hashes in h), for sorted h."""
+    """(bucket, places of its names in h)."""
     bucket = _bucket(h, n)
     at = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[at], np.arange(n + 1))
     return ((b, at[ends[b] : ends[b + 1]]) for b in range(n))
 
 
+def _grams(h: np.ndarray) -> bytes:
+    return C.narrow(h, 4)
+
+
 def _count(n_buckets: int):
     def count(batches):
         for batch in batches:
             data, offsets = C.text_arrays(batch.column(0))
             for i, j in C.blocks(offsets, BLOCK):
-                token, begin = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                words, word_counts = np.unique(token, return_counts=True)
+                token, check, begin = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                order, firsts = C.sorted_groups(token, check)
+                words, checks, word_counts = token[order[firsts]], check[order[firsts]], np.diff(np.append(firsts, len(order)))
                 grams, gram_counts = np.unique(bigrams(token, begin), return_counts=True)
                 rows = []
                 for (b, x), (_, y) in zip(_by_bucket(words, n_buckets), _by_bucket(grams, n_buckets), strict=True):
                     if len(x) or len(y):
-                        rows.append({"bucket": b, "words": words[x].tobytes(), "word_counts": word_counts[x].astype(np.uint32).tobytes(), "grams": C.narrow(grams[y], 6), "gram_counts": gram_counts[y].astype(np.uint32).tobytes()})
+                        rows.append({"bucket": b, "words": words[x].tobytes(), "checks": checks[x].tobytes(), "word_counts": word_counts[x].astype(np.uint32).tobytes(), "grams": _grams(grams[y]), "gram_counts": gram_counts[y].astype(np.uint32).tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, _schema(COUNTS))
 
     return count
 
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys_, counts_ = np.concatenate(keys), np.concatenate(counts)
-    at = np.argsort(keys_)
-    keys_, counts_ = keys_[at], counts_[at].astype(np.int64)
-    firsts = C.starts_of_runs(keys_)
-    return keys_[firsts], np.add.reduceat(counts_, firsts) if len(firsts) else counts_
+def _sum(keys: np.ndarray, checks: np.ndarray | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys with their checks and sums of counts."""
+    checks = np.zeros(len(keys), np.uint64) if checks is None else checks
+    order, firsts = C.sorted_groups(keys, checks)
+    sums = np.add.reduceat(counts[order].astype(np.int64), firsts) if len(firsts) else np.zeros(0, np.int64)
+    return keys[order[firsts]], checks[order[firsts]], sums
 
 
 def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -115,9 +127,10 @@ def _seeds(h: np.ndarray, n_level: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(base: float, bits_per_entry: float):
     def merge(key, table):
-        numbers = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-        words, word_counts = _sum(numbers("words", np.uint64), numbers("word_counts", np.uint32))
-        grams, gram_counts = _sum([C.widen(x.as_py(), 6) for x in table.column("grams")], numbers("gram_counts", np.uint32))
+        joined = lambda name: b"".join(x.as_py() for x in table.column(name))
+        numbers = lambda name, kind: np.frombuffer(joined(name), kind)
+        words, checks, word_counts = _sum(numbers("words", np.uint64), numbers("checks", np.uint64), numbers("word_counts", np.uint32))
+        grams, _, gram_counts = _sum(C.widen(joined("grams"), 4), None, numbers("gram_counts", np.uint32))
         levels = level(gram_counts, base)
         n_bits = int(max(64, bits_per_entry * levels.sum()) + 7) // 8 * 8
         n_hashes = int(np.clip(round(0.693 * n_bits / max(1, levels.sum())), 1, 6))
@@ -127,7 +140,7 @@ def _merge(base: float, bits_per_entry: float):
             for k in range(n_hashes):
                 on[(seed + np.uint64(k) * step) % np.uint64(n_bits)] = True
         sums = np.stack([np.bincount(levels, minlength=LEVELS), np.bincount(levels, gram_counts, minlength=LEVELS)])
-        row = {"bucket": key[0].as_py(), "words": words.tobytes(), "word_counts": word_counts.tobytes(), "bits": np.packbits(on, bitorder="little").tobytes(), "n_bits": n_bits, "n_hashes": n_hashes, "tokens": int(word_counts.sum()), "types": len(words), "level_sums": sums.astype(float).tobytes()}
+        row = {"bucket": key[0].as_py(), "words": words.tobytes(), "checks": checks.tobytes(), "word_counts": word_counts.tobytes(), "bits": np.packbits(on, bitorder="little").tobytes(), "n_bits": n_bits, "n_hashes": n_hashes, "tokens": int(word_counts.sum()), "types": len(words), "level_sums": sums.astype(float).tobytes()}
         return pa.Table.from_pylist([row], _schema(MERGED))
 
     return merge
@@ -135,7 +148,7 @@ def _merge(base: float, bits_per_entry: float):
 
 def probe(bits: bytes, n_bits: int, n_hashes: int, grams: np.ndarray) -> np.ndarray:
     """The level of each bigram in its segment, 0 if it isn't there: levels are probed until one is missing."""
-    table, h = np.frombuffer(bits, np.uint8), grams & np.uint64((1 << 48) - 1)
+    table, h = np.frombuffer(bits, np.uint8), grams & GRAM_BITS
     reached, left, n = np.zeros(len(h), np.uint8), np.arange(len(h)), 1
     while len(left) and n < LEVELS:
         seed, step = _seeds(h[left], n)
@@ -149,83 +162,86 @@ def probe(bits: bytes, n_bits: int, n_hashes: int, grams: np.ndarray) -> np.ndar
     return reached
 
 
-class Filter:
-    """The mean count at each level of the log-frequency Bloom filter and, where it is broadcast, its segments by bucket."""
-
-    def __init__(self, rows: list, n_buckets: int, is_broadcast: bool = True):
-        self.n_buckets, self.is_broadcast = n_buckets, is_broadcast
-        self.segments = {r["bucket"]: (bytes(r["bits"]), r["n_bits"], r["n_hashes"]) for r in rows} if is_broadcast else {}
-        n, total = sum((np.frombuffer(r["level_sums"]).reshape(2, -1) for r in rows), np.zeros((2, LEVELS)))
-        self.means = np.where(n > 0, total / np.maximum(n, 1), 0.0)
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Estimated count of each bigram, 0 if it isn't there."""
-        out = np.zeros(len(grams))
-        for b, at in _by_bucket(grams, self.n_buckets):
-            if b in self.segments and len(at):
-                out[at] = self.means[probe(*self.segments[b], grams[at])]
-        return out
-
+class Chunk:
+    """The tokens of a chunk's documents and the different words and bigrams among them, in an order that depends on the chunk alone."""
 
-def _chunk_words(table) -> tuple:
-    data, offsets = C.text_arrays(table.column("text"))
-    token, begin = tokens(data, offsets)
-    words, of = np.unique(token, return_inverse=True)
-    return token, begin, words, of
+    def __init__(self, table: pa.Table):
+        data, offsets = C.text_arrays(table.column("text"))
+        token, check, self.begin = tokens(data, offsets)
+        order, firsts = C.sorted_groups(token, check)
+        self.words, self.checks = token[order[firsts]], check[order[firsts]]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
+        self.grams, self.of_gram = np.unique(bigrams(token, self.begin), return_inverse=True)
 
 
-def _ask(n_buckets: int, with_grams: bool):
+def _ask(n_buckets: int, n_parts: int):
     def ask(key, table):
-        token, begin, words, _ = _chunk_words(table)
-        grams = np.unique(bigrams(token, begin)) if with_grams else words[:0]
-        parts = zip(_by_bucket(words, n_buckets), _by_bucket(grams, n_buckets), strict=True)
-        return pa.Table.from_pylist([{"chunk": key[0].as_py(), "bucket": b, "words": words[x].tobytes(), "grams": C.narrow(grams[y], 6)} for (b, x), (_, y) in parts if len(x) or len(y)], _schema(ASKED))
+        c = Chunk(table)
+        parts = zip(_by_bucket(c.words, n_buckets), _by_bucket(c.grams, n_buckets), strict=True)
+        rows = [{"chunk": key[0].as_py(), "bucket": b, "part": b * n_parts // n_buckets, "words": c.words[x].tobytes(), "checks": c.checks[x].tobytes(), "grams": _grams(c.grams[y])} for (b, x), (_, y) in parts if len(x) or len(y)]
+        return pa.Table.from_pylist(rows, _schema(ASKED))
 
     return ask
 
 
-def _tell(key, asked, known):
-    """Counts of the words and levels of the bigrams that chunks ask of a bucket; known has its row, or none."""
-    mine = known.to_pylist()[0] if known.num_rows else None
-    words = np.frombuffer(mine["words"], np.uint64) if mine else np.zeros(0, np.uint64)
-    counts = np.append(np.frombuffer(mine["word_counts"], np.int64) if mine else np.zeros(0, np.int64), 0)
+def _tell_counts(key, asked, known):
+    """Counts of the words that chunks ask of a bucket; known has its row, or none."""
+    mine = known.to_pylist()[0] if known.num_rows else {"words": b"", "checks": b"", "word_counts": b""}
+    words, checks = np.frombuffer(mine["words"], np.uint64), np.frombuffer(mine["checks"], np.uint64)
+    counts = np.append(np.frombuffer(mine["word_counts"], np.int64), 0)
     rows = []
     for r in asked.to_pylist():
-        want, grams = np.frombuffer(r["words"], np.uint64), C.widen(r["grams"], 6)
-        at = np.searchsorted(words, want)
-        found = (at < len(words)) & (np.append(words, 0)[at] == want)
-        levels = probe(mine["bits"], mine["n_bits"], mine["n_hashes"], grams) if mine and len(grams) else np.zeros(len(grams), np.uint8)
-        rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": np.where(found, counts[at], 0).astype(np.int64).tobytes(), "levels": levels.tobytes()})
+        want, check = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["checks"], np.uint64)
+        at, found = np.searchsorted(words, want), np.zeros(len(want), bool)
+        left = np.flatnonzero((at < len(words)) & (np.append(words, 0)[at] == want))
+        while len(left):  # names are different but for chance; then the next entry is looked at
+            hit = checks[at[left]] == check[left]
+            found[left[hit]] = True
+            left = left[~hit]
+            at[left] += 1
+            left = left[(at[left] < len(words)) & (np.append(words, 0)[at[left]] == want[left])]
+        rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": np.where(found, counts[np.where(found, at, -1)], 0).astype(np.int64).tobytes(), "levels": None})
     return pa.Table.from_pylist(rows, _schema(TOLD))
 
 
-def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int, held):
+def _tell_levels(segments):
+    """Levels of the bigrams that chunks ask of one group of segments."""
+
+    def tell(batches):
+        held = segments.value
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                grams = C.widen(r["grams"], 4)
+                levels = probe(*held[r["bucket"]], grams) if r["bucket"] in held else np.zeros(len(grams), np.uint8)
+                rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": None, "levels": levels.tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, _schema(TOLD))
+
+    return tell
+
+
+def _joined(told: list[dict], field: str, names: np.ndarray, n_buckets: int, kind) -> np.ndarray:
+    out, replies = np.zeros(len(names), kind), {r["bucket"]: r[field] for r in told if r[field] is not None}
+    for b, x in _by_bucket(names, n_buckets):
+        if len(x):
+            out[x] = np.frombuffer(replies[b], kind)
+    return out
+
+
+def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int, means: np.ndarray):
     def score(key, table, told):
         if not table.num_rows:
             return _schema(SCORES).empty_table()
-        token, begin, words, of = _chunk_words(table)
-        counts = np.zeros(len(words), np.int64)
-        replies = {r["bucket"]: r for r in told.to_pylist()}
-        for b, x in _by_bucket(words, n_buckets):
-            if len(x):
-                counts[x] = np.frombuffer(replies[b]["counts"], np.int64)
-        c = counts[of]
+        chunk, replies = Chunk(table), told.to_pylist()
+        begin = chunk.begin
+        c = _joined(replies, "counts", chunk.words, n_buckets, np.int64)[chunk.of]
         p = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[begin[:-1]] = n_texts
-        together = np.zeros(len(c))
-        seen = (c > 0) & (before > 0)  # a bigram is no more frequent than its words
-        if held.value.is_broadcast:
-            estimates = held.value.counts(bigrams(token, begin)[seen])
-        else:
-            grams, of_gram = np.unique(bigrams(token, begin), return_inverse=True)
-            levels = np.zeros(len(grams), np.uint8)
-            for b, x in _by_bucket(grams, n_buckets):
-                if len(x):
-                    levels[x] = np.frombuffer(replies[b]["levels"], np.uint8)
-            estimates = held.value.means[levels[of_gram]][seen]
-        together[seen] = np.minimum(estimates, np.minimum(c, before)[seen])
+        together = means[_joined(replies, "levels", chunk.grams, n_buckets, np.uint8)[chunk.of_gram]]
+        together = np.where((c > 0) & (before > 0), np.minimum(together, np.minimum(c, before)), 0.0)  # a bigram is no more frequent than its words
         model = np.log10((together + mu * p) / (before + mu))
         per_text = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  each text has at least its end
         return pa.table(
@@ -236,25 +252,33 @@ def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int,
     return score
 
 
-def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, bits_per_entry: float = 8.0, max_bits: int = 1 << 30, mu: float = 500.0) -> DataFrame:
+def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", base: float = 1.5, bits_per_entry: float = 8.0, group_bytes: int = GROUP_BYTES, mu: float = 500.0) -> DataFrame:
     """Scores of all texts under a model of those for which the Column train holds (columns: see SCORES)."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     n_buckets, n_chunks = C.partitions(spark), C.chunk_count(spark)
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     counted = t.filter("train").select("text").mapInArrow(_count(n_buckets), COUNTS)
     merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry), MERGED))
     n_tokens, n_types, n_bits = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types"), F.sum("n_bits")).first())
-    small = n_bits <= max_bits
-    segment = ["bits", "n_bits", "n_hashes"]
-    # one row for each bucket: sums of LEVELS levels, and segments of max_bits in all
-    held = spark.sparkContext.broadcast(Filter(merged.select("bucket", "level_sums", *(segment if small else [])).collect(), n_buckets, small))
+    sums = sum((np.frombuffer(r[0]).reshape(2, -1) for r in merged.select("level_sums").toLocalIterator()), np.zeros((2, LEVELS)))  # LEVELS sums of each bucket
+    means = np.where(sums[0] > 0, sums[1] / np.maximum(sums[0], 1), 0.0)
     n_texts = t.filter("train").count()
+    n_parts = max(1, min(n_buckets, math.ceil(n_bits / 8 / group_bytes)))
     chunked = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")).repartition(n_buckets, "chunk")
-    asked = chunked.groupBy("chunk").applyInArrow(_ask(n_buckets, not small), ASKED)
-    known = merged.select("bucket", "words", "word_counts", *([] if small else segment))
-    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_tell, TOLD)
+    questions = shared.new_path(spark)
+    chunked.groupBy("chunk").applyInArrow(_ask(n_buckets, n_parts), ASKED).write.partitionBy("part").parquet(questions)
+    asked = spark.read.schema(ASKED).parquet(questions)
+    levels = shared.new_path(spark)
+    for k in range(n_parts):  # one bounded group of segments after the other
+        rows = merged.filter(F.floor(F.col("bucket") * n_parts / n_buckets) == k).select("bucket", "bits", "n_bits", "n_hashes").collect()
+        segments = spark.sparkContext.broadcast({r["bucket"]: (bytes(r["bits"]), r["n_bits"], r["n_hashes"]) for r in rows})
+        asked.filter(F.col("part") == k).select("chunk", "bucket", "grams").mapInArrow(_tell_levels(segments), TOLD).write.mode("append").parquet(levels)
+        segments.unpersist()
+    counts = asked.select("chunk", "bucket", "words", "checks").groupBy("bucket").cogroup(merged.select("bucket", "words", "checks", "word_counts").groupBy("bucket")).applyInArrow(_tell_counts, TOLD)
+    told = counts.unionByName(spark.read.schema(TOLD).parquet(levels))
     scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk"))
-    return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, held), SCORES)
+    return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, means), SCORES)
 
 
 def query(spark, sf_dir):

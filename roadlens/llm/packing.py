@@ -8,12 +8,12 @@ need no padding.
 
 Tokens: a text is cut at white space, between ASCII letters, digits and other ASCII marks (where this
 tokenizer never joins anything), and different pieces are tokenized once for each block and kept in a
-bounded table in the Python worker, by a 64-bit fingerprint. Texts that hold a special token's string go to
+bounded table in the Python worker, by two 64-bit names (see common.names). Texts that hold a special token's string go to
 the tokenizer whole. Documents are never shuffled; only open windows are.
 
 Defined results: null text counts as empty and packs its end token alone. A null doc_id, repeated ids and
 extra columns have no influence. Sequence ids are unique, and follow the partitions that the input is read
-in. An empty table gives an empty result.
+in. A text longer than a block is one block. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from roadlens.llm import common as C
 
-BLOCK = 2 << 20
-KEPT_PIECES = 1_500_000
+BLOCK = 1 << 20
+KEPT_PIECES = 300_000
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open int, ids binary"
 SCHEMA = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in PIECES.split(", ")])
@@ -55,7 +55,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 20, np.int32), 0
 
     def whole(self, text: bytes) -> np.ndarray:
@@ -97,36 +98,45 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         low = C.lowered(data)
         low[:-1] = np.where(data[1:] >= 128, data[:-1], low[:-1])  # what comes next may combine with a capital
-        h = C.span_hash(C.prefix_hashes(low), starts, ends) ^ (ends - starts).astype(np.uint64)
-        keys, first, of = np.unique(h, return_index=True, return_inverse=True)
-        at, size = self._known(keys, low, starts, ends, first)
+        name, check = C.names(low, starts, ends)
+        order, firsts = C.sorted_groups(name, check)
+        first, of = order[firsts], np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(order))))
+        at, size = self._known(name[first], check[first], low, starts[first], ends[first])
         sizes = size[of].astype(np.int64)
         until = np.cumsum(sizes)
         ids = self.ids[np.arange(until[-1]) + np.repeat(at[of] - (until - sizes), sizes)]
         doc = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(doc, sizes, len(offsets) - 1).astype(np.int64)
 
-    def _known(self, keys: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each key; new ones are encoded."""
-        if len(self.keys) > KEPT_PIECES:
+    def _known(self, keys: np.ndarray, checks: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each different piece, which come by key; those not in the table are encoded, and kept unless the table has their key."""
+        place, known = self._find(keys, checks)
+        if len(self.keys) + len(keys) - known.sum() > KEPT_PIECES:
             self._forget()
-        place = np.searchsorted(self.keys, keys)
-        new = np.append(self.keys, 0)[place] != keys
-        new |= place == len(self.keys)
-        if new.any():
-            i = first[new]
-            raw = low.tobytes()
+            place, known = self._find(keys, checks)
+        at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        if len(new := np.flatnonzero(~known)):
             n_glue = np.append(0, np.cumsum(CLASSES[low] == GLUE))
-            pieces = [raw[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist(), strict=True)]
-            ids, at, sizes = self._encode(pieces, n_glue[ends[i]] > n_glue[starts[i]])
+            pieces = [low[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            ids, begin, size[new] = self._encode(pieces, n_glue[ends[new]] > n_glue[starts[new]])
             while self.n_ids + len(ids) > len(self.ids):
                 self.ids = np.append(self.ids, np.zeros(len(self.ids), np.int32))
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            at += self.n_ids
+            at[new] = begin + self.n_ids
             self.n_ids += len(ids)
-            self.keys, self.at, self.size = (np.insert(x, place[new], y) for x, y in ((self.keys, keys[new]), (self.at, at), (self.size, sizes)))
-            place = np.searchsorted(self.keys, keys)
-        return self.at[place], self.size[place]
+            free = np.append(self.keys, 0)[place[new]] != keys[new]
+            free |= place[new] == len(self.keys)
+            free[1:] &= keys[new][1:] != keys[new][:-1]
+            new = new[free]
+            self.keys, self.checks, self.at, self.size = (np.insert(x, place[new], y[new]) for x, y in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, size)))
+        return at, size
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key stands or would stand in the table, and whether it is there with its check."""
+        place = np.searchsorted(self.keys, keys)
+        return place, (place < len(self.keys)) & (np.append(self.keys, 0)[place] == keys) & (np.append(self.checks, 0)[place] == checks)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray):
         """The ids of each text, with the end id."""
@@ -248,6 +258,7 @@ def _merge(size: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, n_open: int = 16, merged: int = 64) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. merged: partitions whose open windows meet."""
+    C.small_batches(docs.sparkSession)
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     pieces = C.materialise(t.mapInArrow(_pack(tokenizer, size, n_open), PIECES))
     left = pieces.filter("open = 1").withColumn("group", F.floor(F.col("sequence_id") / (merged << 32)).cast("int"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -44,24 +45,28 @@ def bag(rows):
     return collections.Counter(map(tuple, rows))
 
 
-def test_suffix_dedup(spark, docs):
+def brute_repeats(df, length=50):
+    """What remove_repeats gives, from all strings of 50 bytes."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     key = lambda i: math.inf if i is None else i
     least = {}
-    for i, t in PLAIN:
-        b = t.encode()
-        for k in range(len(b) - 49):
-            least[b[k : k + 50]] = min(least.get(b[k : k + 50], math.inf), key(i))
+    for i, b in rows:
+        for k in range(len(b) - length + 1):
+            least[b[k : k + length]] = min(least.get(b[k : k + length], math.inf), key(i))
     want = []
-    for i, t in PLAIN:
-        b = t.encode()
+    for i, b in rows:
         gone = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if least[b[k : k + 50]] < key(i):
-                gone[k : k + 50] = b"\1" * 50
+        for k in range(len(b) - length + 1):
+            if least[b[k : k + length]] < key(i):
+                gone[k : k + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((i, len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs).drop("removed")
-    assert bag(got.collect()) == bag(want) and sum(w[2] for w in want) > 1000
+    return bag(want)
+
+
+def test_suffix_dedup(spark, docs):
+    got = suffix_dedup.remove_repeats(docs).drop("removed").collect()
+    assert bag(got) == brute_repeats(docs) and sum(r.n_removed for r in got) > 1000
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
@@ -283,21 +288,69 @@ def test_lm_score(spark, docs):
     assert all(r.score < 0 for r in got)
     assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
     rounded = lambda rows: bag((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9)) for r in rows)
-    assert rounded(lm_score.score_texts(docs, train, max_bits=0).collect()) == rounded(got)  # a filter too large to broadcast
+    assert rounded(lm_score.score_texts(docs, train, group_bytes=300).collect()) == rounded(got)  # a group of segments for each bucket
     assert lm_score.score_texts(empty(spark), train).count() == 0
-    assert lm_score.score_texts(docs, F.lit(False), max_bits=-1).filter("train_tokens = 0 and n_known = 0").count() == len(ROWS)
+    assert lm_score.score_texts(docs, F.lit(False)).filter("train_tokens = 0 and n_known = 0").count() == len(ROWS)
+
+
+def test_lm_score_is_the_formula(spark, docs):
+    tokens = [(i, [None, *(t or "").encode().lower().split(), ""]) for i, t in PLAIN]
+    training = [ws for i, ws in tokens if i is not None and i % 2 == 0]
+    words, grams = collections.Counter(w for ws in training for w in ws[1:]), collections.Counter(g for ws in training for g in itertools.pairwise(ws))
+    words[None] = len(training)
+    n, v, mu = sum(words.values()) - words[None], len(words) - 1, 500.0
+    level = lambda c: int(lm_score.level(np.array([c]), 1.5)[0])
+    by_level = collections.defaultdict(list)
+    for c in grams.values():
+        by_level[level(c)].append(c)
+    score = collections.Counter()
+    for i, ws in tokens:
+        total = 0.0
+        for a, b in itertools.pairwise(ws):
+            p = (words[b] + 0.5) / (n + 0.5 * (v + 1))
+            c = min(np.mean(by_level[level(grams[a, b])]), words[a], words[b]) if grams[a, b] else 0.0
+            total += math.log10((c + mu * p) / (words[a] + mu))
+        score[i, round(total, 4)] += 1
+    got = lm_score.score_texts(docs, F.col("doc_id") % 2 == 0, bits_per_entry=400.0).collect()  # no false hits
+    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in got) == score
+
+
+def thue_morse(n):
+    """Two different texts of n letters that every polynomial fingerprint modulo a power of two takes for one."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_with_one_fingerprint(spark, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(n)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score_texts(df, F.col("doc_id") == 1).collect()}
+    assert (got[1].n_known, got[2].n_known, got[3].n_known) == (2, 1, 2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for r in packing.pack_documents(df, path, size=1 << 20).collect():
+        text = {1: a, 2: b, 3: a + " " + b}[r.doc_id]
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert brute_repeats(df) == bag(suffix_dedup.remove_repeats(df).drop("removed").collect())
 
 
 def test_bloom_filter_keeps_counts():
-    grams = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    grams = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 5000, dtype=np.uint64))
     counts = np.arange(len(grams)) % 40 + 1
     import pyarrow as pa
 
-    table = pa.table({"words": [b""], "word_counts": [b""], "grams": [lm_score.C.narrow(grams, 6)], "gram_counts": [counts.astype(np.uint32).tobytes()]})
+    table = pa.table({"words": [b""], "checks": [b""], "word_counts": [b""], "grams": [lm_score.C.narrow(grams, 4)], "gram_counts": [counts.astype(np.uint32).tobytes()]})
     row = lm_score._merge(1.5, 12.0)((pa.scalar(0),), table).to_pylist()[0]
-    held = lm_score.Filter([row], 1)
-    assert (np.abs(np.log(held.counts(grams) / counts)) < 0.75).mean() > 0.97
-    assert (held.counts(grams + np.uint64(12345)) == 0).mean() > 0.97
+    sums = np.frombuffer(row["level_sums"]).reshape(2, -1)
+    estimate = lambda g: (sums[1] / np.maximum(sums[0], 1))[lm_score.probe(row["bits"], row["n_bits"], row["n_hashes"], g)]
+    with np.errstate(divide="ignore"):
+        assert (np.abs(np.log(estimate(grams) / counts)) < 0.75).mean() > 0.97
+    assert (estimate(grams + np.uint64(12345)) == 0).mean() > 0.97
 
 
 @pytest.mark.parametrize("n", [3, 1500])
