@@ -58,7 +58,11 @@ M64 = (1 << 64) - 1
 
 
 def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each span of bytes: mixed from all of its bytes up to 16 of them, beyond that the halves of its XXH3-128."""
+    """Two 64-bit names of each span of bytes, which together tell spans apart.
+
+    Up to 8 bytes: the bytes themselves, mixed one to one, and 0 (but for spans that end with a NUL). Up to 16 bytes: two mixes of
+    all bytes. Beyond that: the halves of the span's XXH3-128.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     padded = np.zeros(len(data) + 24, np.uint8)
@@ -66,13 +70,15 @@ def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     eight = np.ndarray(len(data) + 16, "<u8", padded, strides=(1,))  # the eight bytes from each place on
     size = ends - starts
     lo = eight[starts] & _LOW[np.minimum(size, 8)]
-    hi = eight[starts + 8] & _LOW[np.clip(size - 8, 0, 8)]
-    n = size.astype(np.uint64)
-    name = mix(lo ^ mix(hi + n * np.uint64(BASE)))
-    check = mix(hi ^ mix(lo + n * np.uint64(BASE_INVERSE)))
+    name, check = mix(lo), np.zeros(len(starts), np.uint64)
+    more = np.flatnonzero((size > 8) | (data[ends - 1] == 0))
+    n, lo = size[more].astype(np.uint64), lo[more]
+    hi = eight[starts[more] + 8] & _LOW[np.clip(size[more] - 8, 0, 8)]
+    name[more] = mix(lo ^ mix(hi + n * np.uint64(BASE)))
+    check[more] = mix(hi ^ mix(lo + n * np.uint64(BASE_INVERSE))) | np.uint64(1)
     for i in np.flatnonzero(size > 16).tolist():
         both = xxhash.xxh3_128_intdigest(data[starts[i] : ends[i]].tobytes())
-        name[i], check[i] = both & M64, both >> 64
+        name[i], check[i] = both & M64, both >> 64 | 1
     return name, check
 
 

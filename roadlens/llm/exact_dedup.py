@@ -1,16 +1,16 @@
 """Exact dedup by content sort (operator 8), with DataFrame functions only.
 
-Sampled splitters deal the rows into ranges of (first bytes of the normalised text, digest): the splitters
-stay a few bytes each, however long the texts are. The sort behind the window then puts equal texts
-next to each other and compares neighbours in full wherever digests agree.
-
-A text with more copies than a quarter of a partition's even share is counted beforehand, by digest, and its
-rows are dealt over several slots, so no task gets a whole hot group. There are at most four such texts
-for each partition, which bounds the broadcast table.
+Every text's rows are dealt over as many slots as there are partitions, by a hash of the id, so no group of copies is
+too large for a task. Sampled splitters range-partition the rows by (first characters of the normalised text, digest, slot):
+the splitters stay small, however long the texts are. The sort behind the window puts equal texts of a slot
+next to each other and compares neighbours in full wherever digests agree. What the slots of a text have found, a
+count and the largest id each, then meets under its digest; only these few numbers are shuffled again. All texts take
+this one way, however many copies they have.
 
 Defined results: null text counts as empty; a null id loses against any other; of several rows with the
-largest id one stays; groups whose ids are all null keep one row and have a null keep_id. Extra columns
-travel in the struct `row`, so that their names can't clash. An empty table gives an empty result.
+largest id one stays; groups whose ids are all null keep one row and have a null keep_id (rows without id are dealt
+by the partition they are read in). Extra columns travel in the struct `row`, so that their names can't clash.
+Texts may be of any length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,40 +25,46 @@ from roadlens.llm import common as C
 SPLITTER_CHARS = 32
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lambda text: text) -> DataFrame:
-    """Each row of docs as the struct `row`, with keep_id, group_size, kept and text_sha256."""
-    text = F.coalesce(normalise(F.col(f"row.`{text_col}`")), F.lit(""))  # taken from the row on either side of the shuffle, so it travels once
-    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    t = t.withColumn("text_sha256", F.sha2(text, 256))
+def _slots(docs: DataFrame, id_col: str, text_col: str, normalise: Callable[[Column], Column], carry: list[str] | None) -> DataFrame:
+    """Each row with its text's digest and slot, the number (n) and largest id (top) of its slot's copies, and its place among them."""
     p = C.partitions(docs.sparkSession)
-    share = max(256, docs.count() // (4 * p))
-    hot = t.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("copies"), F.max("id").alias("top")).filter(F.col("copies") > share)
-    hot = hot.select(F.col("text_sha256").alias("hot"), "copies", "top", F.ceil(F.col("copies") / share).alias("slots"))
-    slot = F.pmod(F.xxhash64("id"), F.coalesce("slots", F.lit(1)))
-    t = t.join(F.broadcast(hot), t.text_sha256 == hot.hot, "left").withColumn("slot", slot)
-    t = t.withColumn("start", F.substring(text, 1, SPLITTER_CHARS)).repartitionByRange(p, "start", "text_sha256", "slot")
-    group = Window.partitionBy("start", "text_sha256", "slot", text)
-    t = t.select(
-        "row",
-        "id",
-        "top",
-        "text_sha256",
-        F.coalesce("copies", F.count(F.lit(1)).over(group)).alias("group_size"),
-        F.coalesce("top", F.max("id").over(group)).alias("keep_id"),
-        F.row_number().over(group.orderBy(F.col("id").desc_nulls_last())).alias("place"),
-    )
-    kept = (F.col("place") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))
-    return t.select("row", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    text = F.coalesce(normalise(F.col(text_col)), F.lit(""))
+    row = C.whole_row(docs.select(*[F.col(f"`{c}`") for c in carry]) if carry else docs)
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.spark_partition_id().cast("long"))), F.lit(p)).cast("int")
+    t = docs.select(row.alias("row"), F.col(id_col).alias("id"), text.alias("text"), slot.alias("slot")).withColumn("text_sha256", F.sha2("text", 256))
+    t = t.withColumn("start", F.substring("text", 1, SPLITTER_CHARS)).repartitionByRange(p, "start", "text_sha256", "slot")
+    group = Window.partitionBy("start", "text_sha256", "slot", "text")
+    place = F.row_number().over(group.orderBy(F.col("id").desc_nulls_last()))
+    return t.select("row", "slot", "text_sha256", F.count(F.lit(1)).over(group).alias("n"), F.max("id").over(group).alias("top"), place.alias("place"))
+
+
+def _texts(slots: DataFrame) -> DataFrame:
+    """For each text: digest, group_size, keep_id and best_slot, the slot that holds the row to keep."""
+    best = F.max(F.struct(F.col("top").isNotNull(), "top", "slot"))
+    t = slots.filter("place = 1").groupBy("text_sha256").agg(F.sum("n").alias("group_size"), best.alias("best"))
+    return t.select(F.col("text_sha256").alias("digest"), "group_size", F.col("best.top").alias("keep_id"), F.col("best.slot").alias("best_slot"))
+
+
+def _same(text: Column) -> Column:
+    return text
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = _same, carry: list[str] | None = None) -> DataFrame:
+    """Each row of docs (its columns in `carry`, or all) as the struct `row`, with keep_id, group_size, kept and text_sha256."""
+    t = C.materialise(_slots(docs, id_col, text_col, normalise, carry))
+    t = t.join(_texts(t), F.col("text_sha256") == F.col("digest"))
+    return t.select("row", "keep_id", "group_size", ((F.col("place") == 1) & (F.col("slot") == F.col("best_slot"))).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = _same) -> DataFrame:
     """docs with one row of each group of equal texts, columns unchanged."""
-    return exact_groups(docs, id_col, text_col).filter("kept").select("row.*")
+    firsts = C.materialise(_slots(docs, id_col, text_col, normalise, None).filter("place = 1"))
+    lost = firsts.select("text_sha256", "slot").join(_texts(firsts), F.col("text_sha256") == F.col("digest")).filter("slot <> best_slot").select("digest", F.col("slot").alias("lost_slot"))
+    return firsts.join(lost, (F.col("text_sha256") == F.col("digest")) & (F.col("slot") == F.col("lost_slot")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):
-    docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_groups(docs).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(C.read(spark, sf_dir, "documents"), carry=["doc_id"]).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = """

@@ -10,8 +10,8 @@ Bayesian fusion of four kinds of evidence:
 
 The last three come from grouped sums of the text posteriors over all rows; each row's own share is
 taken out of its host's and domain's sums. The text model is trained on a bounded sample of labelled rows (about SAMPLE rows,
-those with the least hash, and of each label about EACH rows or all it has), by grouped counts. Models are bounded: the
-LANGUAGES labels with the most rows, and BUCKETS trigrams; further labels are never answered.
+those with the least hash, and of each label about EACH rows or all it has), by grouped counts. All labels are answered; the
+model has BUCKETS numbers for each, and more than MOST_LABELS labels are an error, not cut.
 
 A row is rejected if its text has no trigram with a letter, or if no language reaches `min_confidence`.
 
@@ -33,7 +33,7 @@ from roadlens.llm import common as C
 
 SAMPLE = 4000
 EACH = 60
-LANGUAGES = 64
+MOST_LABELS = 500
 BUCKETS = 1 << 15
 BLOCK = 2 << 20
 
@@ -56,7 +56,9 @@ def train(rows: DataFrame, text_col: str, label_col: str, key_col: str, sample:
     rows = rows.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     labels = C.materialise(rows.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     n = labels.agg(F.sum("n")).first()[0] or 0
-    most = labels.orderBy(F.col("n").desc(), "label").limit(LANGUAGES).collect()
+    most = labels.orderBy("label").limit(MOST_LABELS + 1).collect()
+    if len(most) > MOST_LABELS:
+        raise ValueError(f"{label_col} has more than {MOST_LABELS} labels")
     limits = [F.lit(x) for r in most for x in (r["label"], int((1 << 30) * min(1.0, max(sample / n, EACH / r["n"]))))]
     keep = F.pmod(F.xxhash64(F.lit(4), key_col), F.lit(1 << 30)) < F.try_element_at(F.create_map(*limits), F.col(label_col)) if limits else F.lit(False)
 
@@ -72,12 +74,12 @@ def train(rows: DataFrame, text_col: str, label_col: str, key_col: str, sample:
 
     counted = rows.filter(keep).select(label_col, F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(count, "lang string, bucket int, n long")
     counted = C.materialise(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    languages = [r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()]
-    languages.sort()
+    languages = [r[0] for r in counted.select("lang").distinct().orderBy("lang").collect()]  # MOST_LABELS at most
     counts = np.full((len(languages), BUCKETS), 0.1)
     if languages:
-        for r in counted.filter(F.col("lang").isin(languages)).toLocalIterator():  # LANGUAGES * BUCKETS rows at most
-            counts[languages.index(r[0]), r[1]] += r[2]
+        place = {x: i for i, x in enumerate(languages)}
+        for r in counted.toLocalIterator():  # a row for each label and bucket of the sample at most
+            counts[place[r[0]], r[1]] += r[2]
     return languages, np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -107,15 +109,22 @@ def _softmax(scores: str) -> Column:
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[str], text: Column, declared: Column, suffix: Column, host: Column, domain: Column, most_trigrams: int = 200, min_confidence: float = 0.5, weight: float = 5.0) -> DataFrame:
     """The key columns with declared, suffix, host, text_lang, lang (null if rejected), confidence and accepted."""
     spark = rows.sparkSession
+    C.small_batches(spark)
     languages, table = model
-    score = text_posterior(spark.sparkContext.broadcast(table), most_trigrams)  # LANGUAGES * BUCKETS numbers at most
+    score = text_posterior(spark.sparkContext.broadcast(table), most_trigrams)  # MOST_LABELS * BUCKETS numbers at most
     declared = F.regexp_extract(F.lower(declared), "^[a-z]+", 0)
     declared = F.when(declared.isNull() | (declared == ""), None).when(declared.isin(languages), declared).otherwise("other")
     slim = rows.select(*keys, declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"), score(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("scores"))
     slim = C.materialise(slim.withColumn("p", _softmax("scores")))
     n_languages = len(languages)
     sums = [F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(n_languages)]
-    gather = lambda by: slim.filter(F.col(by).isNotNull() & (F.size("p") > 0)).groupBy(F.col(by).alias(f"{by}_key")).agg(F.count(F.lit(1)).alias("n"), *sums).select(f"{by}_key", F.col("n").alias(f"{by}_n"), F.array(*[f"s{i}" for i in range(n_languages)]).alias(f"{by}_sum"))
+
+    def gather(by: str) -> DataFrame:
+        """Counts and sums of posteriors for each value of a column."""
+        told = slim.filter(F.col(by).isNotNull() & (F.size("p") > 0))
+        g = told.groupBy(F.col(by).alias(f"{by}_key")).agg(F.count(F.lit(1)).alias(f"{by}_n"), *sums)
+        return g.select(f"{by}_key", f"{by}_n", F.array(*[f"s{i}" for i in range(n_languages)]).alias(f"{by}_sum"))
+
     t = slim
     for by in ("declared", "suffix", "host", "domain"):
         g = gather(by)
@@ -162,11 +171,12 @@ def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> Dat
 def accepted_documents(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """documents without the rejected ones, columns unchanged. The lang column is the declared language and source the host."""
     model = model or train(docs, "text", "lang", "doc_id")
-    key = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text", "lang", "source")
+    key = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "lang", "source")
     nothing = F.lit(None).cast("string")
     judged = identify(key, model, ["doc_id", "text_hash"], F.col("text"), F.col("lang"), nothing, F.col("source"), nothing)
-    gone = judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    gone = judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(C.whole_row(docs).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):

@@ -1,9 +1,10 @@
 """Line dedup (operator 2), with DataFrame functions only.
 
-Lines are moved as 128-bit hashes of their keys, never as text. The hashes are range-partitioned, with
+Lines are moved as 128-bit hashes of their keys, never as text, and written once. The hashes are range-partitioned, with
 the documents of one key dealt over slots, and sorted by descending document and position; a stream over
 each slot tells the first line of each document, and the counts of all slots meet pre-aggregated. Keys
-with enough documents mark their lines in all but the last document. A document's keep bitmap is returned
+with enough documents mark their lines in all but the last document: the join deals lines by key and slot too, and
+each common key goes to the slots it stands in. A document's keep bitmap is returned
 compressed, as its runs of dropped lines, and only joined to the text at the end.
 
 Defined results: null text counts as one empty line. A null doc_id counts as the smallest id. Rows of
@@ -27,12 +28,15 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     t = _rows(docs, id_col, text_col)
     lines = t.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("key", F.btrim(C.lower_ascii(F.col("line")), F.lit(TRIM))).filter(F.char_length("key") >= min_chars)
-    lines = lines.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    lines = lines.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(p))).repartitionByRange(p, "h1", "h2", "slot")
+    lines = lines.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("slot"))
+    lines = C.materialise(lines)  # else the sampling of splitters and each use below would split the texts again
     stream = Window.partitionBy("h1", "h2", "slot").orderBy(F.col("id").desc(), "text_hash", "pos")
-    firsts = lines.select("h1", "h2", "id", F.lag("id").over(stream).alias("before")).filter(~F.col("id").eqNullSafe(F.col("before")))
-    keys = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last")).filter(F.col("n_docs") >= min_docs)
-    doomed = lines.select("h1", "h2", "id", "text_hash", "pos").join(keys, ["h1", "h2"]).filter(F.col("id") < F.col("last"))
+    ordered = lines.repartitionByRange(p, "h1", "h2", "slot")
+    firsts = ordered.select("h1", "h2", "slot", "id", F.lag("id").over(stream).alias("before")).filter(~F.col("id").eqNullSafe(F.col("before")))
+    slots = C.materialise(firsts.groupBy("h1", "h2", "slot").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("last")))
+    keys = slots.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last")).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last")
+    common = slots.select("h1", "h2", "slot").join(keys, ["h1", "h2"])
+    doomed = lines.join(common, ["h1", "h2", "slot"]).filter(F.col("id") < F.col("last"))
     drops = doomed.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
     first = F.array_except("pos", F.transform("pos", lambda x: x + 1))
     last = F.array_except("pos", F.transform("pos", lambda x: x - 1))

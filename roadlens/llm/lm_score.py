@@ -9,10 +9,10 @@ at it.
 
     P(w | h) = (count(h w) + mu * P(w)) / (count(h) + mu),   P(w) = (c + 0.5) / (N + 0.5 * (V + 1))
 
-The filter follows the corpus, so it is never broadcast whole: its segments are broadcast in groups of about
-`group_bytes`, one group after the other. Each chunk of documents writes down its different bigrams once, filed by
-group, and each group's pass answers its own share of these questions, without a shuffle. The exact counts of words are
-never broadcast: each chunk asks each bucket for the words it has. All sizes take this one way.
+The filter follows the corpus, so it is never broadcast whole: the buckets' segments, with their exact counts of words, are
+broadcast in groups of about `group_bytes`, one group after the other. Each chunk of documents writes down its different words and
+bigrams once, filed by group, and each group's pass answers its own share of these questions, without a shuffle.
+All sizes take this one way.
 
 Words are named by 128 bits (see common.names), bigrams by 32 bits within their bucket, next to which the filter's
 own false hits are many; a bucket's share of the bigrams doesn't grow, as there are as many buckets as partitions.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from roadlens.llm import common as C
 from roadlens.sources import shared
 
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 GROUP_BYTES = 32 << 20
 #: Names of the end of a text and of what stands before its first word; the second name of both is 0.
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
@@ -185,44 +185,42 @@ def _ask(n_buckets: int, n_parts: int):
     return ask
 
 
-def _tell_counts(key, asked, known):
-    """Counts of the words that chunks ask of a bucket; known has its row, or none."""
-    mine = known.to_pylist()[0] if known.num_rows else {"words": b"", "checks": b"", "word_counts": b""}
-    words, checks = np.frombuffer(mine["words"], np.uint64), np.frombuffer(mine["checks"], np.uint64)
-    counts = np.append(np.frombuffer(mine["word_counts"], np.int64), 0)
-    rows = []
-    for r in asked.to_pylist():
-        want, check = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["checks"], np.uint64)
-        at, found = np.searchsorted(words, want), np.zeros(len(want), bool)
-        left = np.flatnonzero((at < len(words)) & (np.append(words, 0)[at] == want))
-        while len(left):  # names are different but for chance; then the next entry is looked at
-            hit = checks[at[left]] == check[left]
-            found[left[hit]] = True
-            left = left[~hit]
-            at[left] += 1
-            left = left[(at[left] < len(words)) & (np.append(words, 0)[at[left]] == want[left])]
-        rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": np.where(found, counts[np.where(found, at, -1)], 0).astype(np.int64).tobytes(), "levels": None})
-    return pa.Table.from_pylist(rows, _schema(TOLD))
-
-
-def _tell_levels(segments):
-    """Levels of the bigrams that chunks ask of one group of segments."""
+def look_up(words: np.ndarray, checks: np.ndarray, counts: np.ndarray, want: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The counts of wanted words, 0 for those not in the table, which is sorted by name and check."""
+    at, out = np.searchsorted(words, want), np.zeros(len(want), np.int64)
+    words, left = np.append(words, 0), np.arange(len(want))
+    while len(left := left[(at[left] < len(counts)) & (words[at[left]] == want[left])]):  # different words with one name: the next entry is looked at
+        hit = checks[at[left]] == check[left]
+        out[left[hit]] = counts[at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
+def _tell(held):
+    """Counts of the words and levels of the bigrams that chunks ask of one group of buckets."""
 
     def tell(batches):
-        held = segments.value
+        buckets, arrays = held.value, {}
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                grams = C.widen(r["grams"], 4)
-                levels = probe(*held[r["bucket"]], grams) if r["bucket"] in held else np.zeros(len(grams), np.uint8)
-                rows.append({"chunk": r["chunk"], "bucket": r["bucket"], "counts": None, "levels": levels.tobytes()})
+                b, grams, want, check = r["bucket"], C.widen(r["grams"], 4), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["checks"], np.uint64)
+                if b not in buckets:
+                    counts, levels = np.zeros(len(want), np.int64), np.zeros(len(grams), np.uint8)
+                else:
+                    x = buckets[b]
+                    if b not in arrays:
+                        arrays[b] = [np.frombuffer(x[c], kind) for c, kind in (("words", np.uint64), ("checks", np.uint64), ("word_counts", np.int64))]
+                    counts, levels = look_up(*arrays[b], want, check), probe(x["bits"], x["n_bits"], x["n_hashes"], grams)
+                rows.append({"chunk": r["chunk"], "bucket": b, "counts": counts.tobytes(), "levels": levels.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, _schema(TOLD))
 
     return tell
 
 
 def _joined(told: list[dict], field: str, names: np.ndarray, n_buckets: int, kind) -> np.ndarray:
-    out, replies = np.zeros(len(names), kind), {r["bucket"]: r[field] for r in told if r[field] is not None}
+    out, replies = np.zeros(len(names), kind), {r["bucket"]: r[field] for r in told}
     for b, x in _by_bucket(names, n_buckets):
         if len(x):
             out[x] = np.frombuffer(replies[b], kind)
@@ -260,24 +258,22 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     counted = t.filter("train").select("text").mapInArrow(_count(n_buckets), COUNTS)
     merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry), MERGED))
-    n_tokens, n_types, n_bits = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types"), F.sum("n_bits")).first())
+    size = F.col("n_bits") / 8 + F.octet_length("words") + F.octet_length("checks") + F.octet_length("word_counts")
+    n_tokens, n_types, n_bytes = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types"), F.sum(size)).first())
     sums = sum((np.frombuffer(r[0]).reshape(2, -1) for r in merged.select("level_sums").toLocalIterator()), np.zeros((2, LEVELS)))  # LEVELS sums of each bucket
     means = np.where(sums[0] > 0, sums[1] / np.maximum(sums[0], 1), 0.0)
     n_texts = t.filter("train").count()
-    n_parts = max(1, min(n_buckets, math.ceil(n_bits / 8 / group_bytes)))
+    n_parts = max(1, min(n_buckets, math.ceil(n_bytes / group_bytes)))
     chunked = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")).repartition(n_buckets, "chunk")
-    questions = shared.new_path(spark)
+    questions, answers = shared.new_path(spark), shared.new_path(spark)
     chunked.groupBy("chunk").applyInArrow(_ask(n_buckets, n_parts), ASKED).write.partitionBy("part").parquet(questions)
     asked = spark.read.schema(ASKED).parquet(questions)
-    levels = shared.new_path(spark)
-    for k in range(n_parts):  # one bounded group of segments after the other
-        rows = merged.filter(F.floor(F.col("bucket") * n_parts / n_buckets) == k).select("bucket", "bits", "n_bits", "n_hashes").collect()
-        segments = spark.sparkContext.broadcast({r["bucket"]: (bytes(r["bits"]), r["n_bits"], r["n_hashes"]) for r in rows})
-        asked.filter(F.col("part") == k).select("chunk", "bucket", "grams").mapInArrow(_tell_levels(segments), TOLD).write.mode("append").parquet(levels)
-        segments.unpersist()
-    counts = asked.select("chunk", "bucket", "words", "checks").groupBy("bucket").cogroup(merged.select("bucket", "words", "checks", "word_counts").groupBy("bucket")).applyInArrow(_tell_counts, TOLD)
-    told = counts.unionByName(spark.read.schema(TOLD).parquet(levels))
-    scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk"))
+    for k in range(n_parts):  # one bounded group of buckets after the other
+        rows = merged.filter(F.floor(F.col("bucket") * n_parts / n_buckets) == k).drop("tokens", "types", "level_sums").collect()
+        held = spark.sparkContext.broadcast({r["bucket"]: {c: bytes(x) if isinstance(x, bytearray) else x for c, x in r.asDict().items()} for r in rows})
+        asked.filter(F.col("part") == k).drop("part").mapInArrow(_tell(held), TOLD).write.mode("append").parquet(answers)
+        held.unpersist()
+    scored = chunked.groupBy("chunk").cogroup(spark.read.schema(TOLD).parquet(answers).groupBy("chunk"))
     return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, means), SCORES)
 
 

@@ -1,89 +1,139 @@
 """SimHash near-dedup (operator 10).
 
-Fingerprints: 64 bits from the XXH64 values of word shingles. Links: generalised pigeonhole. The bits are
-grouped into parts, correlated bits together, and each part i gets a threshold t_i >= -1 with
-sum(t_i) = most - parts + 1; two fingerprints that differ in at most `most` bits then differ in at most t_i bits
-in some part. Parts and thresholds come from dynamic programming on estimated costs (signatures written plus
-candidates verified), from a sample of at most SAMPLE fingerprints, the ones with the least hash; every
-fingerprint is probed. A part with threshold t is probed by its bits with each choice of t of them left out.
-
-With `most_both` each text has a second fingerprint, of the same hashes mixed anew. It isn't probed; a link then also
-needs at most most_both different bits in both together. So `most` can be raised to what near copies with a given
-shingle similarity need, and texts that agree in 64 bits by chance stay apart. Shingle sets of Jaccard
-similarity J have a cosine of 2J / (1 + J) and differ in about a share of arccos(cosine) / pi of the bits: 0.15 for 0.8.
-With `planned` the thresholds are made for that many fingerprints at least, so that up to there the work for each is the
-same at every size.
-
-Only different fingerprints are probed, so exact copies never meet. A signature's group is verified in tiles of
-at most TILE fingerprints on either side, in numpy, and a tile returns stars (member, least member joined to it) rather than
+Fingerprints: 64 bits, or several times 64, from the XXH64 values of word shingles. Links: generalised pigeonhole. The bits are
+grouped into parts, correlated bits together, and each part i gets a threshold t_i >= -1. A part with threshold t is probed by
+its bits with each choice of t of them left out; -1 leaves a part out. Thresholds come from dynamic programming on estimated
+costs (signatures written plus candidates verified), from a sample of at most SAMPLE fingerprints, the ones with the least
+hash; every fingerprint is probed. Every candidate is verified by the bits of both fingerprints.
+
+- `most`: with sum(t_i) = most - parts + 1 two fingerprints that differ in at most `most` bits differ in at most t_i bits
+  in some part, so no link is lost.
+- `similarity`: shingle sets of Jaccard similarity J have a cosine of 2J / (1 + J) and differ in about a share of
+  arccos(cosine) / pi of the bits: 0.15 for 0.8. To cover every such pair thresholds would have to add up to far more
+  signatures than can be written, so the fingerprint has 64 * WORDS bits, the bits are grouped several times over, and the
+  program chooses the cheapest thresholds with which two texts of that similarity meet with a chance of `recall`
+  or more. Links need at most as many different bits as nine in ten pairs of that similarity have.
+  The number of signatures grows about with the 0.3rd power of the number of fingerprints.
+
+Only different fingerprints are probed, so exact copies never meet. A signature's group is verified in numpy, one of more than
+TILE fingerprints in pairs of slices, and stars (member, least member joined to it) are returned rather than
 all pairs. Components are found by alternating large-star and small-star steps on the links; each step is a
 grouped aggregation written to the shared folder.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; texts
 with fewer words than a shingle give one shingle; rows of one doc_id share the least component of any of
 them only through equal or near fingerprints, as any rows do. A null doc_id never names a component unless no
-member has an id (then it is null). Extra columns are ignored. Empty tables give empty results.
+member has an id (then it is null). Extra columns are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.llm import common as C
 
 BITS = 64
+#: 64-bit words of a fingerprint that is compared by similarity.
+WORDS = 4
 SAMPLE = 20_000
 TILE = 1024
+ROWS = 1 << 15
+BLOCK = 1 << 18
+#: The eight bits of each byte, the lowest first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1].astype(float)
 
 
-def fingerprint(text: bytes | None, words: int = 3, n: int = 1) -> np.ndarray:
-    """n unsigned 64-bit fingerprints of a text's shingles, repeats included; those after the first are of the hashes mixed anew."""
+def fingerprints_of(texts: list[bytes | None], words: int = 3, n: int = 1) -> np.ndarray:
+    """(texts, n) unsigned 64-bit fingerprints of the texts' shingles, repeats included; those after the first are of the hashes mixed anew."""
     import xxhash
 
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(n, np.uint64)
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    m = max(1, len(found) - words + 1)
-    last = ends[-m:].tolist() if len(found) >= words else [len(joined)]
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), last, strict=True)], np.uint64)
-    return np.array([_majority(C.mix(h + np.uint64(i)) if i else h) for i in range(n)], np.uint64)
+    out, digest = np.zeros((len(texts), n), np.uint64), xxhash.xxh64_intdigest
+    hashes, rows, held = [], [], 0
+
+    def vote() -> None:
+        if rows:
+            h, size = np.concatenate(hashes), np.array([len(x) for x in hashes])
+            at = np.repeat(np.arange(len(rows)) * 256, size)
+            for k in range(n):
+                out[rows, k] = _majority(C.mix(h + np.uint64(k)) if k else h, at, size)
+            hashes.clear()
+            rows.clear()
+
+    for i, text in enumerate(texts):
+        found = (text or b"").lower().split()
+        if not found:
+            continue
+        joined = b" ".join(found)
+        ends = np.cumsum([len(w) + 1 for w in found]) - 1
+        starts = np.append(0, ends[:-1] + 1)
+        m = max(1, len(found) - words + 1)
+        last = ends[-m:].tolist() if len(found) >= words else [len(joined)]
+        hashes.append(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), last, strict=True)], np.uint64))
+        rows.append(i)
+        held += m
+        if held > BLOCK or len(rows) >= 512:
+            vote()
+            held = 0
+    vote()
+    return out
+
+
+def _majority(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each text the bits set in over half of its hashes: bytes are counted by value, at tells where a text's counts begin."""
+    out = np.zeros(len(size), np.uint64)
+    for byte in range(8):
+        value = (h >> np.uint64(8 * byte)).astype(np.uint8)
+        votes = np.bincount(at + value, minlength=256 * len(size)).reshape(-1, 256) @ BYTE_BITS
+        out |= np.packbits(2 * votes > size[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * byte)
+    return out
+
+
+def fingerprint(text: bytes | None, words: int = 3, n: int = 1) -> np.ndarray:
+    return fingerprints_of([text], words, n)[0]
 
 
-def _majority(h: np.ndarray) -> int:
-    votes = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        votes += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h)).view(">u8")[0])
+def _columns(n: int) -> list[str]:
+    return [f"fp{k or ''}" for k in range(n)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: bool = False) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), with `second` also the second one, fp2."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n: int = 1) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), with n > 1 also fp1, fp2, ..."""
     import pyarrow as pa
 
-    names = ["fp", "fp2"] if second else ["fp"]
+    C.small_batches(docs.sparkSession)
 
     def of(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), words, len(names)) for x in batch.column(1)], np.uint64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f) for f in fps.view(np.int64).T]], ["doc_id", *names])
+            fps = fingerprints_of(batch.column(1).to_pylist(), words, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(f)) for f in fps.view(np.int64).T]], ["doc_id", *_columns(n)])
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return t.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return t.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in _columns(n)))
+
+
+def _unpacked(sample: np.ndarray) -> np.ndarray:
+    """(fingerprints, bits) of a sample of words, bit 0 of the first word first."""
+    sample = sample if sample.ndim == 2 else sample[:, None]
+    if not len(sample):
+        return np.zeros((1, BITS * max(1, sample.shape[1])), np.uint8)
+    return np.unpackbits(sample.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+
+
+def _ties(bits: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(np.abs(np.corrcoef(bits.T.astype(float)))) if len(bits) > 1 else np.zeros((bits.shape[1],) * 2)
 
 
 def plan_parts(sample: np.ndarray, n: int, most: int = 3) -> list[tuple[list[int], int]]:
     """Parts of the 64 bits with their thresholds (parts with threshold -1 are left out), for n fingerprints in all."""
-    bits = np.unpackbits(sample.astype(">u8").view(np.uint8)).reshape(-1, BITS)[:, ::-1] if len(sample) else np.zeros((1, BITS), np.uint8)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        tied = np.nan_to_num(np.abs(np.corrcoef(bits.T.astype(float))))
+    bits = _unpacked(sample)
+    tied = _ties(bits)
     best: tuple[float, list] = (math.inf, [])
     for m in range(1, most + 2):
         parts = _correlated(tied, m)
@@ -103,22 +153,105 @@ def plan_parts(sample: np.ndarray, n: int, most: int = 3) -> list[tuple[list[int
     return best[1]
 
 
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two texts of a Jaccard similarity differ on average."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def most_bits(n_bits: int, similarity: float) -> int:
+    """Different bits that nine in ten pairs of the similarity don't exceed."""
+    p = share_of_bits(similarity)
+    return round(n_bits * p + 1.28 * math.sqrt(n_bits * p * (1 - p)))
+
+
+@functools.cache
+def _missed(size: int, t: int, n_bits: int, different: int) -> float:
+    """Log of the chance that more than t of a part's bits are among the different ones."""
+    ways = (math.comb(different, k) * math.comb(n_bits - different, size - k) for k in range(t + 1) if k <= different and size - k <= n_bits - different)
+    return math.log(max(1e-12, 1 - sum(ways) / math.comb(n_bits, size)))
+
+
+def met(plan: list[tuple[list[int], int]], n_bits: int, different: int) -> float:
+    """The chance that two fingerprints with so many different bits meet under some signature of a plan."""
+    return 1 - math.exp(sum(_missed(len(part), t, n_bits, different) for part, t in plan))
+
+
+def expected_recall(plan: list[tuple[list[int], int]], n_bits: int, similarity: float) -> float:
+    p = share_of_bits(similarity)
+    chance = lambda d: math.comb(n_bits, d) * p**d * (1 - p) ** (n_bits - d)
+    near = range(int(n_bits * p * 0.3), int(n_bits * p * 1.7) + 2)
+    return sum(chance(d) * met(plan, n_bits, d) for d in near)
+
+
+def plan_recall(sample: np.ndarray, n: int, similarity: float, recall: float) -> list[tuple[list[int], int]]:
+    """Parts with thresholds of the least estimated cost with which pairs of the similarity meet with a chance of recall."""
+    bits = _unpacked(sample)
+    n_bits, p = bits.shape[1], share_of_bits(similarity)
+    few, best = bits[:4000], (math.inf, [])
+    tied, pair = _ties(few), 0.004 * n_bits / BITS
+    need = -math.log(1 - recall)
+    for size in range(10, 31, 2):
+        hit = [sum(math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(t + 1)) for t in range(2)]
+        gain = [-math.log(1 - h) for h in hit]
+        rounds = math.ceil(2.5 * need / gain[0] / (n_bits // size))
+        parts = _correlated(tied, n_bits // size)
+        rng = np.random.default_rng(size)
+        for _ in range(rounds - 1):  # the same bits in other groups
+            order = rng.permutation(n_bits)
+            parts += [sorted(order[i * size : (i + 1) * size].tolist()) for i in range(n_bits // size)]
+        cost = [[_cost(few, part, t, max(n, 1), pair) for t in range(2)] for part in parts]
+        for step in range(13):  # bits of one pair are no independent draws, so more is aimed at until the chance is reached
+            plan, total = _cheapest(parts, cost, gain, need * 1.07**step)
+            if total >= best[0]:
+                break
+            if expected_recall(plan, n_bits, similarity) >= recall:
+                best = (total, plan)
+                break
+    return best[1]
+
+
+def _cheapest(parts: list, cost: list, gain: list[float], target: float) -> tuple[list, float]:
+    """The least cost of thresholds -1, 0 or 1 whose gains reach the target, by dynamic programming on steps of a 400th of it."""
+    steps = 400
+    worth = [min(steps, max(1, int(g / target * steps))) for g in gain]
+    left = np.append(0.0, np.full(steps, math.inf))  # left[s]: least cost of a gain of s steps, the last: or more
+    chosen = []
+    for each in cost:
+        best, at, came = left.copy(), np.full(steps + 1, -1), np.arange(steps + 1)
+        for t, w in enumerate(worth):
+            new, source = np.full(steps + 1, math.inf), np.maximum(np.arange(steps + 1) - w, 0)
+            new[w:] = left[: steps + 1 - w] + each[t]
+            source[steps] = steps - w + int(left[steps - w : steps].argmin())
+            new[steps] = left[source[steps]] + each[t]
+            better = new < best
+            best[better], at[better], came[better] = new[better], t, source[better]
+        left = best
+        chosen.append((at, came))
+    plan, s = [], steps
+    for part, (at, came) in zip(parts[::-1], chosen[::-1], strict=True):
+        if at[s] >= 0:
+            plan.append((part, int(at[s])))
+        s = came[s]
+    return plan, float(left[steps])
+
+
 def _correlated(tied: np.ndarray, m: int) -> list[list[int]]:
     """m parts of nearly equal size; each grows from the free bit with the strongest ties by the bits tied to it most."""
-    free, parts = set(range(BITS)), []
+    n_bits, free, parts = len(tied), np.ones(len(tied), bool), []
     for i in range(m):
-        size = (BITS - sum(map(len, parts))) // (m - i)
-        part = [max(sorted(free), key=lambda b: sum(tied[b][x] for x in free))]
-        free.discard(part[0])
-        while len(part) < size:
-            part.append(max(sorted(free), key=lambda b: sum(tied[b][x] for x in part)))
-            free.discard(part[-1])
+        size = (n_bits - sum(map(len, parts))) // (m - i)
+        strength = np.where(free, tied[:, free].sum(1), -1.0)
+        part = []
+        for _ in range(size):
+            part.append(int(strength.argmax()))
+            free[part[-1]] = False
+            strength = np.where(free, tied[:, part].sum(1), -1.0)
         parts.append(sorted(part))
     return parts
 
 
-def _cost(bits: np.ndarray, part: list[int], t: int, n: int) -> float:
-    """Signatures written for a part, with pairs that share one; a pair costs a 250th of a row."""
+def _cost(bits: np.ndarray, part: list[int], t: int, n: int, pair: float = 0.004) -> float:
+    """Signatures written for a part, with pairs that share one; a pair of 64 bits costs a 250th of a row."""
     if t >= len(part):  # no bits left to compare
         return math.inf
     signatures = math.comb(len(part), t)
@@ -126,40 +259,41 @@ def _cost(bits: np.ndarray, part: list[int], t: int, n: int) -> float:
     # chance that two fingerprints agree in the part: from blocks of 8 bits, as a sample has few agreements in all of them
     agree = 1.0
     for i in range(0, len(part), 8):
-        _, c = np.unique(np.packbits(rows[:, i : i + 8], axis=1), return_counts=True)
+        c = np.bincount(np.packbits(rows[:, i : i + 8], axis=1)[:, 0], minlength=256)
         agree *= float((c / c.sum()) @ (c / c.sum()))
     rare = float(np.mean(np.minimum(rows.mean(0), 1 - rows.mean(0)) * 2).clip(0.05, 1))
-    return n * signatures + 0.004 * n * n / 2 * agree * signatures * (1 + rare) ** t
+    return n * signatures + pair * n * n / 2 * agree * signatures * (1 + rare) ** t
 
 
-def _masks(plan: list[tuple[list[int], int]]) -> list[int]:
-    """For each signature the bits it compares, as a signed long."""
+def _masks(plan: list[tuple[list[int], int]], n: int = 1) -> list[list[int]]:
+    """For each signature the bits it compares of each word, as signed longs."""
     out = []
     for part, t in plan:
         whole = sum(1 << b for b in part)
         for gone in itertools.combinations(part, t):
-            out.append(whole - sum(1 << b for b in gone))
-    return [x - (1 << BITS) if x >= 1 << (BITS - 1) else x for x in out]
+            mask = whole - sum(1 << b for b in gone)
+            words = [mask >> BITS * k & (1 << BITS) - 1 for k in range(n)]
+            out.append([x - (1 << BITS) if x >= 1 << (BITS - 1) else x for x in words])
+    return out
 
 
-def _stars(tile: np.ndarray, fp: np.ndarray, most: int, fp2: np.ndarray | None = None, most_both: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _stars(tile: np.ndarray, node: np.ndarray, fps: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, least member joined to it) in each tile; rows of one tile stand together. All pairs of a tile are compared, few are returned."""
     if not len(tile):
-        return fp, fp
+        return node, node
     firsts = C.starts_of_runs(tile)
     end = np.repeat(np.append(firsts[1:], len(tile)), np.diff(np.append(firsts, len(tile))))
     row, pairs = np.arange(len(tile)), []
     step = 1
     while len(row := row[row + step < end[row]]):
-        bits = np.bitwise_count(fp[row] ^ fp[row + step])
-        is_near = bits <= most
-        if fp2 is not None:
-            is_near &= bits + np.bitwise_count(fp2[row] ^ fp2[row + step]) <= most_both
-        near = row[is_near]
+        bits = np.zeros(len(row), np.int32)
+        for fp in fps:
+            bits += np.bitwise_count(fp[row] ^ fp[row + step])
+        near = row[bits <= most]
         pairs.append((near, near + step))
         step += 1
     if not pairs:
-        return fp[:0], fp[:0]
+        return node[:0], node[:0]
     i, j = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
     label = np.arange(len(tile))
     while True:
@@ -170,47 +304,54 @@ def _stars(tile: np.ndarray, fp: np.ndarray, most: int, fp2: np.ndarray | None =
         np.minimum.at(label, j, least)
         label = label[label]
     joined = np.flatnonzero(label != np.arange(len(tile)))
-    return fp[joined], fp[label[joined]]
+    return node[joined], node[label[joined]]
 
 
-def _verify(most: int, most_both: int | None):
+def _verify(most: int):
     import pyarrow as pa
 
-    def found(tile, fp, fp2=None):
-        a, b = _stars(tile, fp.view(np.uint64), most, fp2 if fp2 is None else fp2.view(np.uint64), most_both)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def found(tile, node, *fps):
+        a, b = _stars(tile, node, [f.view(np.uint64) for f in fps], most)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def verify(batches):
-        kept = [np.zeros(0, np.int64)] * (2 if most_both is None else 3)  # the last tile, which may go on in the next batch: two slices at most
+        kept, held = [], 0  # rows not compared yet: the last tile may go on in the next batch, and has two slices at most
         for batch in batches:
-            tile, *fps = (np.concatenate([k, np.asarray(c)]) for k, c in zip(kept, batch.columns, strict=True))
-            if len(tile):
-                last = int(np.flatnonzero(np.append(True, tile != tile[-1]))[-1])
-                yield found(tile[:last], *[f[:last] for f in fps])
-                kept = [tile[last:], *[f[last:] for f in fps]]
-        yield found(*kept)
+            kept.append([np.asarray(c) for c in batch.columns])
+            held += batch.num_rows
+            if held > ROWS:
+                columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
+                last = int(np.flatnonzero(np.append(True, columns[0] != columns[0][-1]))[-1])
+                yield found(*[c[:last] for c in columns])
+                kept, held = [[c[last:] for c in columns]], 0
+        if kept:
+            yield found(*[np.concatenate(c) for c in zip(*kept, strict=True)])
 
     return verify
 
 
-def links(fps: DataFrame, most: int = 3, most_both: int | None = None, planned: int = 1) -> DataFrame:
-    """a, b: pairs of different fingerprints (column fp, no repeats; with most_both also fp2) whose components are those of all links."""
-    columns = ["fp"] if most_both is None else ["fp", "fp2"]
-    p = C.partitions(fps.sparkSession)
+def links(fps: DataFrame, most: int = 3, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
+    """a, b: pairs of nodes (columns node and fp, fp1, ...; no repeats) whose components are those of all links."""
+    columns = [c for c in fps.columns if c.startswith("fp")]
+    n_bits, p = BITS * len(columns), C.partitions(fps.sparkSession)
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    masks = _masks(plan_parts(sample, max(n, planned), most))
-    rows = fps.select(*columns, F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("i", "mask"))
-    rows = rows.select(*columns, F.xxhash64("i", F.col("fp").bitwiseAND(F.col("mask"))).alias("group"))
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(sizes, "group")
+    sample = np.array([list(r) for r in fps.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(SAMPLE).collect()], np.int64).reshape(-1, len(columns)).view(np.uint64)
+    if similarity is None:
+        plan = plan_parts(sample, n, most)
+    else:
+        plan, most = plan_recall(sample, n, similarity, recall), most_bits(n_bits, similarity)
+    masks = F.array(*[F.struct(*[F.lit(m).alias(c) for c, m in zip(columns, mask, strict=True)]) for mask in _masks(plan, len(columns))])
+    rows = fps.select("node", *columns, F.posexplode(masks).alias("i", "mask"))
+    rows = rows.select(F.xxhash64("i", *[F.col(c).bitwiseAND(F.col(f"mask.{c}")) for c in columns]).alias("tile"), "node", *columns).repartition(p, "tile")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tile"))).filter("n > 1")
+    small = rows.filter(F.col("n") <= TILE).select("tile", "node", *columns)
     # a group of more than TILE is cut into slices, and each pair of slices is a tile
     slices = F.ceil(F.col("n") / TILE)
-    own = F.pmod(F.xxhash64(F.lit(1), "fp"), slices)
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), slices)
     others = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
-    rows = rows.select(*columns, "group", F.explode(others).alias("tile"))
-    rows = rows.select(F.xxhash64("group", "tile.x", "tile.y").alias("tile"), *columns).repartition(p, "tile").sortWithinPartitions("tile", "fp")
-    found = rows.mapInArrow(_verify(most, most_both), "a long, b long")
+    large = rows.filter(F.col("n") > TILE).select("node", *columns, "tile", F.explode(others).alias("pair"))
+    large = large.select(F.xxhash64("tile", "pair.x", "pair.y").alias("tile"), "node", *columns).repartition(p, "tile").sortWithinPartitions("tile", "node")
+    found = small.mapInArrow(_verify(most), "a long, b long").unionByName(large.mapInArrow(_verify(most), "a long, b long"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -228,6 +369,7 @@ def connected(edges: DataFrame) -> DataFrame:
         new = C.materialise(small)
         n, same, stars = new.agg(F.count(F.lit(1)), F.count_distinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         old = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        C.discard(edges)
         edges = new
         if n == old[0] and stars == old[1]:
             break
@@ -235,23 +377,25 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, most_both: int | None = None, planned: int = 1) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach). Texts with equal first fingerprints are one class, with the least second one."""
-    t = C.materialise(fingerprints(docs, id_col, text_col, words, most_both is not None))
-    seconds = [] if most_both is None else [F.min("fp2").alias("fp2")]
-    classes = C.materialise(t.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *seconds))
-    roots = connected(links(classes.drop("least_id"), most, most_both, planned))
-    near = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, the first 64 bits), component_id (the least doc_id that links reach). Links: at most `most` of 64 bits differ or, with similarity, see above."""
+    n = 1 if similarity is None else WORDS
+    t = fingerprints(docs, id_col, text_col, words, n)
+    t = C.materialise(t.withColumn("node", F.col("fp") if n == 1 else F.xxhash64(*_columns(n))))
+    classes = C.materialise(t.groupBy("node", *_columns(n)).agg(F.min("doc_id").alias("least_id")))
+    roots = connected(links(classes.drop("least_id"), most, similarity, recall)).withColumnRenamed("node", "member")
+    near = classes.join(roots, F.col("node") == F.col("member"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = near.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    near = near.join(ids, "root").select("fp", "component_id")
-    return t.join(near, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    near = near.join(ids, "root").select("node", "component_id")
+    return t.join(near, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the members of a component other than its least id, columns unchanged; rows without id stay."""
     groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(C.whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("key"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):

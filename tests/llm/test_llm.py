@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -130,10 +131,16 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
-def test_exact_dedup_of_a_hot_text(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("text"))
-    got = exact_dedup.exact_groups(df).filter("row.text is null").agg(F.min("group_size"), F.max("keep_id"), F.count_if("kept")).first()
-    assert tuple(got) == (1000, 2997, 1)
+@pytest.mark.parametrize("copies", [2, 200, 3000])
+def test_exact_dedup_of_a_hot_text(spark, copies):
+    same = F.col("doc_id") < copies
+    df = spark.range(3300).toDF("doc_id").select("doc_id", F.when(same, F.lit(None)).otherwise(F.col("doc_id").cast("string")).alias("text"))
+    got = exact_dedup.exact_groups(df).filter("row.text is null").agg(F.min("group_size"), F.max("group_size"), F.max("keep_id"), F.count_if("kept")).first()
+    assert tuple(got) == (copies, copies, copies - 1, 1)
+    kept = exact_dedup.drop_copies(df).collect()
+    assert len(kept) == 3301 - copies and [r.doc_id for r in kept if r.text is None] == [copies - 1]
+    without = exact_dedup.drop_copies(df.withColumn("doc_id", F.when(~same, F.col("doc_id"))).repartition(5))
+    assert without.count() == 3301 - copies and without.filter("text is null").count() == 1
 
 
 @pytest.mark.parametrize(("url", "verdict"), [(None, "allow"), ("", "allow"), ("http://a.org/casino", "block"), ("http://a.org/casinos", "allow"), ("http://a.org/free", "allow"), ("http://a.org/free-free", "allow"), ("http://a.org/FREE-bets", "block"), ("http://x.net/a", "block"), ("http://b.example.net/en/casino", "allow"), ("net/a", "allow"), ("http://org/fr/casino", "allow"), ("http://Net/", "block"), ("http://net?x", "allow"), ("http://freebets.org", "allow")])
@@ -167,6 +174,47 @@ def test_mixing(spark, docs):
     assert bag(got) == bag(mixing.mix(docs.repartition(5)).select("row.source", "row.text", "size", "source_size", "target", "taken").collect())
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(docs.filter("text is null")).filter("taken = 0 and target = 0").count() == 2
+
+
+def test_mixing_is_weighted_fair_queueing(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 2, 5, 9, 40])), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
+    key = {r.doc_id: r.key for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(42), "doc_id", F.lit(0).cast("long") + F.regexp_count("text", F.lit("w")).cast("long")), 24).alias("key")).collect()}
+    queues = collections.defaultdict(list)
+    for r in got:
+        queues[r.source].append((key[r.doc_id], r.doc_id, r.size, math.floor(r.target)))
+    heap, left = [], {}
+    for source, queue in queues.items():
+        left[source] = iter(sorted(queue) * 2)
+        heap.append([0, source or "", source])
+
+    def advance(entry, at):
+        """The next copy of a source with its finish time; where the source reaches its target the copy is cut."""
+        for _, i, size, target in left[entry[2]]:
+            if size:
+                inside = max(0, min(size, target - at))
+                return [[(at + inside) / target, i, inside]] * (inside > 0) + [[(at + size) / target, i, size - inside]] * (size > inside), at + size
+        return [], at
+
+    waiting = []
+    for _, _, source in heap:
+        at = 0
+        while True:
+            parts, at = advance([0, "", source], at)
+            if not parts:
+                break
+            waiting += [(f, source or "", n, i, words) for n, (f, i, words) in enumerate(parts)]
+    budget, taken = sum({r.source: math.floor(r.target) for r in got}.values()), collections.Counter()
+    heapq.heapify(waiting)
+    while waiting and budget:
+        _, _, _, i, words = heapq.heappop(waiting)
+        assert words <= budget
+        budget -= words
+        taken[i] += words
+    assert budget == 0 and {r.doc_id: r.taken for r in got} == {i: taken[i] for i, *_ in rows}
 
 
 def test_packing(spark, docs):
@@ -243,26 +291,37 @@ def test_simhash_near_copies(spark):
                 changed[at] = "changed"
             rows.append((group * 4 + copy, " ".join(changed)))
     rows += [(1000, None), (1001, ""), (None, rows[0][1]), (1002, "one"), (1003, "two words")]
-    fps = {i: simhash.fingerprint((t or "").encode(), 5, 2).tolist() for i, t in rows if i is not None}
+    fps = {i: simhash.fingerprint((t or "").encode(), 5, simhash.WORDS) for i, t in rows if i is not None}
+    most = simhash.most_bits(64 * simhash.WORDS, 0.8)
     least = {i: i for i in fps}
     for _ in range(5):
         for a, b in ((a, b) for a in fps for b in fps):
-            first, second = ((x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
-            if first <= 10 and first + second <= 22:
+            if np.bitwise_count(fps[a] ^ fps[b]).sum() <= most:
                 least[a] = least[b] = min(least[a], least[b])
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, words=5, most=10, most_both=22).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit("x"), "key": F.lit("y"), "__gone": F.lit(1), "node": F.lit(2)})
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df, words=5, similarity=0.8, recall=0.999).collect()}
     assert got.pop(None) == 0 and got == least
     assert sum(got[i] == i // 4 * 4 for i in range(160)) >= 155 and all(got[i] // 4 == i // 4 for i in range(160))
-    kept = [r.doc_id for r in simhash.drop_near(df, words=5, most=10, most_both=22).collect()]
-    assert len(kept) == len(set(got.values())) + 1
+    out = simhash.drop_near(df, words=5, similarity=0.8, recall=0.999)
+    assert out.columns == df.columns and out.count() == len(set(got.values())) + 1
+
+
+def test_recall_plan_reaches_its_recall():
+    rng = np.random.default_rng(4)
+    p = simhash.share_of_bits(0.8)
+    for n in (10**3, 10**5, 10**7):
+        plan = simhash.plan_recall(rng.integers(0, 1 << 63, (800, 4), dtype=np.uint64), n, 0.8, 0.95)
+        masks = np.array([[m & (1 << 64) - 1 for m in mask] for mask in simhash._masks(plan, 4)], np.uint64)
+        flips = np.packbits(rng.random((3000, 256)) < p, axis=1, bitorder="little").view("<u8")
+        met = sum(bool(((f & masks) == 0).all(1).any()) for f in flips)
+        assert met / len(flips) >= 0.94 and len(masks) < 20 * n**0.3
 
 
 def test_simhash_links_dense_groups(spark):
     rng = random.Random(1)
     fps = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}) for c in [rng.getrandbits(64) for _ in range(4)] for _ in range(200)}
     signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
-    found = simhash.connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")))
+    found = simhash.connected(simhash.links(spark.createDataFrame([(f, f) for f in signed], "node long, fp long")))
     assert found.count() == len(fps) and found.select("root").distinct().count() == 4
 
 
@@ -270,7 +329,7 @@ def test_pigeonhole_plan_covers_every_link():
     rng = np.random.default_rng(2)
     for n, most in ((100, 3), (10**5, 3), (10**8, 3), (10**4, 10), (10**7, 10)):
         plan = simhash.plan_parts(rng.integers(0, 1 << 63, 500, dtype=np.uint64), n, most)
-        masks = [m & (1 << 64) - 1 for m in simhash._masks(plan)]
+        masks = [m[0] & (1 << 64) - 1 for m in simhash._masks(plan)]
         assert masks
         for _ in range(500):
             bits = sum({1 << int(b) for b in rng.integers(0, 64, most)})
