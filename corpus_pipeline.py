@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, for each component of near copies: five words, a similarity of about 0.8 by the fingerprints."""
-    return simhash.drop_near(docs.select(*COLUMNS), words=5, most=10, most_both=22, planned=3_000_000)
+    return simhash.drop_near(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir))
+        last, docs = docs, common.materialise(stage(spark, docs, sf_dir))
+        common.discard(last)
     return docs
