@@ -146,6 +146,6 @@ def one_way(value: Column) -> Column:
 
 
 def clean_polyline(points: Column, origin: Column, destination: Column) -> Column:
-    """Complete points only; fewer than two become the straight line between the ends."""
+    """Complete points only; a single one becomes the straight line between the ends, and none stays none."""
     good = F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
-    return F.when(F.size(good) >= 2, good).otherwise(F.array(origin, destination))
+    return F.when(F.size(good) == 1, F.array(origin, destination)).otherwise(good)

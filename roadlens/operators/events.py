@@ -86,9 +86,9 @@ def transactions(segments: DataFrame) -> DataFrame:
     return with_tokens(segments).select("segment_id", F.explode("tokens").alias("token"))
 
 
-def one_hot(segments: DataFrame) -> DataFrame:
-    """Wide form: one 0/1 column per token, in order; the vocabulary has a few labels for each attribute."""
-    return transactions(segments).groupBy("segment_id").pivot("token").agg(F.lit(1).cast("long")).na.fill(0)
+def one_hot(segments: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """Wide form: one 0/1 column per token, those of the vocabulary or all in order (a few labels for each attribute)."""
+    return transactions(segments).groupBy("segment_id").pivot("token", vocabulary).agg(F.lit(1).cast("long")).na.fill(0)
 
 
 def options(segments: DataFrame, events: DataFrame) -> DataFrame:

@@ -32,13 +32,13 @@ def limited(spots: DataFrame, n: int = 2000) -> DataFrame:
 def heat(spots: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id with the points that match its day, hour and bucket; all points for a request that matches none.
 
-    requests: request_id, day, hour; a small table of trips (each gets at most all of the limited spots).
+    requests: request_id, day, hour. spots: what limited() leaves.
     """
     r = requests.select("request_id", F.col("day").alias("want_day"), "hour", S.hour_bucket(F.col("hour")).alias("want_bucket"))
     inside = F.when(F.col("start_hour") <= F.col("end_hour"), F.col("hour").between(F.col("start_hour"), F.col("end_hour"))).otherwise((F.col("hour") >= F.col("start_hour")) | (F.col("hour") <= F.col("end_hour")))
     match = (F.col("day") == F.col("want_day")) & ~F.col("day_missing") & ((F.col("bucket") == "") | (F.col("bucket") == F.col("want_bucket"))) & F.coalesce(inside, F.lit(True))
     matched = spots.join(r, (F.col("day") == F.col("want_day")) & match)
     none = r.join(matched.select("request_id").distinct(), "request_id", "left_anti")
-    rest = spots.join(none, F.lit(True))
+    rest = none.crossJoin(F.broadcast(spots))  # limited() leaves 10,000 spots at most
     keep = ["request_id", *spots.columns]
     return matched.select(*keep).unionByName(rest.select(*keep))

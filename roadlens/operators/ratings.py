@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
-from roadlens.operators import spatial
+from roadlens.operators import cf, spatial
 
 
 def in_region(df: DataFrame, region: str) -> DataFrame:
@@ -76,9 +76,15 @@ def road_profiles(roads: DataFrame, region: str = "regional") -> DataFrame:
     return a.select("via", rows.alias("x")).select("x.user_id", "via", "x.rating")
 
 
+def draw(*parts: Column) -> Column:
+    """A number between 0 and 1 from 52 bits of the MD5 of the parts, so that partitioning has no influence."""
+    digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
+    return (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def noise(via: Column, profile: str, seed: int) -> Column:
-    """Standard normal noise from hashes of the via (Box-Muller), so that partitioning has no influence."""
-    u = lambda k: (F.shiftrightunsigned(F.xxhash64(via, F.lit(profile), F.lit(seed), F.lit(k)), 11) + 1) / float((1 << 53) + 1)
+    """Standard normal noise of a via for a profile (Box-Muller)."""
+    u = lambda k: draw(via, F.lit(profile), F.lit(str(seed)), F.lit(str(k)))
     return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1))
 
 
@@ -115,7 +121,8 @@ def sampled_profiles(profiles: DataFrame, seed: int = 42) -> DataFrame:
     wanted, share = F.lit(False), F.lit(0.0)
     for user, (mask, fraction) in rules.items():
         wanted, share = F.when(F.col("user_id") == user, mask).otherwise(wanted), F.when(F.col("user_id") == user, fraction).otherwise(share)
-    group = Window.partitionBy("user_id")
-    t = profiles.withColumn("share", share).filter(wanted).withColumn("n", F.count(F.lit(1)).over(group))
-    t = t.withColumn("place", F.row_number().over(group.orderBy(F.xxhash64("via", F.lit(seed)), "via")))
-    return t.filter(F.col("place") <= F.round(F.col("share") * F.col("n"))).select("user_id", "via", F.round("rating", 2).alias("rating"))
+    t = profiles.withColumn("share", share).filter(wanted).withColumn("drawn", draw(F.col("via"), F.lit(str(seed))))
+    t = cf.ranked(t, F.col("user_id"), F.col("drawn"), F.col("via"))  # over ranges: a profile has all vias
+    users = t.groupBy("user_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    t = t.join(F.broadcast(users), "user_id")  # a row for each profile
+    return t.filter(F.col("place") - F.col("first") < F.round(F.col("share") * F.col("n"))).select("user_id", "via", F.round("rating", 2).alias("rating"))

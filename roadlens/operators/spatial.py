@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
+from roadlens.sources.shared import saved
 
 RADIUS_M = 60.0
 DEGREE_M = 111_194.9  # metres in a degree of latitude
@@ -47,20 +50,31 @@ def apply_penalties(roads: DataFrame, incidents: DataFrame, key: list[str], radi
 def nearest_nodes(points: DataFrame, nodes: DataFrame, exclude: str | None = None, cell: float = 0.01) -> DataFrame:
     """points (point_id, lat, lon) with node_id and km of the nearest node (ties: least node_id), NULL if there is none.
 
-    Nodes in the 3x3 cells around a point are tried first. A hit closer than the cells' margin is final; all other points
-    compare with every node, each partition of nodes keeping its best.
+    Nodes in the 3x3 cells around a point are tried; a hit closer than the cells' margin is final. Points without one go on with
+    cells eight times as wide, and so on; the last cells span the globe. Every join is on cells.
     """
-    p = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), *([F.col(exclude).alias("excluded")] if exclude else [F.lit(None).cast("string").alias("excluded")]))
+    excluded = F.col(exclude) if exclude else F.lit(None).cast("string")
+    left = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), excluded.alias("excluded"))
     n = nodes.filter("lat is not null and lon is not null").select("node_id", "lat", "lon")
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = p.withColumn("y", F.explode(F.array(*[at("p_lat") + d for d in (-1, 0, 1)]))).withColumn("x", F.explode(F.array(*[at("p_lon") + d for d in (-1, 0, 1)])))
     km = S.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
     other = F.col("excluded").isNull() | (F.col("node_id") != F.col("excluded"))
-    best = F.min_by(F.struct("node_id", "km"), F.struct("km", "node_id")).alias("best")
-    margin = F.lit(cell * DEGREE_M / 1000) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("p_lat") + 2 * cell)))
-    tried = around.join(n.withColumn("y", at("lat")).withColumn("x", at("lon")), ["y", "x"]).filter(other).withColumn("km", km)
-    hits = tried.withColumn("margin", margin).filter("km < margin").groupBy("point_id").agg(best)
-    rest = p.join(hits, "point_id", "left_anti")
-    far = n.join(rest, F.lit(True)).filter(other).withColumn("km", km).groupBy("point_id").agg(best)
-    found = hits.unionByName(far)
-    return points.select("point_id").join(found, "point_id", "left").select("point_id", "best.node_id", "best.km")
+    best, found = F.min_by(F.struct("node_id", "km"), F.struct("km", "node_id")).alias("best"), []
+    while True:
+        last = cell >= 360
+        at = lambda c, size=cell: F.floor(F.col(c) / size)
+        around = left.withColumn("y", F.explode(F.array(*[at("p_lat") + d for d in (-1, 0, 1)]))).withColumn("x", F.explode(F.array(*[at("p_lon") + d for d in (-1, 0, 1)])))
+        tried = around.join(n.withColumn("y", at("lat")).withColumn("x", at("lon")), ["y", "x"]).filter(other).withColumn("km", km)
+        if not last:
+            # degrees of longitude shrink towards the poles, and 3x3 cells of over 10 degrees are no neighbourhood on a sphere
+            margin = F.lit(cell * DEGREE_M / 1000) * F.cos(F.radians(F.least(F.lit(89.9), F.abs("p_lat") + 2 * cell))) if cell < 10 else F.lit(-1.0)
+            tried = tried.filter(F.col("km") < margin)
+        hits = saved(tried.groupBy("point_id").agg(best))
+        found.append(hits)
+        if last:
+            break
+        left = left.join(hits, "point_id", "left_anti")
+        if left.isEmpty():
+            break
+        cell = 360.0 if cell >= 10 else cell * 8
+    hits = reduce(DataFrame.unionByName, found)
+    return points.select("point_id").join(hits, "point_id", "left").select("point_id", "best.node_id", "best.km")

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
 from roadlens.operators import cf, events, graph, hotspots, paths, ratings, roads, routes, spatial
 from roadlens.sources import driver_tables as D
-from roadlens.sources import tables
+from roadlens.sources import shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: All tokens that the domain tables can have.
+ONE_HOT = [
+    *[f"evento={x}" for x in ("Accidente", "Congestión")],
+    *[f"comuna=Comuna {n}" for n in range(25)],
+    *[f"franja={x[2]}" for x in S.HOUR_BUCKETS],
+    *[f"duracion={x}" for x in (*[x[1] for x in S.DURATION_BUCKETS], S.LONGEST, S.NO_DURATION)],
+    *[f"velocidad={x}" for x in (*[x[1] for x in S.SPEED_BUCKETS], S.FASTEST, S.NO_SPEED)],
+    *[f"dia={x}" for x in ("Fin de semana", "Día laboral")],
+    *[f"via=Via {n}" for n in range(40)],
+    f"via={events.OTHER_VIAS}",
+]
 PREPARED = ["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "hora_inicio", "hora_fin", "comuna", "via", "oneway", "tipo_evento", "penalty_factor", "hora_num", "src_rank", "row_no", "franja_horaria", "dia_semana", "duracion_categoria", "velocidad_categoria", "segment_seq"]
 
 
@@ -93,7 +104,7 @@ def transactions_long(spark, d):
 
 @query
 def transactions_onehot(spark, d):
-    return events.one_hot(_summary(spark, d))
+    return events.one_hot(_summary(spark, d), ONE_HOT)
 
 
 @query
@@ -108,7 +119,7 @@ def hotspots_limited(spark, d):
 
 @query
 def heat_filter(spark, d):
-    trips = D.points(spark, d).filter("user_id % 50 = 0 and indice_coord = 0").select(F.col("user_id").alias("request_id"), S.weekday(F.col("fecha")).alias("day"), (F.col("user_id") % 24).cast("double").alias("hour"))
+    trips = D.points(spark, d).filter("indice_coord = 0").select(F.col("user_id").alias("request_id"), S.weekday(F.col("fecha")).alias("day"), (F.col("user_id") % 24).cast("double").alias("hour"))
     return _rounded(hotspots.heat(hotspots.limited(hotspots.hotspots(_incidents(spark, d))), trips).groupBy("request_id").agg(F.count(F.lit(1)).alias("points"), F.sum("weight").alias("weight")), "weight")
 
 
@@ -178,6 +189,56 @@ def strategy_overlap(spark, d):
     return _rounded(cf.overlap(_top(spark, d, "ubcf"), _top(spark, d, "ibcf")), "mean_a", "mean_b", "mean_difference")
 
 
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared.new_path(spark)}/{name}"
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c != "row_no"])
+
+
+@query
+def accidents_from_csv(spark, d):
+    """Accidents written as CSV in order, read back as text and prepared."""
+    path, t = _file(spark, "accidents.csv"), D.accidents(spark, d)
+    _text(t.repartitionByRange(4, "row_no").sortWithinPartitions("row_no")).write.option("header", True).option("emptyValue", "").option("nullValue", "NULL").csv(path)
+    read = tables.scan_events(spark, path, "accidente")
+    return events.prepare(read.withColumns({c: F.nullif(F.col(c), F.lit("NULL")) for c in read.columns if c != "row_no"}), "accidente").select("segment_id", "segment_seq", "row_no", "duracion_hrs", "velocidad_kmh", "via", "hora_num", "tipo_evento", "oneway")
+
+
+@query
+def roads_from_csv(spark, d):
+    """Roads written as CSV in order and without oneway, read back and prepared."""
+    path, t = _file(spark, "roads.csv"), D.roads(spark, d).drop("oneway")
+    _text(t.repartitionByRange(4, "row_no").sortWithinPartitions("row_no")).write.option("header", True).csv(path)
+    return events.prepare(tables.scan_roads(spark, path), "referencia").select("segment_id", "segment_seq", "row_no", "oneway", "via")
+
+
+@query
+def ratings_csv(spark, d):
+    """Ratings through the sink, which orders them by user and via, and the profile's scan."""
+    folder = shared.new_path(spark)
+    tables.write_csv(_rounded(D.ratings(spark, d), "rating"), f"{folder}/user_ratings_concepcion.csv")
+    return tables.profile_ratings(spark, folder, "concepcion")
+
+
+@query
+def road_rows_csv(spark, d):
+    path = _file(spark, "rows.csv")
+    tables.write_csv(road_rows(spark, d), path)
+    t = tables.scan(spark, path)
+    return t.select("segment_id", F.col("row_idx").cast("int").alias("row_idx"), F.col("velocidad_kmh").cast("double").alias("velocidad_kmh"), "via", "row_no")
+
+
+@query
+def derived_table(spark, d):
+    """Incidents through the Parquet sink, with each point's place among its segment's rows of a file."""
+    path = _file(spark, "incidents.parquet")
+    tables.write_table(_incidents(spark, d).drop("row_no").repartition(1), path, ["tipo_evento"])
+    t = tables.scan(spark, path).withColumn("row", F.row_number().over(Window.partitionBy("tipo_evento", "segment_id").orderBy("row_no")) - 1)
+    return t.select("segment_id", "segment_seq", "tipo_evento", "row")
+
+
 @query
 def ratings_by_user(spark, d):
     return _rounded(cf.ratings_by_user(D.ratings(spark, d)), "mean", "std")
@@ -249,14 +310,14 @@ def graph_stats(spark, d):
 
 def _road_graph(spark, d):
     """Graph of roads and incidents with penalties; written once, as every round of a solve reads it."""
-    e = paths.saved(_events(spark, d))
+    e = shared.saved(_events(spark, d))
     n, edges = graph.build(e)
-    return e, paths.saved(n), paths.saved(edges)
+    return e, n, shared.saved(_rounded(edges, "base_km", n=9))
 
 
 @query
 def nearest_node(spark, d):
-    p = D.points(spark, d).filter("event_id % 97 = 0").select(F.col("event_id").alias("point_id"), (F.col("lat") + 1.1e-4).alias("lat"), (F.col("lon") + 0.7e-4).alias("lon"))
+    p = D.points(spark, d).select(F.col("event_id").alias("point_id"), (F.col("lat") + 1.1e-4).alias("lat"), (F.col("lon") + 0.7e-4).alias("lon"))
     return _rounded(spatial.nearest_nodes(p, graph.nodes(_points(spark, d))), "km")
 
 
@@ -274,33 +335,39 @@ def incident_factors(spark, d):
     return _rounded(n.select("node_id", factor.alias("factor")), "factor")
 
 
-def _sql_trips(spark, d):
-    """The requests of every twentieth street, for which alone the SQL of the factors asks."""
-    return D.route_requests(spark, d).filter("request_id % 20 = 0")
-
-
 @query
 def via_factors(spark, d):
-    return routes.via_factors(_sql_trips(spark, d), "ubcf")
+    return routes.via_factors(D.route_requests(spark, d), "ubcf")
 
 
 @query
 def factor_compare(spark, d):
-    return _rounded(routes.compare_factors(_sql_trips(spark, d)), "share")
+    return _rounded(routes.compare_factors(D.route_requests(spark, d)), "share")
+
+
+@query
+def route_request_rejects(spark, d):
+    _, bad = routes.valid_requests(D.doubtful_route_requests(spark, d), spatial.bounds(D.points(spark, d)))
+    return bad.select("request_id", "departure_hour")
+
+
+@query
+def recommendation_request_rejects(spark, d):
+    _, bad = cf.valid_requests(D.doubtful_recommendation_requests(spark, d))
+    return bad.select("request_id", "user_id", "limit")
 
 
 def _routes(spark, d):
     e, n, edges = _road_graph(spark, d)
     requests, _ = routes.valid_requests(D.route_requests(spark, d), spatial.bounds(e))
-    requests = paths.saved(requests)
+    requests = shared.saved(requests)
     planned, found = routes.solve(requests, n, edges)
-    return e, requests, planned, found, paths.saved(routes.steps(planned, found, n))
+    return e, requests, planned, found, shared.saved(routes.steps(planned, found, n))
 
 
 @query
 def shortest_paths(spark, d):
-    _, _, planned, found, _ = _routes(spark, d)
-    return _rounded(found, "peso")
+    return _rounded(_routes(spark, d)[3], "peso")
 
 
 @query
@@ -309,6 +376,12 @@ def unroutable_requests(spark, d):
     return routes.unroutable(planned, found)
 
 
+@query
+def route_steps(spark, d):
+    columns = ["request_id", "variant", "position", "node_id", "lat", "lon", "tipo_evento", "dia_semana", "franja_horaria", "peso", "cumulative_km"]
+    return _rounded(_routes(spark, d)[4].select(*columns), "lat", "lon", "peso")
+
+
 @query
 def route_variants(spark, d):
     _, requests, _, _, step = _routes(spark, d)
@@ -324,7 +397,18 @@ def route_delay(spark, d):
 @query
 def route_geometry(spark, d):
     e, _, _, _, step = _routes(spark, d)
-    return routes.geometry(step, e)
+    return _rounded(routes.geometry(step, e), "lat", "lon")
+
+
+@query
+def polylines(spark, d):
+    """Each street's first points as a line; every third point lacks its latitude."""
+    lat = F.when(F.col("event_id") % 3 != 0, F.col("lat"))
+    p = D.points(spark, d).filter("indice_coord < 4").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("indice_coord", lat.alias("lat"), "lon"))).alias("points"))
+    end = lambda x: F.struct(F.lit(x).alias("lat"), F.lit(x).alias("lon"))
+    line = S.clean_polyline(F.transform("points", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))), end(0.0), end(1.0))
+    t = p.select("user_id", line.alias("line"))
+    return t.select("user_id", F.size("line").alias("points"), F.round(F.get("line", F.lit(0))["lat"], 6).alias("lat"), F.round(F.get("line", F.size("line") - 1)["lon"], 6).alias("lon"))
 
 
 @query

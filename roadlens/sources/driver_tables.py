@@ -57,34 +57,58 @@ def congestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers rate the parts they have ordered."""
     l = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")  # noqa: E741
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 200).alias("u"), (F.col("l_partkey") % 60).alias("v"), "l_quantity")
-    j = j.filter((F.col("u") * 31 + F.col("v") * 17) % 10 < 3)
-    return j.groupBy("u", "v").agg(F.avg(1 + F.col("l_quantity") % 5).alias("rating")).select(F.concat(F.lit("u"), "u").alias("user_id"), F.concat(F.lit("Via "), "v").alias("via"), "rating")
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.avg(1 + F.col("l_quantity") % 5).alias("rating"))
+    return j.select(F.concat(F.lit("u"), "o_custkey").alias("user_id"), F.concat(F.lit("Via "), "l_partkey").alias("via"), "rating")
 
 
 def recommendation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id (some unknown), known_vias, limit, strategies."""
-    c = _table(spark, sf_dir, "customer").select((F.col("c_custkey") % 220).alias("u")).distinct()
-    strategies = F.when(F.col("u") % 3 == 0, F.array(F.lit("ibcf"), F.lit("ibcf"), F.lit("other"))).when(F.col("u") % 3 == 1, F.array(F.lit("ibcf"), F.lit("ubcf"))).otherwise(F.array().cast("array<string>"))
-    return c.select(F.concat(F.lit("u"), "u").alias("user_id"), F.array(F.concat(F.lit("Via "), F.col("u") % 60)).alias("known_vias"), F.lit(5).alias("limit"), strategies.alias("strategies"))
+    """One request for each customer, some without orders: user_id, known_vias (one), limit, strategies."""
+    u = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+    strategies = F.when(u % 3 == 0, F.array(F.lit("ibcf"), F.lit("ibcf"), F.lit("other"))).when(u % 3 == 1, F.array(F.lit("ibcf"), F.lit("ubcf"))).otherwise(none)
+    known = F.array(F.concat(F.lit("Via "), u))
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), u).alias("user_id"), known.alias("known_vias"), F.lit(5).alias("limit"), strategies.alias("strategies"))
 
 
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for each street: a few blocks from its third point, or its last one; far streets don't cross, so their targets can't be reached."""
-    third = F.max_by(F.struct("lat", "lon"), "indice_coord").alias("p")
-    p = points(spark, sf_dir).filter("indice_coord <= 2").groupBy("user_id").agg(third).select("user_id", "p.lat", "p.lon")
+    """One request for each street: a few blocks on from its third point, or its last one if it is shorter.
+
+    Every tenth street starts at its last point. Such streets are one-way, so where no other points lie there, there is no way on.
+    """
+    p = points(spark, sf_dir).groupBy("user_id").agg(
+        F.max_by(F.struct("lat", "lon"), "indice_coord").alias("last"),
+        F.max_by(F.when(F.col("indice_coord") <= 2, F.struct("lat", "lon")), F.when(F.col("indice_coord") <= 2, F.col("indice_coord"))).alias("third"),
+    )
+    p = p.withColumn("p", F.when(F.col("user_id") % 10 == 0, F.col("last")).otherwise(F.col("third"))).select("user_id", "p.lat", "p.lon")
     own = F.col("user_id") % 3
     weight = lambda k: F.struct(F.concat(F.lit("Via "), (F.col("user_id") + k) % 40).alias("via"), ((F.col("user_id") + 3 * k) % 10 / 10.0).alias("weight"))
+    none = F.array().cast("array<struct<via:string,weight:double>>")
     return p.select(
         F.col("user_id").alias("request_id"),
         F.struct("lat", "lon").alias("origin"),
-        F.struct((F.col("lat") + 1e-3).alias("lat"), (F.col("lon") + 1.5e-3).alias("lon")).alias("destination"),
-        F.when(own != 0, F.array(weight(0), weight(1), weight(2))).otherwise(F.array().cast("array<struct<via:string,weight:double>>")).alias("ubcf_preferences"),
-        F.when(own == 2, F.array(weight(1), weight(3))).otherwise(F.array().cast("array<struct<via:string,weight:double>>")).alias("ibcf_preferences"),
+        F.struct((F.col("lat") + 1.1e-3).alias("lat"), (F.col("lon") + 1.6e-3).alias("lon")).alias("destination"),
+        F.when(own != 0, F.array(weight(0), weight(1), weight(2))).otherwise(none).alias("ubcf_preferences"),
+        F.when(own == 2, F.array(weight(1), weight(3))).otherwise(none).alias("ibcf_preferences"),
         F.lit("lunes").alias("day_of_week"),
         F.lit(8.0).alias("departure_hour"),
-        (F.col("user_id") % 40 == 0).alias("avoid_congestion"),
-        F.lit(False).alias("avoid_accidents"),
+        (F.col("user_id") % 4 == 0).alias("avoid_congestion"),
+        (F.col("user_id") % 6 == 0).alias("avoid_accidents"),
     )
+
+
+def doubtful_route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with hours from 0 to 26, origins a degree off for every 11th and weights over 1 for every 13th street."""
+    t, u = route_requests(spark, sf_dir), F.col("request_id")
+    off = F.struct((F.col("origin.lat") + 1).alias("lat"), F.col("origin.lon").alias("lon"))
+    much = F.array(F.struct(F.lit("Via 1").alias("via"), F.lit(1.5).alias("weight")))
+    return t.withColumns({"departure_hour": (u % 27).cast("double"), "origin": F.when(u % 11 == 0, off).otherwise(F.col("origin")), "ubcf_preferences": F.when(u % 13 == 0, much).otherwise(F.col("ubcf_preferences"))})
+
+
+def doubtful_recommendation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with limits from -4 to 245, and without a user for every 17th customer."""
+    c = F.expr("substring(user_id, 2)").cast("long")
+    t = recommendation_requests(spark, sf_dir).withColumn("request_id", c)
+    return t.withColumns({"limit": (c % 250 - 4).cast("int"), "user_id": F.when(c % 17 != 0, F.col("user_id"))})

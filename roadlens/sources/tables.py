@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
 
+# Column names of the input files, profiles' labels and file names.
 EVENT_COLUMNS = ["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "fecha", "hora_inicio", "hora_fin", "comuna", "via", "oneway"]
-ROAD_COLUMNS = [c for c in EVENT_COLUMNS if c not in ("indice_coord",)]
-#: Ratings file of each profile, below the data folder.
-PROFILES = {"regional": ("Regional", "user_ratings.csv"), "concepcion": ("Concepción", "user_ratings_concepcion.csv")}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+ROAD_COLUMNS = ["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "fecha", "hora_inicio", "hora_fin", "comuna", "via"]
+PROFILES = {"regional": ("Cobertura regional", "user_ratings.csv"), "concepcion": ("Solo Concepción", "user_ratings_concepcion.csv")}
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (all columns as text) or Parquet, with the file order as row_no."""
+    """CSV (all columns as text) or Parquet, with row_no in the order of the files: by file name, place of the split in its file, and row of the split."""
     df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
-    return df.withColumn("row_no", F.monotonically_increasing_id())
+    in_split = F.monotonically_increasing_id()
+    t = df.withColumn("row_no", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), in_split.alias("row")))
+    # splits of a file are read by tasks in any order: each split's first number is taken off, and splits are counted in file order
+    splits = t.groupBy("row_no.file", "row_no.start").agg(F.count(F.lit(1)).alias("n"), F.min("row_no.row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    splits = splits.select(F.col("file"), F.col("start"), "first", before.alias("before"))
+    row = F.col("row_no.row") - F.col("first") + F.col("before")
+    t = t.join(splits, (F.col("row_no.file") == F.col("file")) & (F.col("row_no.start") == F.col("start")))
+    return t.select(*df.columns, row.alias("row_no"))
 
 
 def require(df: DataFrame, columns: list[str], what: str) -> DataFrame:
@@ -37,10 +41,15 @@ def scan_events(spark: SparkSession, path: str, label: str) -> DataFrame:
 
 
 def scan_roads(spark: SparkSession, path: str) -> DataFrame:
-    """The road network; an absent file is an empty network."""
-    if not _exists(spark, path):
+    """The road network; an absent file is an empty network. A file without oneway gets it as NULL, which counts as two-way."""
+    try:
+        t = scan(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in EVENT_COLUMNS) + ", row_no long")
-    return require(scan(spark, path), ROAD_COLUMNS, "roads")
+    require(t, ROAD_COLUMNS, "roads")
+    return t if "oneway" in t.columns else t.withColumn("oneway", F.lit(None).cast("string"))
 
 
 def scan_ratings(spark: SparkSession, path: str) -> DataFrame:
@@ -76,4 +85,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header. Ratings come in order of user and via, road rows in that of segment and point, over all files by name."""
+    keys = next((k for k in (["user_id", "via"], ["segment_id", "row_idx"]) if set(k) <= set(df.columns)), [])
+    out = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys) if keys else df
+    out.write.mode("overwrite").option("header", True).csv(path)

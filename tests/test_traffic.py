@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
 from roadlens.operators import cf, events, graph, hotspots, paths, ratings, routes, spatial
-from roadlens.sources import driver_tables, tables
+from roadlens.sources import driver_tables, shared, tables
 
 R8 = [("alice", "Ruta Azul", 5.0), ("alice", "Ruta Roja", 2.0), ("bob", "Ruta Azul", 4.0), ("bob", "Ruta Verde", 5.0), ("carla", "Ruta Roja", 4.0), ("carla", "Ruta Verde", 1.0), ("david", "Ruta Roja", 5.0), ("david", "Ruta Verde", 4.0)]
 
@@ -109,7 +109,7 @@ def test_vias_are_ranked_in_ranges(spark):
 
 def test_ratings_source(spark, tmp_path):
     (tmp_path / "user_ratings.csv").write_text("user_id,via,rating\n1,ruta azul,4\n2,nan,3\n3,x,bad\n")
-    assert [tuple(r)[:3] for r in tables.profile_ratings(spark, str(tmp_path), "regional").collect()] == [("1", "Ruta Azul", 4.0)]
+    assert [tuple(r) for r in tables.profile_ratings(spark, str(tmp_path), "regional").collect()] == [("1", "Ruta Azul", 4.0, "Cobertura regional")]
     with pytest.raises(ValueError):
         tables.profile_ratings(spark, str(tmp_path), "nowhere")
     assert tables.scan_roads(spark, str(tmp_path / "absent.csv")).count() == 0
@@ -141,7 +141,12 @@ def dijkstra(edges, src, dst):
     return best.get(dst)
 
 
-def test_paths_equal_dijkstra(spark):
+NODE = "node_id string, lat double, lon double, penalty_factor double, velocidad_kmh double, via string, tipo_evento string, dia_semana string, franja_horaria string"
+SOLVE = "solve_id string, src string, dst string, day string, bucket string, avoid_congestion boolean, avoid_accidents boolean, penalties boolean, default_factor double"
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_degrees": 0.01}, {"block_nodes": 3}])
+def test_paths_equal_dijkstra(spark, sizes):
     rng = random.Random(3)
     names = [f"n{i}" for i in range(25)]
     pairs = sorted({tuple(rng.sample(names, 2)) for _ in range(80)})
@@ -149,13 +154,13 @@ def test_paths_equal_dijkstra(spark):
     adjacency = {}
     for (a, b), w in weights.items():
         adjacency.setdefault(a, []).append((b, w))
-    node = spark.createDataFrame([(n, 0.0, 0.0, 1.0, 40.0, "v", "Referencia", "", "") for n in names], "node_id string, lat double, lon double, penalty_factor double, velocidad_kmh double, via string, tipo_evento string, dia_semana string, franja_horaria string")
+    node = spark.createDataFrame([(n, *((rng.random() * 0.1, rng.random() * 0.1) if i % 6 else (None, None)), 1.0, 40.0, "v", "Referencia", "", "") for i, n in enumerate(names)], NODE)
     edge = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, base_km double")
-    ods = [(f"s{i}", *rng.sample(names, 2)) for i in range(8)]
-    solves = spark.createDataFrame([(s, a, b, "Monday", "x", False, False, True, 1.0) for s, a, b in ods], "solve_id string, src string, dst string, day string, bucket string, avoid_congestion boolean, avoid_accidents boolean, penalties boolean, default_factor double")
+    ods = [(f"s{i}", *rng.sample(names, 2)) for i in range(8)] + [("same", "n3", "n3")]
+    solves = spark.createDataFrame([(s, a, b, "Monday", "x", False, False, True, 1.0) for s, a, b in ods], SOLVE)
     factors = spark.createDataFrame([], "solve_id string, via string, factor double")
     found = {}
-    for r in paths.shortest_paths(node, edge, solves, factors).collect():
+    for r in paths.shortest_paths(node, edge, solves, factors, **sizes).collect():
         found.setdefault(r.solve_id, []).append((r.position, r.node_id, r.peso))
     for s, a, b in ods:
         want = dijkstra(adjacency, a, b)
@@ -168,12 +173,122 @@ def test_paths_equal_dijkstra(spark):
         assert all(math.isclose(y[2] - x[2], weights[x[1], y[1]]) for x, y in zip(path, path[1:], strict=False))
 
 
+def diamond(spark, sides, solve, factors=()):
+    """The nodes between start and end on the least path of a diamond with two sides."""
+    ends = [(n, 0.0, 0.0, 1.0, 40.0, "Ruta Gris", "Referencia", "", "") for n in ("start", "end")]
+    node = spark.createDataFrame(ends + [(n, 0.0, 0.0, *rest) for n, *rest in sides], NODE)
+    edge = spark.createDataFrame([x for n, *_ in sides for x in (("start", n, 1.0), (n, "end", 1.0))], "src string, dst string, base_km double")
+    solves = spark.createDataFrame([("s", "start", "end", *solve)], SOLVE)
+    t = paths.shortest_paths(node, edge, solves, spark.createDataFrame([("s", *f) for f in factors], "solve_id string, via string, factor double"))
+    return [r.node_id for r in sorted(t.collect(), key=lambda r: r.position)][1:-1]
+
+
+def test_preferred_via_wins(spark):
+    sides = [("a", 1.0, 40.0, "Ruta Azul", "Referencia", "", ""), ("z", 1.0, 40.0, "Ruta Roja", "Referencia", "", "")]
+    assert diamond(spark, sides, ("Monday", "x", False, False, True, 1.3), [("Ruta Roja", 0.5)]) == ["z"]
+    assert diamond(spark, sides, ("Monday", "x", False, False, False, 1.3), [("Ruta Roja", 0.5)]) == ["z"]
+    assert diamond(spark, sides, ("Monday", "x", False, False, True, 1.0)) == ["a"]  # a tie goes to the lesser name
+
+
+def test_matching_congestion_is_avoided(spark):
+    morning = S.HOUR_BUCKETS[1][2]
+    sides = [("a", 1.0, 40.0, "Via Congestionada", "Congestión", "Monday", morning), ("z", 1.0, 20.0, "Via Libre", "Referencia", "", "")]
+    assert diamond(spark, sides, ("Monday", morning, True, False, True, 1.0)) == ["z"]
+    assert diamond(spark, sides, ("Sunday", "", True, False, True, 1.0)) == ["a"]
+    assert diamond(spark, sides, ("Monday", morning, False, True, True, 1.0)) == ["a"]
+    accident = [("a", 1.0, 40.0, "v", "Accidente", "Monday", morning), sides[1]]
+    assert diamond(spark, accident, ("Monday", morning, False, True, True, 1.0)) == ["z"]
+
+
+def test_edge_weights_equal_the_columns(spark):
+    """The weight that settles a block is the one that finds predecessors, for all kinds of incidents and trips."""
+    rows = [(k, p, d, b) for k in ("Accidente", "Congestión", "Referencia") for p in (1.0, 1.75) for d in ("Monday", "") for b in ("x", "")]
+    trips = [(d, b, c, a) for d in ("monday", "Sunday", "") for b in ("x", "y", "") for c in (True, False) for a in (True, False)]
+    e = spark.createDataFrame(rows, "kind string, penalty double, node_day string, node_bucket string").crossJoin(spark.createDataFrame(trips, "day string, bucket string, c boolean, a boolean"))
+    own = [S.incident_factor(F.col("kind"), F.col("penalty"), F.col("node_day"), F.col("node_bucket"), F.col("node_day") if d else F.lit("-"), F.col("node_bucket") if b else F.lit("-"), F.lit(c), F.lit(a)) for c, a in paths.AVOID for d, b in paths.MATCH]
+    want = S.incident_factor(F.col("kind"), F.col("penalty"), F.col("node_day"), F.col("node_bucket"), F.col("day"), F.col("bucket"), F.col("c"), F.col("a"))
+    for r in e.select("*", F.array(*own).alias("incident"), want.alias("want")).collect():
+        solve = {"day": r.day, "bucket": r.bucket, "avoid_congestion": r.c, "avoid_accidents": r.a, "prefs": {}, "default_factor": 1.0, "penalties": True}
+        assert paths.weight(solve, ("v", 1.0, 1.0, r.node_day.lower(), r.node_bucket, r.incident)) == r.want
+
+
+def test_single_node(spark):
+    e = points(spark, [("segA", "0", "-36", "-73", "", "true", 0)], "referencia")
+    n, edges = graph.build(e)
+    trip = spark.createDataFrame([(1, (-36.0, -73.0), (-36.0, -73.0), [], [], "", 8.0, True, False)], "request_id long, origin struct<lat:double,lon:double>, destination struct<lat:double,lon:double>, ubcf_preferences array<struct<via:string,weight:double>>, ibcf_preferences array<struct<via:string,weight:double>>, day_of_week string, departure_hour double, avoid_congestion boolean, avoid_accidents boolean")
+    planned, found = routes.solve(trip, n, edges)
+    step = routes.steps(planned, found, n).filter("variant = 'baseline'").orderBy("position").collect()
+    assert [(r.node_id, r.tipo_evento, r.dia_semana, r.franja_horaria) for r in step] == [("user_origin", "Usuario", "Monday", S.HOUR_BUCKETS[1][2]), ("segA::0", "Referencia", "Wednesday", S.HOUR_BUCKETS[0][2]), ("user_destination", "Usuario", "Monday", S.HOUR_BUCKETS[1][2])]
+
+
+def test_nearest_node_of_far_points(spark):
+    rng = random.Random(9)
+    nodes = [(f"n{i}", -36 + rng.random() * 0.05, -73 + rng.random() * 0.05) for i in range(60)] + [("x", None, 1.0)]
+    pts = [(i, lat, lon) for i, (lat, lon) in enumerate([(-36.0, -73.0), (-36.5, -73.0), (10.0, 100.0), (89.0, 0.0), (-36.02, -72.9)])]
+    n, p = spark.createDataFrame(nodes, "node_id string, lat double, lon double"), spark.createDataFrame(pts, "point_id long, lat double, lon double")
+    km = S.haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("n.lat"), F.col("n.lon"))
+    brute = p.alias("p").crossJoin(n.filter("lat is not null").alias("n")).groupBy("point_id").agg(F.min_by("node_id", F.struct(km, "node_id")).alias("node_id"))
+    assert {tuple(r) for r in spatial.nearest_nodes(p, n).select("point_id", "node_id").collect()} == {tuple(r) for r in brute.collect()}
+    assert spatial.nearest_nodes(p, n.limit(0)).filter("node_id is null").count() == 5
+
+
 def test_every_street_has_a_route_request(spark, tmp_path):
-    rows = [(n, 1 + n % 7 if n < 70 else 8, "view", 1.0) for n in range(71)]  # street 8 has one point
+    rows = [(n, 1 + n % 7 if n < 70 else 8, "view", 1.0) for n in range(71)] + [(100 + n, 10, "view", 1.0) for n in range(6)]  # street 8 has one point
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
     point = {(r.user_id, r.indice_coord): (r.lat, r.lon) for r in driver_tables.points(spark, str(tmp_path)).collect()}
     got = {r.request_id: tuple(r.origin) for r in driver_tables.route_requests(spark, str(tmp_path)).collect()}
-    assert got == {u: point[u, 0 if u == 8 else 2] for u in range(1, 9)}
+    assert got == {u: point[u, {8: 0, 10: 5}.get(u, 2)] for u in [*range(1, 9), 10]}
+
+
+def test_scans_keep_the_order_of_files(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # many splits, which Spark packs by size
+    try:
+        folder = tmp_path / "x.csv"
+        folder.mkdir()
+        for k, size in enumerate((2000, 10, 1200)):
+            (folder / f"part-{k}.csv").write_text("a,b\n" + "".join(f"{k},{i}\n" for i in range(size)))
+        got = [(int(r.a), int(r.b)) for r in sorted(tables.scan(spark, str(folder)).collect(), key=lambda r: r.row_no)]
+        numbers = sorted(r.row_no for r in tables.scan(spark, str(folder)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(k, i) for k, size in enumerate((2000, 10, 1200)) for i in range(size)] and numbers == list(range(3210))
+
+
+def test_road_columns(spark, tmp_path):
+    columns = ["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "fecha", "hora_inicio", "hora_fin", "comuna", "via"]
+    path = tmp_path / "roads.csv"
+    path.write_text(",".join(columns) + "\n" + ",".join("1" for _ in columns) + "\n")
+    assert [r.oneway for r in events.prepare(tables.scan_roads(spark, str(path)), "referencia").collect()] == [False]
+    path.write_text(",".join(c for c in columns if c != "indice_coord") + "\n1\n")
+    with pytest.raises(ValueError, match="indice_coord"):
+        tables.scan_roads(spark, str(path))
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf(dict):
+        get = lambda self, k, d=None: dict.get(self, k, d)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://h:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+
+
+def test_polyline_cleanup(spark):
+    kind = "array<struct<lat:double,lon:double>>"
+    end = lambda x: F.struct(F.lit(x).alias("lat"), F.lit(x).alias("lon"))
+    lines = [[], [(1.0, None)], [(1.0, 2.0), (None, 3.0)], [(1.0, 2.0), (3.0, 4.0), (None, None)]]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], f"i int, p {kind}")
+    got = {r.i: [tuple(x) for x in r.x] for r in t.select("i", S.clean_polyline(F.col("p"), end(0.0), end(9.0)).alias("x")).collect()}
+    assert got == {0: [], 1: [], 2: [(0.0, 0.0), (9.0, 9.0)], 3: [(1.0, 2.0), (3.0, 4.0)]}
+
+
+def test_rejected_recommendation_requests(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 200), ("c", 0), ("d", 201), (None, 5), ("e", None)], "user_id string, limit int")
+    good, bad = cf.valid_requests(t)
+    assert {r.user_id for r in good.collect()} == {"a", "b"} and bad.count() == 4
 
 
 def test_delay_and_distance(spark):
