@@ -385,7 +385,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = C.materialise(t.groupBy("node", *_columns(n)).agg(F.min("doc_id").alias("least_id")))
     roots = connected(links(classes.drop("least_id"), most, similarity, recall)).withColumnRenamed("node", "member")
     near = classes.join(roots, F.col("node") == F.col("member"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    ids = near.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = C.materialise(near.groupBy("root").agg(F.min("least_id").alias("component_id")))  # as a table, so that Spark can split the join of a large component
     near = near.join(ids, "root").select("node", "component_id")
     return t.join(near, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
