@@ -47,10 +47,10 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of saved() that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_roadlens_path", None):
-            _delete(path)
+            delete(path)
 
 
-def _delete(path: str) -> None:
+def delete(path: str) -> None:
     spark = _written.pop(path, None)
     if spark is not None:
         with contextlib.suppress(Exception):  # the session may have ended
@@ -64,9 +64,9 @@ def temporary():
     before = set(_written)
     yield
     for path in [p for p in _written if p not in before]:
-        _delete(path)
+        delete(path)
 
 
 def delete_all() -> None:
     for path in list(_written):
-        _delete(path)
+        delete(path)
