@@ -36,7 +36,7 @@ from roadlens.llm import common as C
 from roadlens.sources import shared
 
 BLOCK = 8 << 20
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 #: Names of the end of a text and of what stands before its first word; the second name of both is 0.
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 COUNTS = "bucket int, words binary, checks binary, word_counts binary, grams binary, gram_counts binary"
@@ -146,20 +146,51 @@ def _merge(base: float, bits_per_entry: float):
     return merge
 
 
-def probe(bits: bytes, n_bits: int, n_hashes: int, grams: np.ndarray) -> np.ndarray:
-    """The level of each bigram in its segment, 0 if it isn't there: levels are probed until one is missing."""
-    table, h = np.frombuffer(bits, np.uint8), grams & GRAM_BITS
-    reached, left, n = np.zeros(len(h), np.uint8), np.arange(len(h)), 1
-    while len(left) and n < LEVELS:
-        seed, step = _seeds(h[left], n)
-        for _ in range(n_hashes):
-            place = seed % np.uint64(n_bits)
-            hit = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            left, step = left[hit], step[hit]
-            seed = seed[hit] + step
-        reached[left] = n
-        n += 1
-    return reached
+class Group:
+    """Segments and exact counts of a group of buckets, which answers questions of all its buckets together."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: r["bucket"])
+        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+        names, checks = joined("words", np.uint64), joined("checks", np.uint64)
+        order = np.lexsort((checks, names))  # a name belongs to one bucket
+        self.words, self.checks, self.counts = names[order], checks[order], joined("word_counts", np.int64)[order]
+        self.bits = joined("bits", np.uint8)
+        self.buckets = np.array([r["bucket"] for r in rows], np.int64)
+        self.n_bits = np.array([r["n_bits"] for r in rows], np.uint64)
+        self.n_hashes = np.array([r["n_hashes"] for r in rows], np.int64)
+        self.first = np.cumsum(self.n_bits) - self.n_bits
+
+    def look_up(self, want: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The counts of wanted words, 0 for those not in the table."""
+        at, out = np.searchsorted(self.words, want), np.zeros(len(want), np.int64)
+        words, left = np.append(self.words, 0), np.arange(len(want))
+        while len(left := left[(at[left] < len(self.counts)) & (words[at[left]] == want[left])]):  # different words with one name: the next entry is looked at
+            hit = self.checks[at[left]] == check[left]
+            out[left[hit]] = self.counts[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+        return out
+
+    def probe(self, grams: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """The level of each bigram in its bucket's segment, 0 if it isn't there: levels are probed until one is missing."""
+        reached, h = np.zeros(len(grams), np.uint8), grams & GRAM_BITS
+        if not len(self.buckets):
+            return reached
+        place = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        left, n = np.flatnonzero(self.buckets[place] == bucket), 1
+        while len(left) and n < LEVELS:
+            seed, step = _seeds(h[left], n)
+            for k in range(int(self.n_hashes.max())):
+                own = place[left]
+                at = seed % self.n_bits[own] + self.first[own]
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit |= k >= self.n_hashes[own]
+                left, step = left[hit], step[hit]
+                seed = seed[hit] + step
+            reached[left] = n
+            n += 1
+        return reached
 
 
 class Chunk:
@@ -185,45 +216,34 @@ def _ask(n_buckets: int, n_parts: int):
     return ask
 
 
-def look_up(words: np.ndarray, checks: np.ndarray, counts: np.ndarray, want: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """The counts of wanted words, 0 for those not in the table, which is sorted by name and check."""
-    at, out = np.searchsorted(words, want), np.zeros(len(want), np.int64)
-    words, left = np.append(words, 0), np.arange(len(want))
-    while len(left := left[(at[left] < len(counts)) & (words[at[left]] == want[left])]):  # different words with one name: the next entry is looked at
-        hit = checks[at[left]] == check[left]
-        out[left[hit]] = counts[at[left[hit]]]
-        left = left[~hit]
-        at[left] += 1
-    return out
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each value of a binary column: the bytes of values up to the next of ends (counted in bytes)."""
+    offsets = np.append(0, ends).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def _tell(held):
     """Counts of the words and levels of the bigrams that chunks ask of one group of buckets."""
 
     def tell(batches):
-        buckets, arrays = held.value, {}
+        group = Group(held.value)
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                b, grams, want, check = r["bucket"], C.widen(r["grams"], 4), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["checks"], np.uint64)
-                if b not in buckets:
-                    counts, levels = np.zeros(len(want), np.int64), np.zeros(len(grams), np.uint8)
-                else:
-                    x = buckets[b]
-                    if b not in arrays:
-                        arrays[b] = [np.frombuffer(x[c], kind) for c, kind in (("words", np.uint64), ("checks", np.uint64), ("word_counts", np.int64))]
-                    counts, levels = look_up(*arrays[b], want, check), probe(x["bits"], x["n_bits"], x["n_hashes"], grams)
-                rows.append({"chunk": r["chunk"], "bucket": b, "counts": counts.tobytes(), "levels": levels.tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, _schema(TOLD))
+            bucket = np.asarray(batch.column("bucket"))
+            (words, word_at), (checks, _), (grams, gram_at) = (C.text_arrays(batch.column(c)) for c in ("words", "checks", "grams"))
+            for i, j in C.blocks(gram_at, BLOCK):
+                numbers = lambda data, at, i=i, j=j: data[at[i] : at[j]].tobytes()
+                counts = group.look_up(np.frombuffer(numbers(words, word_at), np.uint64), np.frombuffer(numbers(checks, word_at), np.uint64))
+                levels = group.probe(C.widen(numbers(grams, gram_at), 4), np.repeat(bucket[i:j], np.diff(gram_at[i : j + 1]) // 4))
+                rest = [batch.column(c).slice(i, j - i) for c in ("chunk", "bucket")]
+                yield pa.RecordBatch.from_arrays([*rest, _binary(counts, word_at[i + 1 : j + 1] - word_at[i]), _binary(levels, (gram_at[i + 1 : j + 1] - gram_at[i]) // 4)], schema=_schema(TOLD))
 
     return tell
 
 
-def _joined(told: list[dict], field: str, names: np.ndarray, n_buckets: int, kind) -> np.ndarray:
-    out, replies = np.zeros(len(names), kind), {r["bucket"]: r[field] for r in told}
-    for b, x in _by_bucket(names, n_buckets):
-        if len(x):
-            out[x] = np.frombuffer(replies[b], kind)
+def _joined(told: pa.Table, field: str, names: np.ndarray, n_buckets: int, kind) -> np.ndarray:
+    """The answers about names, which come by bucket and in each bucket in the order of the questions."""
+    out = np.zeros(len(names), kind)
+    out[np.argsort(_bucket(names, n_buckets), kind="stable")] = np.frombuffer(C.text_arrays(told.column(field))[0].tobytes(), kind)
     return out
 
 
@@ -231,7 +251,7 @@ def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int,
     def score(key, table, told):
         if not table.num_rows:
             return _schema(SCORES).empty_table()
-        chunk, replies = Chunk(table), told.to_pylist()
+        chunk, replies = Chunk(table), told.sort_by("bucket")
         begin = chunk.begin
         c = _joined(replies, "counts", chunk.words, n_buckets, np.int64)[chunk.of]
         p = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
@@ -270,9 +290,11 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     asked = spark.read.schema(ASKED).parquet(questions)
     for k in range(n_parts):  # one bounded group of buckets after the other
         rows = merged.filter(F.floor(F.col("bucket") * n_parts / n_buckets) == k).drop("tokens", "types", "level_sums").collect()
-        held = spark.sparkContext.broadcast({r["bucket"]: {c: bytes(x) if isinstance(x, bytearray) else x for c, x in r.asDict().items()} for r in rows})
+        held = spark.sparkContext.broadcast([{c: bytes(x) if isinstance(x, bytearray) else x for c, x in r.asDict().items()} for r in rows])
         asked.filter(F.col("part") == k).drop("part").mapInArrow(_tell(held), TOLD).write.mode("append").parquet(answers)
-        held.unpersist()
+        held.destroy()
+    shared.delete(questions)
+    C.discard(merged)
     scored = chunked.groupBy("chunk").cogroup(spark.read.schema(TOLD).parquet(answers).groupBy("chunk"))
     return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, means), SCORES)
 

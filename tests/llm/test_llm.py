@@ -416,7 +416,7 @@ def test_bloom_filter_keeps_counts():
     table = pa.table({"words": [b""], "checks": [b""], "word_counts": [b""], "grams": [lm_score.C.narrow(grams, 4)], "gram_counts": [counts.astype(np.uint32).tobytes()]})
     row = lm_score._merge(1.5, 12.0)((pa.scalar(0),), table).to_pylist()[0]
     sums = np.frombuffer(row["level_sums"]).reshape(2, -1)
-    estimate = lambda g: (sums[1] / np.maximum(sums[0], 1))[lm_score.probe(row["bits"], row["n_bits"], row["n_hashes"], g)]
+    estimate = lambda g: (sums[1] / np.maximum(sums[0], 1))[lm_score.Group([row]).probe(g, np.zeros(len(g), np.int64))]
     with np.errstate(divide="ignore"):
         assert (np.abs(np.log(estimate(grams) / counts)) < 0.75).mean() > 0.97
     assert (estimate(grams + np.uint64(12345)) == 0).mean() > 0.97
@@ -486,18 +486,109 @@ def test_language_id_of_rare_labels_and_headers(spark):
     assert {r.page_id: r.lang for r in language_id.identify_pages(pages, model).collect()} == {1: "en", 2: None, 3: "qq"}
 
 
-def test_pipeline_stages(spark):
+def test_language_id_is_the_fusion(spark):
+    """identify_pages against Bayes by hand, on pages whose text, declaration, suffix and host disagree; some have none of them."""
+    rng = random.Random(11)
+    words = {"aa": "kala mela sola tira", "bb": "grost blent wurzt plomp", "cc": "ghiou veaux leuil quoin"}
+    train = [(100 * k + i, " ".join(rng.choice(w.split()) for _ in range(12)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(15)]
+    model = languages, table = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert languages == ["aa", "bb", "cc"]
+    rows = []
+    for i in range(100):
+        lang = rng.choice("abc") * 2
+        text = " ".join(rng.choice(words[lang if rng.random() < 0.5 else rng.choice(languages)].split()) for _ in range(rng.choice([0, 1, 1, 2, 6])))
+        declared = rng.choice([lang, lang, "aa", "zz", ""])
+        host = rng.choice([f"{rng.choice('xyz')}.{lang}site.{lang}", f"www.site.{lang}", "mixed.org", "localhost"])
+        url = rng.choice([f"http://{host}/p{i}"] * 9 + [None, "nothing"])
+        rows.append((i, url, f"<html lang='{declared}-X'><p>{text}</p></html>" if i % 25 else None))
+    softmax = lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    seen = []
+    for i, url, html in rows:
+        text = (html or "").split("<p>")[1].split("</p>")[0] if html else ""
+        data = f"  {text}  ".encode()  # each tag leaves a space
+        grams = [data[k : k + 3] for k in range(len(data) - 2) if chr(data[k]).isalpha()]
+        places = [int(language_id.trigrams(np.frombuffer(g, np.uint8), np.array([0, 3]))[0][0]) for g in grams]
+        scores = table[:, places].sum(1) * min(1.0, 200 / max(1, len(places))) if places else None
+        declared = html.split("'")[1].split("-")[0] if html else ""
+        host = url.split("//")[1].split("/")[0] if url and "//" in url else None
+        parts = host.split(".") if host else []
+        seen.append({
+            "id": i, "scores": scores, "p": softmax(scores) if places else None,
+            "declared": (declared if declared in languages else "other") if declared else None,
+            "host": host, "suffix": parts[-1] if len(parts) > 1 else None, "domain": ".".join(parts[-2:]) if len(parts) > 1 else None,
+        })
+    told = [x for x in seen if x["p"] is not None]
+    share = (sum(x["p"] for x in told) + 1) / (len(told) + 3)
+
+    def others(x, by):
+        same = [y for y in told if x[by] is not None and y[by] == x[by] and y is not x]
+        return sum((y["p"] for y in same), np.zeros(3)), len(same)
+
+    want = {}
+    for x in seen:
+        if x["p"] is None:
+            want[x["id"]] = (None, 0.0)
+            continue
+        (h, nh), (d, nd) = others(x, "host"), others(x, "domain")
+        prior = (h + 5 * ((d + 5 * share) / (nd + 5))) / (nh + 5)
+        logs = x["scores"] + np.log(prior)
+        for by in ("declared", "suffix"):
+            if x[by] is not None:
+                s, n = others(x, by)
+                logs += np.log((s + 5 * share) / (n + 5) / share)
+        p = softmax(logs)
+        want[x["id"]] = (languages[int(p.argmax())] if p.max() >= 0.5 else None, p.max())
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"n": F.lit(1), "lang": F.lit("q"), "host": F.lit("r")})
+    got = {r.page_id: (r.lang, r.confidence) for r in language_id.identify_pages(pages, model).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1]) for i in want)
+    by_text = {x["id"]: languages[int(x["p"].argmax())] for x in told}
+    assert sum(want[i][0] != by_text[i] for i in by_text) >= 3  # the fusion decides some
+    assert language_id.identify_pages(pages.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        language_id.train(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang")), "text", "lang", "doc_id")
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() on a small table with nulls, repeats and clashing columns, each stage against what it is to do."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    last = docs
+    rng = random.Random(2)
+    source = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) < 6000][:60]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in source]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(5)] + [rows[7], (2000, None, None, None, None), (2001, "", "en", "src0", 0), (None, rows[9][1], "en", None, 1), (2002, "12 34 ??", "en", "src1", 8)]
+    for i in range(4):
+        words = rows[i + 20][1].split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((3000 + i, " ".join(words), *rows[i + 20][2:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"gone": F.lit(1), "row": F.lit("x"), "slot": F.lit(2)})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, outs = df, {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, last, "")
-        if name != "packed":
-            assert out.columns == docs.columns
-        if name == "exact":
-            kept = {r.doc_id for r in out.collect()}
-            assert kept == {max(i for i, t in texts.items() if t == u) for u in set(texts.values())}
-        last = out
-    assert last.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+        docs = outs[name] = spark.createDataFrame(stage(spark, docs, "").collect(), None if name == "packed" else ", ".join(f"{c} {k}" for c, k in df.select(*corpus_pipeline.COLUMNS).dtypes)) if name != "packed" else stage(spark, docs, "")
+    kept = {name: [(r.doc_id, r.text) for r in out.collect()] for name, out in outs.items() if name != "packed"}
+    assert {i for i, _ in kept["language"]} == {r[0] for r in rows} - {2000, 2001, 2002}
+    best = {}
+    for i, t in kept["language"]:
+        best[t] = i if best.get(t) is None else max(best[t], -1 if i is None else i)
+    assert sorted((i, t) for t, i in best.items()) == sorted(kept["exact"])
+    shingles = {t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, t in kept["exact"] for w in [t.lower().split()]}
+    ids, root = [i for i, _ in kept["exact"]], {i: i for i, _ in kept["exact"]}
+    texts = dict(kept["exact"])
+    close = [(a, b) for a in ids for b in ids if a < b and len(shingles[texts[a]] & shingles[texts[b]]) >= 0.8 * len(shingles[texts[a]] | shingles[texts[b]])]
+    for _ in ids:
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    near = {i for i, _ in kept["near"]}
+    assert {i for i in ids if root[i] != i} >= set(ids) - near and sum(root[i] != i and i in near for i in ids) <= 1 and len(close) >= 4
+    counts = collections.Counter(i for i, _ in kept["mixed"])
+    assert set(counts) <= near and max(counts.values()) <= 2
+    pieces = outs["packed"].collect()
+    tokens = collections.Counter()
+    for r in pieces:
+        tokens[r.doc_id] += r.length
+    assert all(tokens[r.doc_id] == counts[r.doc_id] * r.doc_tokens for r in pieces) and set(tokens) == set(counts)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in whole.select("doc_id", "doc_tokens").distinct().collect()) == collections.Counter({(r.doc_id, r.doc_tokens) for r in pieces})
+    df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
