@@ -47,7 +47,7 @@ def apply_penalties(roads: DataFrame, incidents: DataFrame, key: list[str], radi
     return joined.withColumn("penalty_factor", penalty).drop("near_penalty").select(*roads.columns)
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, exclude: str | None = None, cell: float = 0.01) -> DataFrame:
+def nearest_nodes(points: DataFrame, nodes: DataFrame, exclude: str | None = None, cell: float = 0.001) -> DataFrame:
     """points (point_id, lat, lon) with node_id and km of the nearest node (ties: least node_id), NULL if there is none.
 
     Nodes in the 3x3 cells around a point are tried; a hit closer than the cells' margin is final. Points without one go on with

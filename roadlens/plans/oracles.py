@@ -87,14 +87,14 @@ isc AS (
   SELECT r.user_id, s.a AS via, coalesce(sum(s.sim * r.rating) / nullif(count(*) FILTER (WHERE s.sim > 0 AND r.rating > 0), 0), 0) AS score
   FROM isim s JOIN r ON s.b = r.via WHERE NOT EXISTS (SELECT 1 FROM r h WHERE h.user_id = r.user_id AND h.via = s.a) GROUP BY 1, 2)"""
 REQUESTS = "req AS (SELECT 'u' || c_custkey AS user_id, 'Via ' || c_custkey AS known FROM customer)"
-POPULAR = "pop AS (SELECT via, avg(rating) AS rating FROM r GROUP BY via)"
+POPULAR = "pop AS (SELECT via, round(avg(rating), 9) AS rating FROM r GROUP BY via)"
 
 
 def _topn(scores: str, name: str, strategy: str) -> str:
     """All vias outside history and known are candidates, at 0 if they have no score; no candidates: the popular ones."""
     return f"""{scores}, {REQUESTS}, {POPULAR},
 cand AS (
-  SELECT req.user_id, pop.via, coalesce(s.score, 0) AS score FROM req JOIN pop ON pop.via <> req.known
+  SELECT req.user_id, pop.via, round(coalesce(s.score, 0), 9) AS score FROM req JOIN pop ON pop.via <> req.known
   LEFT JOIN {name} s ON s.user_id = req.user_id AND s.via = pop.via
   WHERE EXISTS (SELECT 1 FROM r WHERE r.user_id = req.user_id) AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = req.user_id AND r.via = pop.via)),
 ranked AS (
@@ -378,15 +378,15 @@ FROM (SELECT * FROM jit WHERE src_rank = 2) a LEFT JOIN (SELECT * FROM jit WHERE
     "item_similarity": RATED + ITEM_SIM + "SELECT a, b, round(sim, 6) AS sim FROM isim",
     "ubcf_scores": RATED + UBCF + "SELECT user_id, via, round(score, 6) AS score FROM us",
     "ibcf_scores": RATED + IBCF + "SELECT user_id, via, round(score, 6) AS score FROM isc",
-    "ubcf_topn": RATED + _topn(UBCF, "us", "ubcf") + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating FROM ranked WHERE rank <= 5",
-    "ibcf_topn": RATED + _topn(IBCF, "isc", "ibcf") + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating FROM ranked WHERE rank <= 5",
-    "popular_fallback": RATED + f"{REQUESTS}, {POPULAR} SELECT user_id, 'popular' AS strategy, rank, via, score FROM (SELECT req.user_id, pop.via, round(pop.rating, 6) AS score, row_number() OVER (PARTITION BY req.user_id ORDER BY pop.rating DESC, pop.via) AS rank FROM req JOIN pop ON pop.via <> req.known) WHERE rank <= 5",
+    "ubcf_topn": RATED + _topn(UBCF, "us", "ubcf") + "SELECT user_id, strategy, rank, via, score AS estimated_rating FROM ranked WHERE rank <= 5",
+    "ibcf_topn": RATED + _topn(IBCF, "isc", "ibcf") + "SELECT user_id, strategy, rank, via, score AS estimated_rating FROM ranked WHERE rank <= 5",
+    "popular_fallback": RATED + f"{REQUESTS}, {POPULAR} SELECT user_id, 'popular' AS strategy, rank, via, score FROM (SELECT req.user_id, pop.via, pop.rating AS score, row_number() OVER (PARTITION BY req.user_id ORDER BY pop.rating DESC, pop.via) AS rank FROM req JOIN pop ON pop.via <> req.known) WHERE rank <= 5",
     "heat_filter": HOT.rstrip() + "," + HEAT,
-    "playground": LISTS + "SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating, asked FROM (SELECT *, 'ubcf' AS asked FROM ub WHERE CAST(substr(user_id, 2) AS INT) % 3 <> 0 UNION ALL SELECT *, 'ibcf' FROM ib)",
+    "playground": LISTS + "SELECT user_id, strategy, rank, via, score AS estimated_rating, asked FROM (SELECT *, 'ubcf' AS asked FROM ub WHERE CAST(substr(user_id, 2) AS INT) % 3 <> 0 UNION ALL SELECT *, 'ibcf' FROM ib)",
     "strategy_overlap": LISTS + """SELECT user_id, count(*) FILTER (WHERE ub.rank IS NOT NULL AND ib.rank IS NOT NULL) AS common, count(*) FILTER (WHERE ib.rank IS NULL) AS only_a, count(*) FILTER (WHERE ub.rank IS NULL) AS only_b,
   round(avg(ub.score), 6) AS mean_a, round(avg(ib.score), 6) AS mean_b, round(abs(avg(ub.score) - avg(ib.score)), 6) AS mean_difference FROM ub FULL JOIN ib USING (user_id, via) GROUP BY user_id""",
     "preference_extremes": f"WITH ub AS {_list(UBCF, 'us', 'ubcf', 200)}, " + """placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, strategy ORDER BY score DESC, via) AS top, count(*) OVER (PARTITION BY user_id, strategy) AS n FROM ub)
-SELECT user_id, strategy, rank, via, round(score, 6) AS estimated_rating, round(score / 5, 3) AS weight FROM placed WHERE top <= 20 OR top > n - 20""",
+SELECT user_id, strategy, rank, via, score AS estimated_rating, round(score / 5, 3) AS weight FROM placed WHERE top <= 20 OR top > n - 20""",
     "road_profiles": BASE + ROAD_PROFILES,
     "incident_profiles": DANGER.rstrip() + INCIDENT_PROFILES,
     "road_rows": _plain(BASE).rstrip() + ROAD_ROWS,

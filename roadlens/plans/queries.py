@@ -160,28 +160,28 @@ def _top(spark, d, strategy, n=5):
 
 @query
 def ubcf_topn(spark, d):
-    return _rounded(_top(spark, d, "ubcf"), "estimated_rating")
+    return _top(spark, d, "ubcf")
 
 
 @query
 def ibcf_topn(spark, d):
-    return _rounded(_top(spark, d, "ibcf"), "estimated_rating")
+    return _top(spark, d, "ibcf")
 
 
 @query
 def popular_fallback(spark, d):
     requests = D.recommendation_requests(spark, d).select("user_id", F.col("known_vias").alias("known"), "limit")
-    return _rounded(cf.popular(D.ratings(spark, d), requests), "score")
+    return cf.popular(D.ratings(spark, d), requests)
 
 
 @query
 def playground(spark, d):
-    return _rounded(cf.playground(D.ratings(spark, d), D.recommendation_requests(spark, d)), "estimated_rating")
+    return cf.playground(D.ratings(spark, d), D.recommendation_requests(spark, d))
 
 
 @query
 def preference_extremes(spark, d):
-    return _rounded(cf.extremes(_top(spark, d, "ubcf", 200)), "estimated_rating", "weight")
+    return cf.extremes(_top(spark, d, "ubcf", 200))
 
 
 @query
