@@ -52,7 +52,8 @@ def _same(text: Column) -> Column:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = _same, carry: list[str] | None = None) -> DataFrame:
     """Each row of docs (its columns in `carry`, or all) as the struct `row`, with keep_id, group_size, kept and text_sha256."""
     t = C.materialise(_slots(docs, id_col, text_col, normalise, carry))
-    t = t.join(_texts(t), F.col("text_sha256") == F.col("digest"))
+    texts = C.materialise(_texts(t))  # as a table, so that Spark can split the join of a hot text
+    t = t.join(texts, F.col("text_sha256") == F.col("digest"))
     return t.select("row", "keep_id", "group_size", ((F.col("place") == 1) & (F.col("slot") == F.col("best_slot"))).alias("kept"), "text_sha256")
 
 

@@ -137,7 +137,7 @@ def plan_parts(sample: np.ndarray, n: int, most: int = 3) -> list[tuple[list[int
     best: tuple[float, list] = (math.inf, [])
     for m in range(1, most + 2):
         parts = _correlated(tied, m)
-        cost = [[_cost(bits, part, t, max(n, 1)) for t in range(most + 1)] for part in parts]
+        cost = [_costs(bits, part, max(n, 1), most) for part in parts]
         # left[s]: least cost of thresholds that sum to s, when -1 is counted as 0, 0 as 1, ...
         left: dict[int, tuple[float, list]] = {0: (0.0, [])}
         for i, part in enumerate(parts):
@@ -187,7 +187,7 @@ def plan_recall(sample: np.ndarray, n: int, similarity: float, recall: float) ->
     """Parts with thresholds of the least estimated cost with which pairs of the similarity meet with a chance of recall."""
     bits = _unpacked(sample)
     n_bits, p = bits.shape[1], share_of_bits(similarity)
-    few, best = bits[:4000], (math.inf, [])
+    few, best = bits[:2000], (math.inf, [])
     tied, pair = _ties(few), 0.004 * n_bits / BITS
     need = -math.log(1 - recall)
     for size in range(10, 31, 2):
@@ -199,7 +199,7 @@ def plan_recall(sample: np.ndarray, n: int, similarity: float, recall: float) ->
         for _ in range(rounds - 1):  # the same bits in other groups
             order = rng.permutation(n_bits)
             parts += [sorted(order[i * size : (i + 1) * size].tolist()) for i in range(n_bits // size)]
-        cost = [[_cost(few, part, t, max(n, 1), pair) for t in range(2)] for part in parts]
+        cost = [_costs(few, part, max(n, 1), 1, pair) for part in parts]
         for step in range(13):  # bits of one pair are no independent draws, so more is aimed at until the chance is reached
             plan, total = _cheapest(parts, cost, gain, need * 1.07**step)
             if total >= best[0]:
@@ -250,19 +250,21 @@ def _correlated(tied: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def _cost(bits: np.ndarray, part: list[int], t: int, n: int, pair: float = 0.004) -> float:
-    """Signatures written for a part, with pairs that share one; a pair of 64 bits costs a 250th of a row."""
-    if t >= len(part):  # no bits left to compare
-        return math.inf
-    signatures = math.comb(len(part), t)
+def _costs(bits: np.ndarray, part: list[int], n: int, most: int, pair: float = 0.004) -> list[float]:
+    """For thresholds from 0 to most: signatures written for a part, with pairs that share one; a pair of 64 bits costs a 250th of a row."""
     rows = bits[:, part]
     # chance that two fingerprints agree in the part: from blocks of 8 bits, as a sample has few agreements in all of them
     agree = 1.0
     for i in range(0, len(part), 8):
         c = np.bincount(np.packbits(rows[:, i : i + 8], axis=1)[:, 0], minlength=256)
-        agree *= float((c / c.sum()) @ (c / c.sum()))
-    rare = float(np.mean(np.minimum(rows.mean(0), 1 - rows.mean(0)) * 2).clip(0.05, 1))
-    return n * signatures + pair * n * n / 2 * agree * signatures * (1 + rare) ** t
+        agree *= max(0.5 ** rows[:, i : i + 8].shape[1], float(c @ (c - 1)) / max(1, len(rows) * (len(rows) - 1)))
+    share = rows.mean(0)
+    rare = float(np.mean(np.minimum(share, 1 - share) * 2).clip(0.05, 1))
+    out = []
+    for t in range(most + 1):
+        signatures = math.comb(len(part), t)
+        out.append(n * signatures + pair * n * n / 2 * agree * signatures * (1 + rare) ** t if t < len(part) else math.inf)  # else no bits are left to compare
+    return out
 
 
 def _masks(plan: list[tuple[list[int], int]], n: int = 1) -> list[list[int]]:

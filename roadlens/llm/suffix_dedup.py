@@ -22,8 +22,14 @@ whose number follows the session's shuffle partitions, so that a bucket stays sm
 repeat meets its bucket once for each chunk and different run, never once for each copy. All three
 rounds are one lazy plan which shuffles the texts once.
 
+Names: seeds are named by 40 bits of a 64-bit polynomial fingerprint next to their bucket, which the other 24 bits choose,
+and runs by 48 bits of one, with seed and bucket. Runs have at most 2 * length - seed bytes (76 by default); texts that such fingerprints
+confuse by construction differ over 1,024 bytes or more. Equal names of runs count as equal bytes without another look; seeds and
+all that is sorted in step 2 are compared by bytes.
+
 Defined results: null text counts as empty; a null doc_id comes after all others; rows of one doc_id
-never remove each other's bytes. Extra columns are ignored. Empty tables give empty results.
+never remove each other's bytes. Extra columns are ignored. Empty tables give empty results. A text longer than
+two blocks is cut into overlapping pieces, so each of its windows lies in one.
 """
 
 from __future__ import annotations

@@ -71,6 +71,21 @@ def test_suffix_dedup(spark, docs):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcd efg") for _ in range(n))
+    passage = text(90)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)  # texts of over 1,400 bytes are cut; Python workers of local tasks get it by value below
+    long = text(3000) + passage + text(2500)
+    table = suffix_dedup.pa.table({"doc_id": [5, 2, 9], "text": [long.encode(), (text(40) + passage).encode(), (text(800) + long[1000:3500]).encode()]})
+    cut = suffix_dedup.Runs(table, 4, 50, 24)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 20)
+    whole = suffix_dedup.Runs(table, 4, 50, 24)
+    covered = lambda r: {(w, int(p)) for a, b, p in zip(r.start, r.last, r.sample, strict=True) for w in range(a, b + 1)}
+    assert covered(cut) == covered(whole)
+    assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.remove_repeats(spark.createDataFrame([(5, long * 700), (2, passage)], "doc_id long, text string")).collect()} == {5: True, 2: False}
+
+
 def test_induction_equals_comparison():
     rng = np.random.default_rng(0)
     n, length, seed = 300, 12, 5
