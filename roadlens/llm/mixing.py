@@ -52,6 +52,12 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, budget: float = 1.5, mos
     return ordered.withColumn("target", F.least(F.col("weight") * level, most * F.col("source_size")))
 
 
+def shuffle_key(seed: int, doc_id: Column, size: Column) -> Column:
+    """40 bits of the MD5 of seed, id and size."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"), size.cast("string")))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
     """Each document (its columns in `carry`, or all) as the struct `row`, with size, source_size, target, taken (words, repeats counted) and copies (array of finish, words: its copies that are taken, whole or in part)."""
     p = C.partitions(docs.sparkSession)
@@ -62,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.col(id_col).alias("id"),
     )
-    t = t.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "size"), 24)).withColumn("range", F.floor(F.col("key") * p / float(1 << 40)))
+    t = t.withColumn("key", shuffle_key(seed, F.col("id"), F.col("size"))).withColumn("range", F.floor(F.col("key") * p / float(1 << 40)))
     slim = C.materialise(t.select("skey", "size", "id", "key", "range"))
     ranges = slim.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
     ranges = C.materialise(ranges)
@@ -128,3 +134,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 def query(spark, sf_dir):
     mixed = mix(C.read(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+#: The level at which sources share is found from the sources in the order in which they fill up; what a document gives follows from sums in its queue.
+SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+keyed AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '42', doc_id, size)), 1, 10) AS BIGINT) AS key FROM sized),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM keyed GROUP BY source),
+filling AS (
+  SELECT *, row_number() OVER w AS place, 2e0 * source_size / weight AS full_at, coalesce(sum(2e0 * source_size) OVER b, 0) AS given, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest
+  FROM sources WINDOW w AS (ORDER BY 2e0 * source_size / weight, source NULLS LAST),
+    b AS (ORDER BY 2e0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT first(level ORDER BY place) AS level FROM (SELECT place, full_at, (15e-1 * (SELECT sum(source_size) FROM sources) - given) / rest AS level FROM filling) WHERE full_at > level),
+targets AS (SELECT source, source_size, least(weight * coalesce(level, 0), 2e0 * source_size) AS target FROM sources, level),
+queued AS (
+  SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, floor(target) - upto + size)) + greatest(0, least(size, floor(target) - source_size - upto + size)) AS BIGINT) AS taken
+FROM queued
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
     "op10_simhash": simhash.query,
 }
-SQL = {"op2_line_dedup": line_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op6_source_mix": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
