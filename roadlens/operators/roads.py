@@ -28,4 +28,21 @@ def road_rows(edges: DataFrame, place: str) -> DataFrame:
         F.coalesce(F.nullif("name", F.lit("")), F.nullif("name_es", F.lit("")), F.lit("Sin nombre")).alias("via"),
         F.concat(F.lit("osm::"), osmid, F.lit("::"), "u", F.lit("->"), "v").alias("segment_id"),
     )
-    return t.select("row_idx", F.lit(f"osm::{place}").alias("archivo_origen"), "duracion_hrs", "distancia_km", "velocidad_kmh", F.lit("00:00").alias("hora_inicio"), F.lit("00:00").alias("hora_fin"), "comuna", "via", F.col("row_idx").alias("indice_coord"), "point.lon", "point.lat", F.lit(0.0).alias("alt"), F.lit("2025-01-01").alias("fecha"), "segment_id", F.col("way.flag").alias("oneway"))
+    return t.select(
+        "row_idx",
+        F.lit(f"osm::{place}").alias("archivo_origen"),
+        "duracion_hrs",
+        "distancia_km",
+        "velocidad_kmh",
+        F.lit("00:00").alias("hora_inicio"),
+        F.lit("00:00").alias("hora_fin"),
+        "comuna",
+        "via",
+        F.col("row_idx").alias("indice_coord"),
+        "point.lon",
+        "point.lat",
+        F.lit(0.0).alias("alt"),
+        F.lit("2025-01-01").alias("fecha"),
+        "segment_id",
+        F.col("way.flag").alias("oneway"),
+    )

@@ -25,7 +25,10 @@ ONE_HOT = [
     *[f"via=Via {n}" for n in range(40)],
     f"via={events.OTHER_VIAS}",
 ]
-PREPARED = ["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "hora_inicio", "hora_fin", "comuna", "via", "oneway", "tipo_evento", "penalty_factor", "hora_num", "src_rank", "row_no", "franja_horaria", "dia_semana", "duracion_categoria", "velocidad_categoria", "segment_seq"]
+PREPARED = [
+    *["segment_id", "indice_coord", "lat", "lon", "duracion_hrs", "distancia_km", "velocidad_kmh", "hora_inicio", "hora_fin", "comuna", "via", "oneway"],
+    *["tipo_evento", "penalty_factor", "hora_num", "src_rank", "row_no", "franja_horaria", "dia_semana", "duracion_categoria", "velocidad_categoria", "segment_seq"],
+]
 
 
 def query(f: Query) -> Query:
