@@ -8,7 +8,19 @@ from pyspark.sql import SparkSession
 
 from roadlens.plans.queries import QUERIES
 
-HEADLINE = ["segment_summary", "road_penalties", "segment_tokens", "congestion_hotspots", "ubcf_topn", "ibcf_topn", "via_safety_rating", "graph_stats", "edge_costs", "nearest_node", "route_variants"]
+HEADLINE = [
+    "segment_summary",
+    "road_penalties",
+    "segment_tokens",
+    "congestion_hotspots",
+    "popular_fallback",
+    "user_similarity",
+    "via_safety_rating",
+    "graph_stats",
+    "edge_costs",
+    "nearest_node",
+    "route_variants",
+]
 
 
 def main() -> None:
