@@ -43,6 +43,8 @@ CLASSES = np.array([SPACE if x == 32 or 9 <= x <= 13 else DIGIT if 48 <= x <= 57
 class Encoder:
     """Token ids of texts, with a bounded table of pieces seen before."""
 
+    kept = KEPT_PIECES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -112,7 +114,7 @@ class Encoder:
     def _known(self, keys: np.ndarray, checks: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each different piece, which come by key; those not in the table are encoded, and kept unless the table has their key."""
         place, known = self._find(keys, checks)
-        if len(self.keys) + len(keys) - known.sum() > KEPT_PIECES:
+        if len(self.keys) + len(keys) - known.sum() > self.kept:
             self._forget()
             place, known = self._find(keys, checks)
         at, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)

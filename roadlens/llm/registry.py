@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlens.llm import ann, bpe, exact_dedup, language_id, line_dedup, lm_score, mixing, packing, simhash, suffix_dedup, url_filter
+from roadlens.llm import alignment, ann, bpe, exact_dedup, language_id, line_dedup, lm_score, mixing, packing, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_url_filter": url_filter.query,
     "op10_simhash": simhash.query,
+    "op11_alignment": alignment.query,
     "op12_bpe_trie": bpe.query,
 }
 SQL = {"op2_line_dedup": line_dedup.SQL, "op6_source_mix": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
