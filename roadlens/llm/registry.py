@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadlens.llm import alignment, ann, bpe, exact_dedup, language_id, line_dedup, lm_score, mixing, packing, simhash, suffix_dedup, url_filter
+from roadlens.llm import alignment, ann, bpe, exact_dedup, hard_negatives, language_id, line_dedup, lm_score, mixing, packing, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_simhash": simhash.query,
     "op11_alignment": alignment.query,
     "op12_bpe_trie": bpe.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
-SQL = {"op2_line_dedup": line_dedup.SQL, "op6_source_mix": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op6_source_mix": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL, "op13_hard_negatives": hard_negatives.SQL}
