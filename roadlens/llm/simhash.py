@@ -103,7 +103,7 @@ def _columns(n: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, n: int = 1) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), with n > 1 also fp1, fp2, ..."""
+    """doc_id, key (a hash of the text) and fp (the fingerprint as a signed long), with n > 1 also fp1, fp2, ..."""
     import pyarrow as pa
 
     C.small_batches(docs.sparkSession)
@@ -111,10 +111,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(batches):
         for batch in batches:
             fps = fingerprints_of(batch.column(1).to_pylist(), words, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(f)) for f in fps.view(np.int64).T]], ["doc_id", *_columns(n)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(f)) for f in fps.view(np.int64).T]], ["doc_id", "key", *_columns(n)])
 
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return t.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in _columns(n)))
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.xxhash64(text_col).alias("key"))
+    return t.mapInArrow(of, "doc_id long, key long, " + ", ".join(f"{x} long" for x in _columns(n)))
 
 
 def _unpacked(sample: np.ndarray) -> np.ndarray:
@@ -379,25 +379,35 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits, the first 64 bits), component_id (the least doc_id that links reach). Links: at most `most` of 64 bits differ or, with similarity, see above."""
+def _members(docs: DataFrame, id_col: str, text_col: str, words: int, most: int, similarity: float | None, recall: float) -> DataFrame:
+    """doc_id, key and fp of each row, with `least`: the least (doc_id, key) of its component, null if no member has an id."""
     n = 1 if similarity is None else WORDS
     t = fingerprints(docs, id_col, text_col, words, n)
     t = C.materialise(t.withColumn("node", F.col("fp") if n == 1 else F.xxhash64(*_columns(n))))
-    classes = C.materialise(t.groupBy("node", *_columns(n)).agg(F.min("doc_id").alias("least_id")))
-    roots = connected(links(classes.drop("least_id"), most, similarity, recall)).withColumnRenamed("node", "member")
-    near = classes.join(roots, F.col("node") == F.col("member"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    ids = C.materialise(near.groupBy("root").agg(F.min("least_id").alias("component_id")))  # as a table, so that Spark can split the join of a large component
-    near = near.join(ids, "root").select("node", "component_id")
-    return t.join(near, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the members of a component other than its least id, columns unchanged; rows without id stay."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(C.whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("key"))
-    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    classes = C.materialise(t.groupBy("node", *_columns(n)).agg(F.min(name).alias("least")))
+    roots = connected(links(classes.drop("least"), most, similarity, recall)).withColumnRenamed("node", "member")
+    near = classes.join(roots, F.col("node") == F.col("member"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = C.materialise(near.groupBy("root").agg(F.min("least").alias("least")))  # as a table, so that Spark can split the join of a large component
+    return t.join(near.drop("least").join(ids, "root").select("node", "least"), "node")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, the first 64 bits), component_id (the least doc_id that links reach). Links: at most `most` of 64 bits differ or, with similarity, see above."""
+    t = _members(docs, id_col, text_col, words, most, similarity, recall)
+    return t.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, similarity: float | None = None, recall: float = 0.95) -> DataFrame:
+    """docs with one text of each component, that of its least id (of several the one with the least hash), columns unchanged.
+
+    Rows are told apart by id and text: of a repeated id only the rows go whose own text is a near copy. Rows without id stay, and
+    rows that repeat both id and text stay or go together.
+    """
+    t = _members(docs, id_col, text_col, words, most, similarity, recall).filter("doc_id is not null")
+    gone = t.filter(F.struct("doc_id", "key") != F.col("least")).select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct()
+    rows = docs.select(C.whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"))
+    return rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("key") == F.col("gone_key")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):
