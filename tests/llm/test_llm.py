@@ -146,6 +146,18 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+def test_exact_dedup_compares_neighbours(spark):
+    """All copies but the first of a range stand next to a copy: a text has a run more than one only for each splitter inside it."""
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 300)).alias("text"))
+    runs = exact_dedup._runs(df, "doc_id", "text", exact_dedup._same, None)
+    by_range = {r["range"]: r["count"] for r in runs.groupBy("range").count().collect()}
+    assert len(by_range) == 8 and max(by_range.values()) < 1.5 * 5000 / 8  # the hot text is over several ranges
+    assert 300 <= runs.filter("first").count() <= 300 + 7
+    sizes = runs.filter("not first").count()
+    assert 5000 - 300 - 8 <= sizes <= 5000 - 300
+    assert exact_dedup.exact_groups(df).groupBy("text_sha256").agg(F.max("group_size").alias("n"), F.count_if("kept").alias("k")).filter("k = 1").count() == 300
+
+
 @pytest.mark.parametrize("copies", [2, 200, 3000])
 def test_exact_dedup_of_a_hot_text(spark, copies):
     same = F.col("doc_id") < copies
@@ -331,6 +343,17 @@ def test_simhash_near_copies(spark):
     assert out.columns == df.columns and out.count() == len(set(got.values())) + 1
 
 
+def test_drop_near_tells_rows_of_one_id_apart(spark):
+    """Of a repeated id only the near copy goes; of two texts of one id that are near copies one stays."""
+    words = [f"w{i}" for i in range(300)]
+    base, close, other = " ".join(words), " ".join([*words[:150], "changed", *words[151:]]), " ".join(f"x{i}" for i in range(300))
+    df = spark.createDataFrame([(1, base), (5, close), (5, other), (7, other + " x"), (7, other + " y"), (9, "alone"), (None, base)], "doc_id long, text string")
+    got = simhash.drop_near(df, words=5, similarity=0.8, recall=0.999).collect()
+    assert bag((r.doc_id, r.text) for r in got) == bag([(1, base), (5, other), (9, "alone"), (None, base)])
+    pair = spark.createDataFrame([(3, base), (3, close)], "doc_id long, text string")
+    assert simhash.drop_near(pair, words=5, similarity=0.8, recall=0.999).count() == 1
+
+
 def test_recall_plan_reaches_its_recall():
     rng = np.random.default_rng(4)
     p = simhash.share_of_bits(0.8)
@@ -621,7 +644,7 @@ def test_matches_duckdb(spark, name):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.sql(f"create view {table} as select * from '{data}/{table}.parquet'")
     df, rel = registry.QUERIES[name](spark, data), con.sql(registry.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
