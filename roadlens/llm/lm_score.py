@@ -10,12 +10,14 @@ at it.
     P(w | h) = (count(h w) + mu * P(w)) / (count(h) + mu),   P(w) = (c + 0.5) / (N + 0.5 * (V + 1))
 
 The filter follows the corpus, so it is never broadcast whole: the buckets' segments, with their exact counts of words, are
-broadcast in groups of about `group_bytes`, one group after the other. Each chunk of documents writes down its different words and
+broadcast in groups of at most `group_bytes`, one group after the other. All of a bigram's places lie in one block of BLOCK_BITS bits of its segment, and
+a word has its place among the blocks too, so a bucket that is larger than a group is cut between blocks into slices, without
+any influence on what the filter answers. Each chunk of documents writes down its different words and
 bigrams once, filed by group, and each group's pass answers its own share of these questions, without a shuffle.
 All sizes take this one way.
 
 Words are named by 128 bits (see common.names), bigrams by 32 bits within their bucket, next to which the filter's
-own false hits are many; a bucket's share of the bigrams doesn't grow, as there are as many buckets as partitions.
+own false hits are many; a bucket's share of the bigrams doesn't grow, as there is one for each partition and for each BUCKET_TEXT bytes of text.
 
 Defined results: null text counts as empty (one token, the end). A null doc_id counts as empty text for the split, and so is
 a training row. With no training tokens at all P(w) = 1. Repeated rows count as often as they stand there.
@@ -37,10 +39,12 @@ from roadlens.sources import shared
 
 BLOCK = 8 << 20
 GROUP_BYTES = 16 << 20
+BUCKET_TEXT = 64 << 20
+BLOCK_BITS = 512
 #: Names of the end of a text and of what stands before its first word; the second name of both is 0.
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 COUNTS = "bucket int, words binary, checks binary, word_counts binary, grams binary, gram_counts binary"
-MERGED = "bucket int, words binary, checks binary, word_counts binary, bits binary, n_bits long, n_hashes int, tokens long, types long, level_sums binary"
+MERGED = "bucket int, slice int, n_slices int, n_blocks long, words binary, checks binary, word_counts binary, bits binary, n_bits long, n_hashes int, tokens long, types long, level_sums binary"
 ASKED = "chunk int, bucket int, part int, words binary, checks binary, grams binary"
 TOLD = "chunk int, bucket int, counts binary, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -76,11 +80,38 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
-def _by_bucket(h: np.ndarray, n: int):
-    """(bucket, places of its names in h)."""
-    bucket = _bucket(h, n)
-    at = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[at], np.arange(n + 1))
+def _block(h: np.ndarray, n_blocks: np.ndarray | int) -> np.ndarray:
+    """By the low 32 bits, which is what is kept of bigrams."""
+    part = (h & GRAM_BITS) * np.uint64(C.BASE) >> np.uint64(32)
+    return (part * np.asarray(n_blocks, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+class Slots:
+    """Buckets with their slices, numbered through, and the group of each slot."""
+
+    def __init__(self, n_blocks: np.ndarray, n_slices: np.ndarray):
+        self.n_blocks, self.n_slices, self.first = n_blocks, n_slices, np.cumsum(n_slices) - n_slices
+        self.n, self.groups = int(n_slices.sum()), np.zeros(int(n_slices.sum()), np.int64)
+
+    def pack(self, sizes: np.ndarray, most: int) -> int:
+        """Neighbouring slots share a group as long as they have at most `most` bytes together; the number of groups."""
+        total, group = 0, 0
+        for slot, size in enumerate(sizes.tolist()):
+            if total and total + size > most:
+                total, group = 0, group + 1
+            total += size
+            self.groups[slot] = group
+        return group + 1
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        bucket = _bucket(h, len(self.n_slices))
+        return self.first[bucket] + _block(h, self.n_blocks[bucket]) * self.n_slices[bucket] // self.n_blocks[bucket]
+
+
+def _parted(of: np.ndarray, n: int):
+    """(number, places that have it) for each number below n."""
+    at = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[at], np.arange(n + 1))
     return ((b, at[ends[b] : ends[b + 1]]) for b in range(n))
 
 
@@ -98,7 +129,7 @@ def _count(n_buckets: int):
                 words, checks, word_counts = token[order[firsts]], check[order[firsts]], np.diff(np.append(firsts, len(order)))
                 grams, gram_counts = np.unique(bigrams(token, begin), return_counts=True)
                 rows = []
-                for (b, x), (_, y) in zip(_by_bucket(words, n_buckets), _by_bucket(grams, n_buckets), strict=True):
+                for (b, x), (_, y) in zip(_parted(_bucket(words, n_buckets), n_buckets), _parted(_bucket(grams, n_buckets), n_buckets), strict=True):
                     if len(x) or len(y):
                         rows.append({"bucket": b, "words": words[x].tobytes(), "checks": checks[x].tobytes(), "word_counts": word_counts[x].astype(np.uint32).tobytes(), "grams": _grams(grams[y]), "gram_counts": gram_counts[y].astype(np.uint32).tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, _schema(COUNTS))
@@ -125,23 +156,49 @@ def _seeds(h: np.ndarray, n_level: int) -> tuple[np.ndarray, np.ndarray]:
     return seed, C.mix(seed ^ np.uint64(0xA5A5A5A5)) | np.uint64(1)
 
 
-def _merge(base: float, bits_per_entry: float):
+def _segment(grams: np.ndarray, levels: np.ndarray, bits_per_entry: float) -> tuple[np.ndarray, int]:
+    """Blocks of a filter that holds each bigram once for each level up to its own, and the number of hashes."""
+    entries = int(levels.sum())
+    n_blocks = max(1, math.ceil(bits_per_entry * entries / BLOCK_BITS))
+    n_hashes = int(np.clip(round(0.693 * n_blocks * BLOCK_BITS / max(1, entries)), 1, 6))
+    on, block = np.zeros(n_blocks * BLOCK_BITS, bool), _block(grams, n_blocks).astype(np.uint64) * np.uint64(BLOCK_BITS)
+    for n in range(1, int(levels.max(initial=0)) + 1):
+        own = levels >= n
+        seed, step = _seeds(grams[own], n)
+        for k in range(n_hashes):
+            on[block[own] + (seed + np.uint64(k) * step) % np.uint64(BLOCK_BITS)] = True
+    return np.packbits(on, bitorder="little").reshape(n_blocks, -1), n_hashes
+
+
+def _slices(words_of_block: np.ndarray, most: int) -> int:
+    """How many slices it takes until none has more than `most` bytes, as far as there are blocks."""
+    n_blocks, bytes_upto = len(words_of_block), np.append(0, np.cumsum(24 * words_of_block + BLOCK_BITS // 8))
+    n = 1
+    while n < n_blocks:
+        edges = -(-np.arange(n + 1) * n_blocks // n)
+        if np.diff(bytes_upto[edges]).max() <= most:
+            break
+        n = min(n_blocks, max(n + 1, 5 * n // 4, int(bytes_upto[-1]) // most))
+    return n
+
+
+def _merge(base: float, bits_per_entry: float, most: int = GROUP_BYTES):
     def merge(key, table):
         joined = lambda name: b"".join(x.as_py() for x in table.column(name))
         numbers = lambda name, kind: np.frombuffer(joined(name), kind)
         words, checks, word_counts = _sum(numbers("words", np.uint64), numbers("checks", np.uint64), numbers("word_counts", np.uint32))
         grams, _, gram_counts = _sum(C.widen(joined("grams"), 4), None, numbers("gram_counts", np.uint32))
         levels = level(gram_counts, base)
-        n_bits = int(max(64, bits_per_entry * levels.sum()) + 7) // 8 * 8
-        n_hashes = int(np.clip(round(0.693 * n_bits / max(1, levels.sum())), 1, 6))
-        on = np.zeros(n_bits, bool)
-        for n in range(1, int(levels.max(initial=0)) + 1):
-            seed, step = _seeds(grams[levels >= n], n)
-            for k in range(n_hashes):
-                on[(seed + np.uint64(k) * step) % np.uint64(n_bits)] = True
-        sums = np.stack([np.bincount(levels, minlength=LEVELS), np.bincount(levels, gram_counts, minlength=LEVELS)])
-        row = {"bucket": key[0].as_py(), "words": words.tobytes(), "checks": checks.tobytes(), "word_counts": word_counts.tobytes(), "bits": np.packbits(on, bitorder="little").tobytes(), "n_bits": n_bits, "n_hashes": n_hashes, "tokens": int(word_counts.sum()), "types": len(words), "level_sums": sums.astype(float).tobytes()}
-        return pa.Table.from_pylist([row], _schema(MERGED))
+        blocks, n_hashes = _segment(grams, levels, bits_per_entry)
+        n_blocks, at = len(blocks), _block(words, len(blocks))
+        n, rows = _slices(np.bincount(at, minlength=n_blocks), most), []
+        gram_slice = _block(grams, n_blocks) * n // n_blocks
+        for (i, x), (_, y) in zip(_parted(at * n // n_blocks, n), _parted(gram_slice, n), strict=True):
+            bits = blocks[-(-i * n_blocks // n) : -(-(i + 1) * n_blocks // n)]
+            sums = np.stack([np.bincount(levels[y], minlength=LEVELS), np.bincount(levels[y], gram_counts[y], minlength=LEVELS)])
+            row = {"bucket": key[0].as_py(), "slice": i, "n_slices": n, "n_blocks": n_blocks, "words": words[x].tobytes(), "checks": checks[x].tobytes(), "word_counts": word_counts[x].tobytes(), "bits": bits.tobytes(), "n_bits": bits.size * 8, "n_hashes": n_hashes}
+            rows.append(row | {"tokens": int(word_counts[x].sum()), "types": len(x), "level_sums": sums.astype(float).tobytes()})
+        return pa.Table.from_pylist(rows, _schema(MERGED))
 
     return merge
 
@@ -159,7 +216,10 @@ class Group:
         self.buckets = np.array([r["bucket"] for r in rows], np.int64)
         self.n_bits = np.array([r["n_bits"] for r in rows], np.uint64)
         self.n_hashes = np.array([r["n_hashes"] for r in rows], np.int64)
-        self.first = np.cumsum(self.n_bits) - self.n_bits
+        self.n_blocks = np.array([r["n_blocks"] for r in rows], np.int64)
+        # where a bucket's first block would be among the bits, which begin with the first block of its slice
+        before = np.array([-(-r["slice"] * r["n_blocks"] // r["n_slices"]) * BLOCK_BITS for r in rows], np.int64)
+        self.first = (np.cumsum(self.n_bits) - self.n_bits).astype(np.int64) - before
 
     def look_up(self, want: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The counts of wanted words, 0 for those not in the table."""
@@ -173,19 +233,19 @@ class Group:
         return out
 
     def probe(self, grams: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """The level of each bigram in its bucket's segment, 0 if it isn't there: levels are probed until one is missing."""
+        """The level of each bigram in the segment of its slot (or bucket, if it has one slice), 0 if it isn't there: levels are probed until one is missing."""
         reached, h = np.zeros(len(grams), np.uint8), grams & GRAM_BITS
         if not len(self.buckets):
             return reached
         place = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        block = self.first[place] + _block(h, self.n_blocks[place]) * BLOCK_BITS
         left, n = np.flatnonzero(self.buckets[place] == bucket), 1
         while len(left) and n < LEVELS:
             seed, step = _seeds(h[left], n)
             for k in range(int(self.n_hashes.max())):
-                own = place[left]
-                at = seed % self.n_bits[own] + self.first[own]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                hit |= k >= self.n_hashes[own]
+                at = block[left] + (seed % np.uint64(BLOCK_BITS)).astype(np.int64)
+                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit |= k >= self.n_hashes[place[left]]
                 left, step = left[hit], step[hit]
                 seed = seed[hit] + step
             reached[left] = n
@@ -206,11 +266,11 @@ class Chunk:
         self.grams, self.of_gram = np.unique(bigrams(token, self.begin), return_inverse=True)
 
 
-def _ask(n_buckets: int, n_parts: int):
+def _ask(slots: Slots):
     def ask(key, table):
         c = Chunk(table)
-        parts = zip(_by_bucket(c.words, n_buckets), _by_bucket(c.grams, n_buckets), strict=True)
-        rows = [{"chunk": key[0].as_py(), "bucket": b, "part": b * n_parts // n_buckets, "words": c.words[x].tobytes(), "checks": c.checks[x].tobytes(), "grams": _grams(c.grams[y])} for (b, x), (_, y) in parts if len(x) or len(y)]
+        parts = zip(_parted(slots.of(c.words), slots.n), _parted(slots.of(c.grams), slots.n), strict=True)
+        rows = [{"chunk": key[0].as_py(), "bucket": b, "part": int(slots.groups[b]), "words": c.words[x].tobytes(), "checks": c.checks[x].tobytes(), "grams": _grams(c.grams[y])} for (b, x), (_, y) in parts if len(x) or len(y)]
         return pa.Table.from_pylist(rows, _schema(ASKED))
 
     return ask
@@ -240,25 +300,25 @@ def _tell(held):
     return tell
 
 
-def _joined(told: pa.Table, field: str, names: np.ndarray, n_buckets: int, kind) -> np.ndarray:
-    """The answers about names, which come by bucket and in each bucket in the order of the questions."""
+def _joined(told: pa.Table, field: str, names: np.ndarray, slots: Slots, kind) -> np.ndarray:
+    """The answers about names, which come by slot and in each slot in the order of the questions."""
     out = np.zeros(len(names), kind)
-    out[np.argsort(_bucket(names, n_buckets), kind="stable")] = np.frombuffer(C.text_arrays(told.column(field))[0].tobytes(), kind)
+    out[np.argsort(slots.of(names), kind="stable")] = np.frombuffer(C.text_arrays(told.column(field))[0].tobytes(), kind)
     return out
 
 
-def _score(n_buckets: int, n_tokens: int, n_types: int, mu: float, n_texts: int, means: np.ndarray):
+def _score(slots: Slots, n_tokens: int, n_types: int, mu: float, n_texts: int, means: np.ndarray):
     def score(key, table, told):
         if not table.num_rows:
             return _schema(SCORES).empty_table()
         chunk, replies = Chunk(table), told.sort_by("bucket")
         begin = chunk.begin
-        c = _joined(replies, "counts", chunk.words, n_buckets, np.int64)[chunk.of]
+        c = _joined(replies, "counts", chunk.words, slots, np.int64)[chunk.of]
         p = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[begin[:-1]] = n_texts
-        together = means[_joined(replies, "levels", chunk.grams, n_buckets, np.uint8)[chunk.of_gram]]
+        together = means[_joined(replies, "levels", chunk.grams, slots, np.uint8)[chunk.of_gram]]
         together = np.where((c > 0) & (before > 0), np.minimum(together, np.minimum(c, before)), 0.0)  # a bigram is no more frequent than its words
         model = np.log10((together + mu * p) / (before + mu))
         per_text = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731  each text has at least its end
@@ -274,29 +334,40 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text_col: str =
     """Scores of all texts under a model of those for which the Column train holds (columns: see SCORES)."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    n_buckets, n_chunks = C.partitions(spark), C.chunk_count(spark)
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+    n_text, n_texts = t.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count_if("train")).first()
+    n_buckets = max(C.partitions(spark), math.ceil(n_text / BUCKET_TEXT))
     counted = t.filter("train").select("text").mapInArrow(_count(n_buckets), COUNTS)
-    merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry), MERGED))
-    size = F.col("n_bits") / 8 + F.octet_length("words") + F.octet_length("checks") + F.octet_length("word_counts")
-    n_tokens, n_types, n_bytes = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types"), F.sum(size)).first())
-    sums = sum((np.frombuffer(r[0]).reshape(2, -1) for r in merged.select("level_sums").toLocalIterator()), np.zeros((2, LEVELS)))  # LEVELS sums of each bucket
+    merged = C.materialise(counted.groupBy("bucket").applyInArrow(_merge(base, bits_per_entry, group_bytes), MERGED))
+    n_tokens, n_types = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types")).first())
+    sums = sum((np.frombuffer(r[0]).reshape(2, -1) for r in merged.select("level_sums").toLocalIterator()), np.zeros((2, LEVELS)))  # LEVELS sums of each slot
     means = np.where(sums[0] > 0, sums[1] / np.maximum(sums[0], 1), 0.0)
-    n_texts = t.filter("train").count()
-    n_parts = max(1, min(n_buckets, math.ceil(n_bytes / group_bytes)))
-    chunked = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int")).repartition(n_buckets, "chunk")
+    size = F.col("n_bits") / 8 + F.octet_length("words") + F.octet_length("checks") + F.octet_length("word_counts")
+    held_sizes = merged.select("bucket", "slice", "n_slices", "n_blocks", size.cast("long").alias("size")).collect()  # a few numbers for each slot
+    n_slices, n_blocks = np.ones(n_buckets, np.int64), np.ones(n_buckets, np.int64)
+    n_slices[[r["bucket"] for r in held_sizes]] = [r["n_slices"] for r in held_sizes]
+    n_blocks[[r["bucket"] for r in held_sizes]] = [r["n_blocks"] for r in held_sizes]
+    slots = Slots(n_blocks, n_slices)
+    sizes = np.zeros(slots.n, np.int64)
+    sizes[[slots.first[r["bucket"]] + r["slice"] for r in held_sizes]] = [r["size"] for r in held_sizes]
+    n_parts = slots.pack(sizes, group_bytes)
+    own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))  # rows without id are dealt by their texts
+    chunked = t.withColumn("chunk", F.pmod(F.xxhash64(own), F.lit(C.CHUNKS * n_buckets)).cast("int")).repartition(n_buckets, "chunk")
     questions, answers = shared.new_path(spark), shared.new_path(spark)
-    chunked.groupBy("chunk").applyInArrow(_ask(n_buckets, n_parts), ASKED).write.partitionBy("part").parquet(questions)
+    chunked.groupBy("chunk").applyInArrow(_ask(slots), ASKED).write.partitionBy("part").parquet(questions)
     asked = spark.read.schema(ASKED).parquet(questions)
-    for k in range(n_parts):  # one bounded group of buckets after the other
-        rows = merged.filter(F.floor(F.col("bucket") * n_parts / n_buckets) == k).drop("tokens", "types", "level_sums").collect()
-        held = spark.sparkContext.broadcast([{c: bytes(x) if isinstance(x, bytearray) else x for c, x in r.asDict().items()} for r in rows])
+    for k in range(n_parts):  # one bounded group of slots after the other
+        inside = [int(i) for i in np.flatnonzero(slots.groups == k)]
+        buckets = np.searchsorted(slots.first, [inside[0], inside[-1]], "right") - 1
+        rows = merged.filter(F.col("bucket").between(*buckets.tolist())).withColumn("slot", F.get(F.array(*[F.lit(int(x)) for x in slots.first[buckets[0] : buckets[1] + 1]]), F.col("bucket") - int(buckets[0])) + F.col("slice"))
+        rows = rows.filter(F.col("slot").between(inside[0], inside[-1])).drop("tokens", "types", "level_sums").collect()  # at most group_bytes
+        held = spark.sparkContext.broadcast([{c: bytes(x) if isinstance(x, bytearray) else x for c, x in r.asDict().items()} | {"bucket": r["slot"]} for r in rows])
         asked.filter(F.col("part") == k).drop("part").mapInArrow(_tell(held), TOLD).write.mode("append").parquet(answers)
         held.destroy()
     shared.delete(questions)
     C.discard(merged)
     scored = chunked.groupBy("chunk").cogroup(spark.read.schema(TOLD).parquet(answers).groupBy("chunk"))
-    return scored.applyInArrow(_score(n_buckets, n_tokens, n_types, mu, n_texts, means), SCORES)
+    return scored.applyInArrow(_score(slots, n_tokens, n_types, mu, n_texts, means), SCORES)
 
 
 def query(spark, sf_dir):

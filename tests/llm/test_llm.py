@@ -400,6 +400,19 @@ def test_lm_score(spark, docs):
     assert lm_score.score_texts(docs, F.lit(False)).filter("train_tokens = 0 and n_known = 0").count() == len(ROWS)
 
 
+def test_lm_groups_stay_bounded(spark, docs, monkeypatch):
+    """Two partitions and groups of 300 bytes: no broadcast is larger, and the scores are those of one group, up to the filter's false hits."""
+    held, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (held.append(value), broadcast(self, value))[1])
+    monkeypatch.setattr(lm_score.C, "partitions", lambda _: 2)
+    train = F.col("doc_id") % 2 == 0
+    score = lambda n: bag((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score_texts(docs.filter("length(text) < 300"), train, bits_per_entry=400.0, group_bytes=n).collect())
+    small = score(2000)
+    sizes = [sum(len(r[c]) for r in rows for c in ("words", "checks", "word_counts", "bits")) for rows in held]
+    assert len(sizes) > 10 and max(sizes) <= 2000
+    assert small == score(1 << 30)
+
+
 def test_lm_score_is_the_formula(spark, docs):
     tokens = [(i, [None, *(t or "").encode().lower().split(), ""]) for i, t in PLAIN]
     training = [ws for i, ws in tokens if i is not None and i % 2 == 0]
