@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +302,55 @@ def test_delay_and_distance(spark):
     assert routes.delays(step, trip("Monday")).count() == 0
     km = one(spark, S.haversine_km(F.lit(-36.0), F.lit(-73.0), F.lit(-36.01), F.lit(-73.01)))
     assert round(km, 2) == 1.43 and round(km / 35 * 60, 1) == 2.5
+
+
+def brute_scores(rows, strategy):
+    """Scores from whole matrices: ratings (user, item) and cosines of rows or columns."""
+    users, items = sorted({u for u, _, _ in rows}), sorted({i for _, i, _ in rows})
+    m = np.zeros((len(users), len(items)))
+    for u, i, x in rows:
+        m[users.index(u), items.index(i)] = x
+    k = m if strategy == "ubcf" else m.T
+    norm = np.sqrt((k * k).sum(1))
+    sim = k @ k.T / np.outer(norm, norm)
+    np.fill_diagonal(sim, 0)
+    total, weight = (sim @ m, sim @ (m > 0)) if strategy == "ubcf" else (m @ sim, ((m > 0).astype(float) @ (sim > 0)))
+    reach = (sim > 0).astype(float) @ (m > 0) if strategy == "ubcf" else (m > 0).astype(float) @ (sim > 0)
+    return {(u, i): total[a, b] / weight[a, b] for a, u in enumerate(users) for b, i in enumerate(items) if not m[a, b] and reach[a, b]}
+
+
+@pytest.fixture(scope="module")
+def hot_ratings():
+    """One item that everyone has rated, some that many have, and rare ones."""
+    rng = random.Random(4)
+    rows = [(f"u{u:03}", "hot", float(rng.randint(1, 5))) for u in range(120)]
+    return rows + [(f"u{u:03}", f"i{i}", float(rng.randint(1, 5))) for u in range(120) for i in range(30) if rng.random() < (0.3 if i < 5 else 0.05)]
+
+
+@pytest.mark.parametrize("strategy", ["ubcf", "ibcf"])
+@pytest.mark.parametrize(("held", "heavy"), [(4_000_000, 2048), (60, 7)])
+def test_scores_of_hot_items_equal_whole_matrices(spark, hot_ratings, strategy, held, heavy):
+    """In one block, and in many small ones with the hot items joined by themselves and their raters paired block against block."""
+    m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
+    t = cf.scores(m, strategy, held=held, heavy=heavy).withColumnsRenamed({"user_id": "user_no", "via": "place"}).join(users, "user_no").join(vias, "place")
+    got = {(r.user_id, r.via): r.score for r in t.collect()}
+    assert got == pytest.approx(brute_scores(hot_ratings, strategy))
+
+
+def test_limits_keep_the_best(spark, hot_ratings):
+    m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
+    every = {(r.user_id, r.via): round(r.score, cf.DIGITS) for r in cf.scores(m, "ibcf").collect()}
+    few = cf.scores(m, "ibcf", m.select(F.col("user_id").alias("user")).distinct().filter("user < 50").withColumn("limit", F.lit(3)), held=100).collect()
+    for u in range(1, 50):
+        best = sorted([(-s, i) for (v, i), s in every.items() if v == u])[:3]
+        assert set(best) <= {(-round(r.score, cf.DIGITS), r.via) for r in few if r.user_id == u}
+    assert all(r.user_id < 50 for r in few)
+
+
+def test_raters_of_a_hot_item_are_paired_in_blocks(spark):
+    """Each pair once; no key of the join holds more than a block against a block."""
+    m = spark.range(3000).select(F.col("id").alias("k"), F.lit(0).alias("o"), F.lit(1.0).alias("rating"))
+    pairs = cf.rater_pairs(m, heavy=100)
+    assert pairs.count() == 3000 * 2999 // 2 == pairs.distinct().count()
+    keys = m.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(30))).groupBy("own").count().agg(F.max("count")).first()[0]
+    assert keys < 200  # so a task pairs 200 * 200 at most, not 3,000 * 3,000
