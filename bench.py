@@ -13,6 +13,8 @@ HEADLINE = [
     "road_penalties",
     "segment_tokens",
     "congestion_hotspots",
+    "ubcf_topn",
+    "ibcf_topn",
     "popular_fallback",
     "user_similarity",
     "via_safety_rating",

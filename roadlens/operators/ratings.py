@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
-from roadlens.operators import cf, spatial
+from roadlens.operators import selection, spatial
+from roadlens.sources.shared import saved
 
 
 def in_region(df: DataFrame, region: str) -> DataFrame:
@@ -66,8 +67,9 @@ def road_profiles(roads: DataFrame, region: str = "regional") -> DataFrame:
     """Ratings of four users who look at road attributes only."""
     a = road_attributes(region_roads(roads, region), region)
     columns = ["velocidad_kmh", "distancia_km", "duracion_hrs"]
-    medians = a.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"mid_{c}") for c in columns])
-    a = a.crossJoin(F.broadcast(medians)).select("via", *[F.coalesce(c, f"mid_{c}").alias(c) for c in columns])  # one row
+    a = saved(a)
+    middle = selection.quantiles(a, {c: [0.5] for c in columns})
+    a = a.select("via", *[F.coalesce(F.col(c), F.lit(middle[c, 0.5] or 0.0)).alias(c) for c in columns])
     a = a.crossJoin(F.broadcast(_min_max(a, *columns)))
     norm = lambda c: F.when(F.col(f"max_{c}") == F.col(f"min_{c}"), 0.5).otherwise(F.try_divide(F.col(c) - F.col(f"min_{c}"), F.col(f"max_{c}") - F.col(f"min_{c}")))
     speed, short, quick = S.to_rating(norm(columns[0])), S.to_rating(1 - norm(columns[1])), S.to_rating(1 - norm(columns[2]))
@@ -92,13 +94,13 @@ def incident_profiles(danger: DataFrame, roads: DataFrame, region: str = "region
     """user_id, via, rating (unrounded), danger_score, velocidad_kmh of four users with opposed views of danger."""
     a = road_attributes(roads, region, fill=True).select("via", "velocidad_kmh", "distancia_km")
     t = a.join(danger.select("via", "danger_score", "accident_count", "congestion_count"), "via", "left").na.fill(0, ["danger_score", "accident_count", "congestion_count"])
+    t = saved(t)
     stats = t.agg(
         *[f(c).alias(f"{n}_{c}") for c in ("velocidad_kmh", "danger_score") for n, f in (("min", F.min), ("max", F.max))],
-        F.percentile("danger_score", F.lit(0.33)).alias("p33"),
-        F.percentile("danger_score", F.lit(0.66)).alias("p66"),
-        F.percentile("velocidad_kmh", F.lit(0.5)).alias("p50"),
     )
-    t = t.crossJoin(F.broadcast(stats))  # one row
+    marks = selection.quantiles(t, {"danger_score": [0.33, 0.66], "velocidad_kmh": [0.5]})
+    marks = {"p33": marks["danger_score", 0.33], "p66": marks["danger_score", 0.66], "p50": marks["velocidad_kmh", 0.5]}
+    t = t.crossJoin(F.broadcast(stats)).withColumns({n: F.lit(x).cast("double") for n, x in marks.items()})  # one row
     norm = lambda c: (F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}") + 0.01)
     speed, danger_norm = norm("velocidad_kmh"), norm("danger_score")
     flag = lambda c, x: F.when(c, x).otherwise(0.0)
@@ -115,14 +117,21 @@ def incident_profiles(danger: DataFrame, roads: DataFrame, region: str = "region
 
 
 def sampled_profiles(profiles: DataFrame, seed: int = 42) -> DataFrame:
-    """An exact share of each profile's vias of interest, by hash order; ratings rounded."""
+    """An exact share of each profile's vias of interest, by hash order; ratings rounded. The last draw that is in is found by counting, not by ranking."""
     r = F.col("rating")
     rules = {"safety_focused": ((r >= 4.5) | (r <= 2.5), 0.6), "risk_taker": ((F.col("velocidad_kmh") > 50) | (r >= 4.0), 0.5), "moderate_risk": (F.lit(True), 0.4), "usuario_demo": ((r >= 3.5) | (r <= 1.5), 0.45)}
     wanted, share = F.lit(False), F.lit(0.0)
     for user, (mask, fraction) in rules.items():
         wanted, share = F.when(F.col("user_id") == user, mask).otherwise(wanted), F.when(F.col("user_id") == user, fraction).otherwise(share)
     t = profiles.withColumn("share", share).filter(wanted).withColumn("drawn", draw(F.col("via"), F.lit(str(seed))))
-    t = cf.ranked(t, F.col("user_id"), F.col("drawn"), F.col("via"))  # over ranges: a profile has all vias
-    users = t.groupBy("user_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    t = t.join(F.broadcast(users), "user_id")  # a row for each profile
-    return t.filter(F.col("place") - F.col("first") < F.round(F.col("share") * F.col("n"))).select("user_id", "via", F.round("rating", 2).alias("rating"))
+    t = saved(t)
+    counts = {r["user_id"]: r["n"] for r in t.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each profile
+    take = {u: int(rules[u][1] * n + 0.5) for u, n in counts.items() if u in rules}
+    last = selection.at_ranks(t, "drawn", {u: [k - 1] for u, k in take.items() if k}, "user_id")
+    marks = t.sparkSession.createDataFrame([(u, k, last[u, k - 1]) for u, k in take.items() if k], "user_id string, take long, mark double")
+    t = t.join(F.broadcast(marks), "user_id").filter("drawn <= mark")
+    # all draws below the mark are in; of those equal to it the first vias, as many as are left
+    below = t.groupBy("user_id").agg(F.count_if(F.col("drawn") < F.col("mark")).alias("below"))
+    tied = F.row_number().over(Window.partitionBy("user_id", "equal").orderBy("via"))
+    t = t.join(F.broadcast(below), "user_id").withColumn("equal", F.when(F.col("drawn") == F.col("mark"), F.lit("")).otherwise(F.col("via"))).withColumn("place", tied)
+    return t.filter((F.col("equal") != "") | (F.col("place") <= F.col("take") - F.col("below"))).select("user_id", "via", F.round("rating", 2).alias("rating"))

@@ -429,10 +429,10 @@ WHERE NOT (user_id % 27 <= 24 AND user_id % 13 <> 0 AND lat + CASE WHEN user_id
     "recommendation_request_rejects": """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 17 <> 0 THEN 'u' || c_custkey END AS user_id, CAST(c_custkey % 250 - 4 AS INT) AS "limit" FROM customer
 WHERE c_custkey % 17 = 0 OR c_custkey % 250 - 4 NOT BETWEEN 1 AND 200""",
     "polylines": _plain(BASE) + """SELECT user_id, CAST(CASE WHEN len(l) = 1 THEN 2 ELSE len(l) END AS INT) AS points, CASE WHEN len(l) = 1 THEN 0 ELSE round(l[1].lat, 6) END AS lat, CASE WHEN len(l) = 1 THEN 1 ELSE round(l[-1].lon, 6) END AS lon
-FROM (SELECT user_id, coalesce(list({'lat': lat, 'lon': lon} ORDER BY indice_coord) FILTER (WHERE event_id % 3 <> 0), []) AS l FROM points WHERE indice_coord < 4 GROUP BY user_id)""",
+FROM (SELECT user_id, coalesce(list({'lat': lat, 'lon': lon} ORDER BY indice_coord) FILTER (WHERE event_id % 3 <> 0), []) AS l FROM points GROUP BY user_id)""",
     "accidents_from_csv": _plain(BASE) + "SELECT segment_id, segment_seq, row_number() OVER (ORDER BY row_no) - 1 AS row_no, duracion_hrs, velocidad_kmh, via, hora_num, tipo_evento, oneway FROM ev WHERE src_rank = 0",
     "roads_from_csv": _plain(BASE) + "SELECT segment_id, segment_seq, row_number() OVER (ORDER BY row_no) - 1 AS row_no, false AS oneway, via FROM ev WHERE src_rank = 2",
-    "ratings_csv": _plain(RATED) + "SELECT user_id, via, round(rating, 6) AS rating, 'Solo Concepción' AS profile FROM r",
+    "ratings_csv": _plain(RATED) + "SELECT user_id, via, round(rating, 6) AS rating, row_number() OVER (ORDER BY user_id, via) - 1 AS row_no, 'Solo Concepción' AS profile FROM r",
     "road_rows_csv": "SELECT segment_id, row_idx, velocidad_kmh, via, row_number() OVER (ORDER BY segment_id, row_idx) - 1 AS row_no FROM (" + _plain(BASE).rstrip() + ROAD_ROWS + ")",
     "derived_table": _plain(BASE) + "SELECT segment_id, segment_seq, tipo_evento, segment_seq AS row FROM ev WHERE src_rank < 2",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -123,7 +124,7 @@ def hotspots_limited(spark, d):
 @query
 def heat_filter(spark, d):
     trips = D.points(spark, d).filter("indice_coord = 0").select(F.col("user_id").alias("request_id"), S.weekday(F.col("fecha")).alias("day"), (F.col("user_id") % 24).cast("double").alias("hour"))
-    return _rounded(hotspots.heat(hotspots.limited(hotspots.hotspots(_incidents(spark, d))), trips).groupBy("request_id").agg(F.count(F.lit(1)).alias("points"), F.sum("weight").alias("weight")), "weight")
+    return _rounded(hotspots.heat_totals(shared.saved(hotspots.limited(hotspots.hotspots(_incidents(spark, d)))), trips), "weight")
 
 
 @query
@@ -219,10 +220,10 @@ def roads_from_csv(spark, d):
 
 @query
 def ratings_csv(spark, d):
-    """Ratings through the sink, which orders them by user and via, and the profile's scan."""
+    """Ratings through the sink, which orders them by user and via, and the profile's scan, with each row's place in the file."""
     folder = shared.new_path(spark)
     tables.write_csv(_rounded(D.ratings(spark, d), "rating"), f"{folder}/user_ratings_concepcion.csv")
-    return tables.profile_ratings(spark, folder, "concepcion")
+    return tables.profile_ratings(spark, folder, "concepcion", keep=("row_no",))
 
 
 @query
@@ -235,9 +236,11 @@ def road_rows_csv(spark, d):
 
 @query
 def derived_table(spark, d):
-    """Incidents through the Parquet sink, with each point's place among its segment's rows of a file."""
+    """Incidents through the bucketed sink, with each point's place among its segment's rows of a file."""
     path = _file(spark, "incidents.parquet")
-    tables.write_table(_incidents(spark, d).drop("row_no").repartition(1), path, ["tipo_evento"])
+    name = f"incidents_{uuid.uuid4().hex}"
+    tables.write_segments(_incidents(spark, d).drop("row_no"), path, name, ["tipo_evento"])
+    spark.sql(f"drop table {name}")  # an external table: its files stay
     t = tables.scan(spark, path).withColumn("row", F.row_number().over(Window.partitionBy("tipo_evento", "segment_id").orderBy("row_no")) - 1)
     return t.select("segment_id", "segment_seq", "tipo_evento", "row")
 
@@ -405,9 +408,9 @@ def route_geometry(spark, d):
 
 @query
 def polylines(spark, d):
-    """Each street's first points as a line; every third point lacks its latitude."""
+    """Each street's points as a line; every third point lacks its latitude."""
     lat = F.when(F.col("event_id") % 3 != 0, F.col("lat"))
-    p = D.points(spark, d).filter("indice_coord < 4").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("indice_coord", lat.alias("lat"), "lon"))).alias("points"))
+    p = D.points(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("indice_coord", lat.alias("lat"), "lon"))).alias("points"))
     end = lambda x: F.struct(F.lit(x).alias("lat"), F.lit(x).alias("lon"))
     line = S.clean_polyline(F.transform("points", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))), end(0.0), end(1.0))
     t = p.select("user_id", line.alias("line"))

@@ -52,22 +52,22 @@ def scan_roads(spark: SparkSession, path: str) -> DataFrame:
     return t if "oneway" in t.columns else t.withColumn("oneway", F.lit(None).cast("string"))
 
 
-def scan_ratings(spark: SparkSession, path: str) -> DataFrame:
-    return clean_ratings(scan(spark, path))
+def scan_ratings(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return clean_ratings(scan(spark, path), keep)
 
 
-def clean_ratings(df: DataFrame) -> DataFrame:
-    """user_id, via (titled), rating; incomplete rows are dropped."""
+def clean_ratings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, via (titled), rating and columns to keep; incomplete rows are dropped."""
     require(df, ["user_id", "via", "rating"], "ratings")
-    t = df.select(F.col("user_id").cast("string").alias("user_id"), S.clean(F.col("via")).alias("via"), S.number("rating").alias("rating")).dropna()
+    t = df.select(F.col("user_id").cast("string").alias("user_id"), S.clean(F.col("via")).alias("via"), S.number("rating").alias("rating"), *keep).dropna(subset=["user_id", "via", "rating"])
     return t.withColumn("via", S.title(F.col("via")))
 
 
-def profile_ratings(spark: SparkSession, folder: str, profile: str) -> DataFrame:
+def profile_ratings(spark: SparkSession, folder: str, profile: str, keep: tuple[str, ...] = ()) -> DataFrame:
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile}; known: {sorted(PROFILES)}")
     label, name = PROFILES[profile]
-    return scan_ratings(spark, f"{folder}/{name}").withColumn("profile", F.lit(label))
+    return scan_ratings(spark, f"{folder}/{name}", keep).withColumn("profile", F.lit(label))
 
 
 def incidents_for_ratings(accidents: DataFrame, congestions: DataFrame) -> DataFrame:
@@ -84,6 +84,24 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     out.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def write_segments(df: DataFrame, path: str, table: str, partition_by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Materialise a derived table in buckets of segments, each a file sorted by segment and place, and return it from the catalog.
+
+    All tasks write, and a segment's rows stand in order in one file of each partition. Joins, groups and windows by segment_id of tables with as many
+    buckets need no shuffle.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in ("segment_id", "segment_seq") if c in df.columns]
+    require(df, ["segment_id"], table)
+    # one task for each bucket, so that a bucket is one file
+    out = df.repartition(n, "segment_id").sortWithinPartitions(*(partition_by or []), *keys).write.mode("overwrite").option("path", path)
+    if partition_by:
+        out = out.partitionBy(*partition_by)
+    out.bucketBy(n, "segment_id").sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header. Ratings come in order of user and via, road rows in that of segment and point, over all files by name."""
     keys = next((k for k in (["user_id", "via"], ["segment_id", "row_idx"]) if set(k) <= set(df.columns)), [])
