@@ -276,6 +276,32 @@ path AS MATERIALIZED (
 planned AS (
   SELECT *, CASE WHEN request_id || '/' || kind IN (SELECT solve_id FROM path) THEN request_id || '/' || kind ELSE request_id || '/baseline' END AS solve_id FROM wanted)
 """
+
+
+def _deliveries() -> str:
+    """The solver's SQL for the suppliers' trips: without preferences, and with a day and an hour for each solve."""
+    head, tail = ROUTES[: ROUTES.index("start AS (")], ROUTES[ROUTES.index("origin AS (") :]
+    trips = f"""street AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM points)),
+request AS (
+  SELECT s_suppkey AS request_id, a.lat, a.lon, b.lat AS to_lat, b.lon AS to_lon, s_nationkey % 2 = 0 AS avoid_c, s_nationkey % 3 = 0 AS avoid_a,
+    ['monday', 'tuesday', 'wednesday', 'thursday', 'friday', 'saturday', 'sunday'][s_nationkey % 7 + 1] AS day, {HOUR.format(h='(s_nationkey * 5 % 24)')} AS hour
+  FROM supplier JOIN street x ON x.r = s_nationkey * 7 % x.n JOIN street y ON y.r = s_suppkey * 37 % y.n
+  JOIN points a ON a.user_id = x.user_id AND a.indice_coord = s_nationkey % 40 JOIN points b ON b.user_id = y.user_id AND b.indice_coord = s_suppkey % 40),
+"""
+    t = head + trips + tail
+    for old, new in (
+        (f"lower(b.dia_semana) = 'monday' AS same_day, b.franja_horaria = '{_BUCKET}' AS same_hour", "lower(b.dia_semana) AS day, b.franja_horaria AS hour"),
+        ("variant = 'ubcf' AND request_id % 3 <> 0", "false"),
+        ("variant = 'ibcf' AND request_id % 3 = 2", "false"),
+        ("src, dst, kind <> 'baseline' AS penalties", "src, dst, day, hour, kind <> 'baseline' AS penalties"),
+        ("same_day", "e.day = v.day"),
+        ("same_hour", "e.hour = v.hour"),
+    ):
+        assert old in t, old
+        t = t.replace(old, new)
+    return t
+
+
 STEPS = ROUTES.rstrip() + f""",
 inner_step AS (
   SELECT request_id, variant, position, node_id, segment_id, segment_seq, n.lat, n.lon, via, comuna, tipo_evento, duracion_hrs, dia_semana, franja_horaria, peso,
@@ -412,6 +438,7 @@ SELECT point_id, first(node_id ORDER BY km, node_id) AS node_id, round(min(km),
     "transactions_onehot": SUMMARY + "SELECT segment_id, " + ", ".join(f"""max(CASE WHEN token = '{t}' THEN 1 ELSE 0 END) AS "{t}\"""" for t in ONE_HOT) + " FROM tok GROUP BY segment_id",
     "incident_profiles_noisy": DANGER.rstrip() + INCIDENT_PROFILES[: INCIDENT_PROFILES.rindex("SELECT user_id, via, round(least")].rstrip() + INCIDENT_NOISE,
     "shortest_paths": ROUTES + "SELECT solve_id, position, node_id, round(peso, 6) AS peso FROM path",
+    "delivery_routes": _deliveries() + "SELECT solve_id, position, node_id, round(peso, 6) AS peso FROM path",
     "unroutable_requests": ROUTES + "SELECT request_id, src, dst FROM wanted WHERE variant = 'baseline' AND request_id || '/baseline' NOT IN (SELECT solve_id FROM path)",
     "route_steps": STEPS + "SELECT request_id, variant, position, node_id, round(lat, 6) AS lat, round(lon, 6) AS lon, tipo_evento, dia_semana, franja_horaria, round(peso, 6) AS peso, round(sum(km) OVER (PARTITION BY request_id, variant ORDER BY position), 3) AS cumulative_km FROM step",
     "route_variants": STEPS + "SELECT request_id, variant, distance_km, estimated_duration_min, extra_delay_min, round(cost, 6) AS cost FROM variants",

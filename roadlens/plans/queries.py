@@ -376,6 +376,13 @@ def shortest_paths(spark, d):
     return _rounded(_routes(spark, d)[3], "peso")
 
 
+@query
+def delivery_routes(spark, d):
+    """Long trips over a map of small blocks; those of a nation are one search."""
+    _, n, edges = _road_graph(spark, d)
+    return _rounded(routes.solve(D.delivery_requests(spark, d), n, edges, block_nodes=100)[1], "peso")
+
+
 @query
 def unroutable_requests(spark, d):
     _, _, planned, found, _ = _routes(spark, d)

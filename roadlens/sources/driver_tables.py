@@ -99,6 +99,34 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivery_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trip for each supplier, from a point of its nation's street to a point of a street of its own, at the nation's day and hour.
+
+    Suppliers of a nation share where, when and how they start, and their ways are of all lengths.
+    """
+    p = points(spark, sf_dir)
+    rank = F.row_number().over(Window.orderBy("user_id")) - 1  # a row for each street
+    street = p.select("user_id").distinct().withColumn("r", rank)
+    n = street.count()
+    place = street.join(p.select("user_id", "indice_coord", "lat", "lon"), "user_id")
+    at = lambda end: place.select(F.col("r").alias(f"{end}_r"), F.col("indice_coord").alias(f"{end}_at"), F.struct("lat", "lon").alias(end))
+    k, own = F.col("s_nationkey"), F.col("s_suppkey")
+    s = _table(spark, sf_dir, "supplier").select(own, k, (k * 7 % n).alias("origin_r"), (k % 40).alias("origin_at"), (own * 37 % n).alias("destination_r"), (own % 40).alias("destination_at"))
+    none = F.array().cast("array<struct<via:string,weight:double>>")
+    days = F.array(*[F.lit(x) for x in ("lunes", "martes", "miércoles", "jueves", "viernes", "sabado", "domingo")])
+    return s.join(at("origin"), ["origin_r", "origin_at"]).join(at("destination"), ["destination_r", "destination_at"]).select(
+        own.alias("request_id"),
+        "origin",
+        "destination",
+        none.alias("ubcf_preferences"),
+        none.alias("ibcf_preferences"),
+        F.element_at(days, (k % 7 + 1).cast("int")).alias("day_of_week"),
+        (k * 5 % 24).cast("double").alias("departure_hour"),
+        (k % 2 == 0).alias("avoid_congestion"),
+        (k % 3 == 0).alias("avoid_accidents"),
+    )
+
+
 def doubtful_route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The requests with hours from 0 to 26, origins a degree off for every 11th and weights over 1 for every 13th street."""
     t, u = route_requests(spark, sf_dir), F.col("request_id")
