@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
@@ -47,34 +45,72 @@ def apply_penalties(roads: DataFrame, incidents: DataFrame, key: list[str], radi
     return joined.withColumn("penalty_factor", penalty).drop("near_penalty").select(*roads.columns)
 
 
+#: The pyramid of nearest_nodes: degrees of its widest cells, and how often they are cut into 4 x 4.
+TOP, STEPS = 45.0, 8
+
+
+def _pyramid(n: DataFrame) -> list[DataFrame]:
+    """For each level, the widest cells first: y, x, count and parent (py, px) of the cells that hold nodes (columns y, x of the finest level)."""
+    levels = [saved(n.groupBy("y", "x").agg(F.count(F.lit(1)).alias("count")))]
+    for _ in range(STEPS):
+        up = levels[-1].select(F.shiftright("y", 2).alias("y"), F.shiftright("x", 2).alias("x"), "count")
+        levels.append(saved(up.groupBy("y", "x").agg(F.sum("count").alias("count"))))
+    return [t.select("y", "x", "count", F.shiftright("y", 2).alias("py"), F.shiftright("x", 2).alias("px")) for t in reversed(levels)]
+
+
+def _reach(width: float) -> tuple[Column, Column]:
+    """Degrees of arc from a point (p_lat, p_lon) that all nodes of a cell (y, x) are away at least, and that some node is away at most.
+
+    At least: the gap of latitudes, and the way to the meridian at the edge of the gap of longitudes (beyond 90 degrees: to the pole).
+    At most: the way to the cell's middle and from there to its corner.
+    """
+    south, west, p = F.col("y") * width - 90, F.col("x") * width - 180, F.col("p_lat")
+    gap_y = F.greatest(south - p, p - south - width, F.lit(0.0))
+    east_of = F.pmod(F.col("p_lon") - west, F.lit(360.0))  # 0 to width: inside
+    gap_x = F.when(east_of <= width, 0.0).otherwise(F.least(east_of - width, 360 - east_of))
+    across = F.when(gap_x < 90, F.degrees(F.asin(F.cos(F.radians(p)) * F.sin(F.radians(gap_x))))).otherwise(90 - F.abs(p))
+    middle = S.haversine_km(p, F.col("p_lon"), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), south + width / 2)), west + width / 2) * 1000 / DEGREE_M
+    return F.greatest(gap_y, across), middle + width
+
+
+def _descend(left: DataFrame, n: DataFrame) -> DataFrame:
+    """Candidate nodes of far points (point_id, p_lat, p_lon, excluded): cells of the pyramid are followed while they may hold the nearest node."""
+    width, t = TOP, None
+    for cells in _pyramid(n):
+        if t is None:
+            t = left.crossJoin(F.broadcast(cells))  # the globe has 45 cells of this width at most
+        else:
+            t = t.withColumnsRenamed({"y": "py", "x": "px"}).drop("count").join(cells, ["py", "px"])
+        near, far = _reach(width)
+        # a cell with one node may hold no other than the one that is left out
+        far = F.when(F.col("excluded").isNull() | (F.col("count") > 1), far)
+        t = t.drop("py", "px").withColumn("near", near).withColumn("best", F.min(far).over(Window.partitionBy("point_id")))
+        t = t.filter(F.col("best").isNull() | (F.col("near") <= F.col("best") + 1e-6)).select("point_id", "p_lat", "p_lon", "excluded", "y", "x", "count")
+        width /= 4
+    return t.join(n, ["y", "x"])
+
+
 def nearest_nodes(points: DataFrame, nodes: DataFrame, exclude: str | None = None, cell: float = 0.001) -> DataFrame:
     """points (point_id, lat, lon) with node_id and km of the nearest node (ties: least node_id), NULL if there is none.
 
-    Nodes in the 3x3 cells around a point are tried; a hit closer than the cells' margin is final. Points without one go on with
-    cells eight times as wide, and so on; the last cells span the globe. Every join is on cells.
+    Nodes in the 3x3 cells around a point are tried; a hit closer than the cells' margin is final. Points without one descend a pyramid of occupied
+    cells: of a point's cells those go on whose least possible distance is not beyond the greatest possible of another. Points without a place have no node.
     """
     excluded = F.col(exclude) if exclude else F.lit(None).cast("string")
-    left = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), excluded.alias("excluded"))
+    left = points.filter("lat is not null and lon is not null").select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), excluded.alias("excluded"))
     n = nodes.filter("lat is not null and lon is not null").select("node_id", "lat", "lon")
     km = S.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
     other = F.col("excluded").isNull() | (F.col("node_id") != F.col("excluded"))
-    best, found = F.min_by(F.struct("node_id", "km"), F.struct("km", "node_id")).alias("best"), []
-    while True:
-        last = cell >= 360
-        at = lambda c, size=cell: F.floor(F.col(c) / size)
-        around = left.withColumn("y", F.explode(F.array(*[at("p_lat") + d for d in (-1, 0, 1)]))).withColumn("x", F.explode(F.array(*[at("p_lon") + d for d in (-1, 0, 1)])))
-        tried = around.join(n.withColumn("y", at("lat")).withColumn("x", at("lon")), ["y", "x"]).filter(other).withColumn("km", km)
-        if not last:
-            # degrees of longitude shrink towards the poles, and 3x3 cells of over 10 degrees are no neighbourhood on a sphere
-            margin = F.lit(cell * DEGREE_M / 1000) * F.cos(F.radians(F.least(F.lit(89.9), F.abs("p_lat") + 2 * cell))) if cell < 10 else F.lit(-1.0)
-            tried = tried.filter(F.col("km") < margin)
-        hits = saved(tried.groupBy("point_id").agg(best))
-        found.append(hits)
-        if last:
-            break
-        left = left.join(hits, "point_id", "left_anti")
-        if left.isEmpty():
-            break
-        cell = 360.0 if cell >= 10 else cell * 8
-    hits = reduce(DataFrame.unionByName, found)
+    best = F.min_by(F.struct("node_id", "km"), F.struct("km", "node_id")).alias("best")
+    at = lambda c: F.floor(F.col(c) / cell)
+    around = left.withColumn("y", F.explode(F.array(*[at("p_lat") + d for d in (-1, 0, 1)]))).withColumn("x", F.explode(F.array(*[at("p_lon") + d for d in (-1, 0, 1)])))
+    tried = around.join(n.withColumn("y", at("lat")).withColumn("x", at("lon")), ["y", "x"]).filter(other).withColumn("km", km)
+    # degrees of longitude shrink towards the poles
+    margin = F.lit(cell * DEGREE_M / 1000) * F.cos(F.radians(F.least(F.lit(89.9), F.abs("p_lat") + 2 * cell)))
+    hits = saved(tried.filter(F.col("km") < margin).groupBy("point_id").agg(best))
+    far = saved(left.join(hits, "point_id", "left_anti"))
+    if not far.isEmpty():
+        finest = TOP / 4**STEPS
+        celled = saved(n.withColumn("y", F.floor((F.col("lat") + 90) / finest)).withColumn("x", F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / finest)))
+        hits = hits.unionByName(saved(_descend(far, celled).filter(other).withColumn("km", km).groupBy("point_id").agg(best)))
     return points.select("point_id").join(hits, "point_id", "left").select("point_id", "best.node_id", "best.km")

@@ -354,3 +354,133 @@ def test_raters_of_a_hot_item_are_paired_in_blocks(spark):
     assert pairs.count() == 3000 * 2999 // 2 == pairs.distinct().count()
     keys = m.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(30))).groupBy("own").count().agg(F.max("count")).first()[0]
     assert keys < 200  # so a task pairs 200 * 200 at most, not 3,000 * 3,000
+
+
+def test_solves_with_one_source_and_price_are_one_search(spark):
+    """What can't change a price is left out: the day of a trip that avoids nothing, and preferences that are the default."""
+    none = ("Monday", "x", False, False, True, 1.0)
+    rows = [("a", "s", "t1", *none), ("b", "s", "t2", *none), ("c", "s", "t1", "Sunday", "y", False, False, True, 1.0), ("d", "s", "t1", *none)]
+    rows += [("e", "s", "t1", "Monday", "x", True, False, True, 1.0), ("f", "s", "t1", "Sunday", "x", True, False, True, 1.0), ("g", "s", "t1", "Sunday", "x", True, True, False, 1.0), ("h", "r", "t1", *none)]
+    factors = spark.createDataFrame([("d", "v", 1.0), ("c", "w", 0.5), ("b", "w", 1.0)], "solve_id string, via string, factor double")
+    searches, solves = paths.searches_of(spark.createDataFrame(rows, SOLVE), factors)
+    of = {r.solve_id: r.search_id for r in solves.collect()}
+    assert of["a"] == of["b"] == of["d"] and len({of[x] for x in "acefgh"}) == 6 and searches.count() == 6
+    assert {r.search_id: sorted(r.targets) for r in searches.collect()}[of["a"]] == ["t1", "t2"]
+
+
+def test_many_targets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(paths, "TARGETS", 5)
+    rows = [(f"x{i}", "s", f"t{i}", "", "", False, False, True, 1.0) for i in range(40)]
+    searches, _ = paths.searches_of(spark.createDataFrame(rows, SOLVE), spark.createDataFrame([], "solve_id string, via string, factor double"))
+    assert 5 <= searches.count() <= 12 and searches.selectExpr("sum(size(targets))").first()[0] == 40
+
+
+def chain(spark, n):
+    """A street of n nodes over as many blocks."""
+    node = spark.createDataFrame([(f"n{i:03}", 0.05 * i, 0.0, 1.0, 40.0, "v", "Referencia", "", "") for i in range(n)], NODE)
+    edge = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(n - 1)], "src string, dst string, base_km double")
+    return node, edge, spark.createDataFrame([], "solve_id string, via string, factor double")
+
+
+def test_a_trip_across_many_blocks(spark):
+    """Twelve blocks take a round each, also after the rounds' tables became one; too few rounds are an error, not a longer way."""
+    node, edge, factors = chain(spark, 24)
+    solves = spark.createDataFrame([("s", "n000", "n023", "", "", False, False, True, 1.0), ("back", "n023", "n000", "", "", False, False, True, 1.0)], SOLVE)
+    rounds = []
+    found = paths.shortest_paths(node, edge, solves, factors, block_nodes=2, told=lambda k, n: rounds.append((k, n))).collect()
+    assert [r.node_id for r in sorted(found, key=lambda r: r.position)] == [f"n{i:03}" for i in range(24)] and {r.solve_id for r in found} == {"s"}
+    assert 10 <= len(rounds) <= 24 and all(n > 0 for _, n in rounds)
+    with pytest.raises(RuntimeError):
+        paths.shortest_paths(node, edge, solves, factors, most_rounds=3, block_nodes=2)
+
+
+def trip(spark, origin, destination):
+    schema = "request_id long, origin struct<lat:double,lon:double>, destination struct<lat:double,lon:double>, ubcf_preferences array<struct<via:string,weight:double>>, ibcf_preferences array<struct<via:string,weight:double>>, day_of_week string, departure_hour double, avoid_congestion boolean, avoid_accidents boolean"
+    return spark.createDataFrame([(1, origin, destination, [], [], "lunes", 8.0, False, False)], schema)
+
+
+def test_steps_without_a_place_and_the_cheapest_neighbour(spark):
+    """The only node with a place is the source, so the target is its cheapest neighbour; steps without a place stand where the step before stands."""
+    rows = [("a", -36.0, -73.0), ("b", None, None), ("c", None, None)]
+    attributes = {"segment_id": "seg", "segment_seq": 0, "tipo_evento": "Referencia", "velocidad_kmh": 40.0, "duracion_hrs": 0.0, "via": "v", "comuna": "x", "penalty_factor": 1.0, "dia_semana": "", "franja_horaria": ""}
+    node = spark.createDataFrame(rows, "node_id string, lat double, lon double").withColumns({k: F.lit(v) for k, v in attributes.items()})
+    edge = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("c", "b", 0.5)], "src string, dst string, base_km double")
+    t = trip(spark, (-36.0, -73.0), (-36.5, -73.0))
+    assert routes.endpoints(t, node, edge).select("src", "dst").first() == ("a", "c")
+    planned, found = routes.solve(t, node, edge)
+    step = routes.steps(planned, found, node).filter("variant = 'baseline'").orderBy("position").collect()
+    assert [(r.node_id, r.lat, r.lon) for r in step] == [("user_origin", -36.0, -73.0), ("a", -36.0, -73.0), ("c", -36.0, -73.0), ("user_destination", -36.5, -73.0)]
+    # without any neighbour the target is the source
+    alone = routes.endpoints(t, node.filter("node_id = 'a'"), edge.limit(0)).first()
+    assert (alone.src, alone.dst) == ("a", "a")
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_order_statistics_by_counting(spark, monkeypatch, seed):
+    from roadlens.operators import selection
+
+    monkeypatch.setattr(selection, "BUCKETS", 8)  # several passes
+    rng = random.Random(seed)
+    values = [None, float("nan"), 1e308, -1e308, 0.0] + [rng.choice([rng.gauss(0, 1), 2.5, rng.gauss(0, 1e9)]) for _ in range(400)]
+    df = spark.createDataFrame([(v, "x" if i % 3 else "y") for i, v in enumerate(values)], "v double, g string")
+    own = sorted(v for v in values if v is not None and v == v)
+    assert selection.at_ranks(df, "v", {None: [0, 7, 200, len(own) - 1, len(own)]}) == {(None, k): own[k] for k in (0, 7, 200, len(own) - 1)}
+    by = {g: sorted(v for i, v in enumerate(values) if ("x" if i % 3 else "y") == g and v is not None and v == v) for g in "xy"}
+    assert selection.at_ranks(df, "v", {"x": [3], "y": [5, 6]}, "g") == {("x", 3): by["x"][3], ("y", 5): by["y"][5], ("y", 6): by["y"][6]}
+    some = df.filter("abs(v) < 10")
+    got = selection.quantiles(some, {"v": [0.0, 0.33, 0.5, 1.0]})
+    for q, x in got.items():
+        assert x == pytest.approx(some.agg(F.percentile("v", F.lit(q[1]))).first()[0])
+    assert selection.quantiles(df.limit(0), {"v": [0.5]}) == {("v", 0.5): None}
+
+
+def test_segments_in_buckets_join_without_a_shuffle(spark, tmp_path):
+    df = spark.range(500).select(F.concat(F.lit("s"), F.col("id") % 40).alias("segment_id"), (500 - F.col("id")).alias("segment_seq"), (F.col("id") % 2).alias("kind")).repartition(6)
+    a = tables.write_segments(df, str(tmp_path / "a"), "segments_a", ["kind"])
+    b = tables.write_segments(df.filter("kind = 0"), str(tmp_path / "b"), "segments_b")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        joined = a.join(b.groupBy("segment_id").count(), "segment_id")
+        assert joined.count() == 250 and "Exchange" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("segments_a", "segments_b"):
+            spark.sql(f"drop table {name}")
+    files = spark.read.parquet(str(tmp_path / "a")).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert len({r.file for r in files}) > 4
+    for key in {(r.file, r.segment_id) for r in files}:
+        seqs = [r.segment_seq for r in sorted(files, key=lambda r: r.at) if (r.file, r.segment_id) == key]
+        assert seqs == sorted(seqs)
+
+
+def test_heat_totals_are_those_of_the_points(spark):
+    spots = spark.createDataFrame([("s", i, 0.0, 0.0, 0.1 * i, "Monday" if i % 2 else None, i % 2 == 0, "" if i % 3 else S.HOUR_BUCKETS[1][2], 6.0 if i % 5 else None, 9.0) for i in range(30)], "segment_id string, segment_seq int, lat double, lon double, weight double, day string, day_missing boolean, bucket string, start_hour double, end_hour double")
+    trips = spark.createDataFrame([(1, "Monday", 8.0), (2, "Monday", 8.0), (3, "Sunday", 8.0), (4, None, 3.0), (5, "Monday", None)], "request_id long, day string, hour double")
+    want = {(r.request_id, r.n, round(r.w, 6)) for r in hotspots.heat(spots, trips).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
+    assert {(r.request_id, r.points, round(r.weight, 6)) for r in hotspots.heat_totals(spots, trips).collect()} == want and len(want) == 5
+    assert hotspots.heat_totals(spots.limit(0), trips).count() == 0
+
+
+def test_nearest_node_of_very_many_far_points(spark):
+    """10,000 points all over the globe and a dense town: bounds lead each to its node, also across the date line, at the poles and past an excluded node."""
+    rng = np.random.default_rng(5)
+    town = np.column_stack([-36.8 + rng.random(400) * 0.02, -73 + rng.random(400) * 0.02])
+    lonely = [(10.0, 179.9999), (-89.9, 20.0), (60.0, -100.0), (60.0, -100.0), (0.0, 0.0)]
+    places = np.vstack([town, lonely])
+    nodes = spark.createDataFrame([(f"n{i:04}", float(a), float(b)) for i, (a, b) in enumerate(places)] + [("none", None, 1.0)], "node_id string, lat double, lon double")
+    asked = np.column_stack([rng.random(10_000) * 180 - 90, rng.random(10_000) * 360 - 180])
+    asked[:3000] = town[rng.integers(0, 400, 3000)] + rng.normal(0, 0.3, (3000, 2))
+    asked[3000:3010] = [(10.0, -179.9999), (90.0, 0.0), (-90.0, 0.0), (60.0, -100.0), (0.0, 180.0), (10.0, 180.0), (10.0, -180.0), (-36.8, -73.0), (0.0, 0.0), (45.0, 45.0)]
+    excluded = [None if i % 3 else f"n{rng.integers(400, 405):04}" for i in range(len(asked))]
+    points_ = spark.createDataFrame([(i, float(a), float(b), x) for i, ((a, b), x) in enumerate(zip(asked, excluded, strict=True))] + [(99_999, None, 1.0, None)], "point_id long, lat double, lon double, skip string")
+    got = {r.point_id: (r.node_id, r.km) for r in spatial.nearest_nodes(points_, nodes, exclude="skip").collect()}
+    p, q = np.radians(asked), np.radians(places)
+    h = np.sin((q[None, :, 0] - p[:, None, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(q[None, :, 0]) * np.sin((q[None, :, 1] - p[:, None, 1]) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(h)))
+    for i, x in enumerate(excluded):
+        if x:
+            km[i, int(x[1:])] = np.inf
+    assert got.pop(99_999) == (None, None) and len(got) == 10_000
+    assert all(got[i][1] == pytest.approx(km[i].min(), abs=1e-6) and km[i, int(got[i][0][1:])] == pytest.approx(km[i].min(), abs=1e-6) for i in got)
+    assert got[3003][0] == ("n0402" if excluded[3003] != "n0402" else "n0403")  # ties go to the lesser name
