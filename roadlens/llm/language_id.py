@@ -22,10 +22,12 @@ Extra columns are ignored. With no labelled rows at all nothing is accepted. Emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ EACH = 60
 MOST_LABELS = 500
 BUCKETS = 1 << 15
 BLOCK = 2 << 20
+#: What rows are grouped by for evidence.
+GROUPS = ("declared", "suffix", "host", "domain")
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +104,54 @@ def text_posterior(model, most_trigrams: int) -> Column:
     return F.arrow_udf(of, "array<double>")
 
 
-def _softmax(scores: str) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _matrix(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, n) numbers of a column of lists, 0 where a list is null or empty, and which rows have numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)) > 0
+    out = np.zeros((len(column), n))
+    out[there] = np.asarray(column.flatten(), np.float64).reshape(-1, n)
+    return out, there
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
+    return pa.array([x if k else [] for x, k in zip(values.tolist(), there.tolist(), strict=True)], pa.list_(pa.float64()))
+
+
+def _posterior(n: int) -> Callable:
+    """Function of a column of log likelihoods: their posterior under equal priors."""
+
+    def of(column: pa.Array) -> pa.Array:
+        scores, there = _matrix(column, n)
+        return _lists(_softmax(scores) if n else scores, there)
+
+    return F.arrow_udf(of, "array<double>")
+
+
+def _fusion(share: list[float], weight: float) -> Callable:
+    """Function of scores, p and, for each of GROUPS, the group's sums and size: the posterior with all evidence. A row's own p is taken off its groups."""
+
+    def of(scores: pa.Array, p: pa.Array, *groups: pa.Array) -> pa.Array:
+        n, overall = len(share), np.array(share)
+        (score, there), (own, judged) = _matrix(scores, n), _matrix(p, n)
+        if not n:
+            return _lists(score, there)
+        sums = {by: np.where((m := _matrix(groups[2 * i], n))[1][:, None], m[0] - own, 0.0) for i, by in enumerate(GROUPS)}
+        size = lambda c: np.where(np.asarray(c.is_valid()), np.asarray(pa.compute.fill_null(c, 0), np.float64) - judged, 0.0)
+        sizes = {by: size(groups[2 * i + 1])[:, None] for i, by in enumerate(GROUPS)}
+        smooth = lambda by, prior: (sums[by] + weight * prior) / (sizes[by] + weight)
+        prior = smooth("host", smooth("domain", overall))
+        logs = score + np.log(np.maximum(prior, 1e-9))
+        for by in ("declared", "suffix"):  # P(value | language) against P(value), with the overall shares as smoothing
+            told = smooth(by, overall) / overall
+            logs += np.log(told, out=np.zeros_like(told), where=told > 0)
+        return _lists(_softmax(logs), there)
+
+    return F.arrow_udf(of, "array<double>")
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[str], text: Column, declared: Column, suffix: Column, host: Column, domain: Column, most_trigrams: int = 200, min_confidence: float = 0.5, weight: float = 5.0) -> DataFrame:
@@ -115,8 +163,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[st
     declared = F.regexp_extract(F.lower(declared), "^[a-z]+", 0)
     declared = F.when(declared.isNull() | (declared == ""), None).when(declared.isin(languages), declared).otherwise("other")
     slim = rows.select(*keys, declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), domain.alias("domain"), score(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("scores"))
-    slim = C.materialise(slim.withColumn("p", _softmax("scores")))
     n_languages = len(languages)
+    slim = C.materialise(slim.withColumn("p", _posterior(n_languages)("scores")))
     sums = [F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(n_languages)]
 
     def gather(by: str) -> DataFrame:
@@ -126,25 +174,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keys: list[st
         return g.select(f"{by}_key", f"{by}_n", F.array(*[f"s{i}" for i in range(n_languages)]).alias(f"{by}_sum"))
 
     t = slim
-    for by in ("declared", "suffix", "host", "domain"):
+    for by in GROUPS:
         g = gather(by)
         t = t.join(g, F.col(by) == F.col(f"{by}_key"), "left")  # slim rows; Spark broadcasts the groups only if they are small
     overall = slim.filter(F.size("p") > 0).agg(F.count(F.lit(1)), *sums).first()
     total = [float(x or 0.0) for x in overall[1:]]
     share = [(x + 1.0) / (overall[0] + n_languages) for x in total]
-    own = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))
-    one = F.when(F.size("p") > 0, 1).otherwise(0)
-    logs = []
-    for i in range(n_languages):
-        part = lambda by, i=i: F.coalesce(F.get(f"{by}_sum", F.lit(i)) - own(i), F.lit(0.0))
-        size = lambda by: F.coalesce(F.col(f"{by}_n") - one, F.lit(0))
-        by_domain = (part("domain") + weight * share[i]) / (size("domain") + weight)
-        prior = (part("host") + weight * by_domain) / (size("host") + weight)
-        # P(value | language) against P(value), with the overall shares as smoothing
-        told = [F.coalesce(F.log((part(by) + weight * share[i]) / (size(by) + weight) / share[i]), F.lit(0.0)) for by in ("declared", "suffix")]
-        logs.append(F.get("scores", F.lit(i)) + F.log(F.greatest(prior, F.lit(1e-9))) + sum(told, F.lit(0.0)))
-    t = t.withColumn("logs", F.array(*logs) if logs else F.array().cast("array<double>"))
-    t = t.withColumn("fused", F.when(F.size("scores") > 0, _softmax("logs")))
+    fused = _fusion(share, weight)("scores", "p", *[c for by in GROUPS for c in (f"{by}_sum", f"{by}_n")])
+    t = t.withColumn("fused", F.when(F.size("scores") > 0, fused))
     names = F.array(*[F.lit(x) for x in languages]).cast("array<string>")
     best = lambda x: F.get(names, F.array_position(x, F.array_max(x)).cast("int") - 1)
     confidence = F.coalesce(F.array_max("fused"), F.lit(0.0))

@@ -600,6 +600,24 @@ def test_language_id_is_the_fusion(spark):
         language_id.train(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang")), "text", "lang", "doc_id")
 
 
+def test_language_id_of_many_labels(spark):
+    """150 labels are fused in about the time of 4: cost does not grow with their square."""
+    import time
+
+    rng = np.random.default_rng(3)
+    letters = np.array([chr(c) for c in range(97, 123)])
+    rows = [(i, "".join(rng.choice(letters, 60)), "en", "http://a.b.com/x") for i in range(300)]
+    pages = spark.createDataFrame([(i, url, f"<html lang={lang}>{text}") for i, text, lang, url in rows], "page_id long, url string, html string").cache()
+    took = []
+    for n in (4, 4, 150):
+        table = np.log(rng.dirichlet(np.ones(language_id.BUCKETS), n))
+        began = time.time()
+        got = language_id.identify_pages(pages, ([f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)], table)).collect()
+        took.append(time.time() - began)
+        assert len(got) == 300 and all(0 < r.confidence <= 1 for r in got)
+    assert took[2] < 3 * took[1] + 5
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     """run() on a small table with nulls, repeats and clashing columns, each stage against what it is to do."""
     import corpus_pipeline
