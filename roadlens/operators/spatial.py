@@ -26,7 +26,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M)
     step = radius_m * 1.001 / DEGREE_M
     # longitude cells widen with latitude: rows of cells share the width at their own pole-ward edge, neighbours included
     row = lambda lat: F.floor(lat / step)
-    width = lambda r: step / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.abs(r) + 2) * step))), F.lit(1e-3))
+    width = lambda r: _width(r, step)
     l = left.filter("lat is not null and lon is not null").withColumn("cell_y", row(F.col("lat")))  # noqa: E741
     l = l.withColumn("cell_x", F.floor(F.col("lon") / width(F.col("cell_y"))))  # noqa: E741
     r = right.filter("lat is not null and lon is not null").select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
@@ -36,11 +36,67 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M)
     return l.join(r, ["cell_y", "cell_x"]).filter(near).drop("cell_y", "cell_x")
 
 
+#: Fine cells along each side of a cell of the radius join.
+FINE = 8
+
+
+def _fine_cells(points: DataFrame, radius_m: float) -> DataFrame:
+    """points with the cell (cell_y, cell_x) of the radius join and the fine cell (fine_y, fine_x) in it."""
+    step = radius_m * 1.001 / DEGREE_M
+    cell_y = F.floor(F.col("lat") / step)
+    width = _width(cell_y, step)
+    cell_x = F.floor(F.col("lon") / width)
+    inside = lambda x: F.floor((x - F.floor(x)) * FINE).cast("int")
+    return points.filter("lat is not null and lon is not null").withColumns({"cell_y": cell_y, "cell_x": cell_x, "fine_y": inside(F.col("lat") / step), "fine_x": inside(F.col("lon") / width)})
+
+
+def _width(row: Column, step: float) -> Column:
+    """Degrees of longitude of the cells of a row: they widen with latitude, by the width at the pole-ward edge of the next row."""
+    return step / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.abs(row) + 2) * step))), F.lit(1e-3))
+
+
+def _apart(radius_m: float) -> tuple[Column, Column]:
+    """Whether all points of the boxes l_ and r_ are within the radius of each other, and whether none are. Margins cover the flat map's error."""
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"r_{c}0") - F.col(f"l_{c}1"), F.col(f"l_{c}0") - F.col(f"r_{c}1"))
+    span = lambda c: F.greatest(F.col(f"r_{c}1") - F.col(f"l_{c}0"), F.col(f"l_{c}1") - F.col(f"r_{c}0"))
+    high = F.greatest(*[F.abs(F.col(c)) for c in ("l_y0", "l_y1", "r_y0", "r_y1")])
+    least, most = F.cos(F.radians(high)), F.cos(F.radians(F.greatest(F.lit(0.0), high - 2 * radius_m / DEGREE_M)))
+    metres = lambda y, x: F.sqrt(y * y + x * x) * DEGREE_M
+    return metres(span("y"), span("x") * most) * 1.001 <= radius_m, metres(gap("y"), gap("x") * least) * 0.999 > radius_m
+
+
+def worst_within(roads: DataFrame, spots: DataFrame, key: list[str], radius_m: float = RADIUS_M) -> DataFrame:
+    """key columns with near_penalty, the largest penalty_factor of the spots within the radius; keys without any are left out.
+
+    Boxes of fine cells meet before points do: a box that lies wholly within the radius of another gives it its largest penalty at once, and points are
+    compared only for pairs of boxes that the radius cuts and that have something worse to offer. So one crowded cell never meets another point by point.
+    """
+    cell, fine = ["cell_y", "cell_x"], ["cell_y", "cell_x", "fine_y", "fine_x"]
+    box = lambda p: [f(c).alias(f"{p}_{n}{i}") for c, n in (("lat", "y"), ("lon", "x")) for i, f in ((0, F.min), (1, F.max))]
+    l, r = saved(_fine_cells(roads.select(*key, "lat", "lon"), radius_m)), saved(_fine_cells(spots.select("lat", "lon", "penalty_factor"), radius_m))  # noqa: E741
+    lc = l.groupBy(*fine).agg(*box("l")).withColumnsRenamed({c: f"l_{c}" for c in fine})
+    rc = r.groupBy(*fine).agg(*box("r"), F.max("penalty_factor").alias("most")).withColumnsRenamed({c: f"r_{c}" for c in fine})
+    # a cell's boxes go to the cells around it; rows of other latitudes have other widths, so their columns follow from the box's longitudes
+    step = radius_m * 1.001 / DEGREE_M
+    rc = rc.withColumn("l_cell_y", F.explode(F.array(*[F.col("r_cell_y") + d for d in (-1, 0, 1)])))
+    width = _width(F.col("l_cell_y"), step)
+    rc = rc.withColumn("l_cell_x", F.explode(F.sequence(F.floor(F.col("r_x0") / width) - 1, F.floor(F.col("r_x1") / width) + 1)))
+    whole, never = _apart(radius_m)
+    pairs = saved(lc.join(rc, [f"l_{c}" for c in cell]).filter(~never).withColumn("whole", whole))  # FINE * FINE boxes of a cell at most
+    sure = pairs.filter("whole").groupBy(*[f"l_{c}" for c in fine]).agg(F.max("most").alias("sure"))
+    same = [f"l_{c}" for c in fine]
+    open_ = pairs.filter("not whole").join(sure, same, "left").filter("sure is null or most > sure")
+    points = l.withColumnsRenamed({"lat": "at_lat", "lon": "at_lon", **{c: f"l_{c}" for c in fine}})
+    cut = points.join(open_.select(*same, *[f"r_{c}" for c in fine], "sure"), same).join(r.withColumnsRenamed({c: f"r_{c}" for c in fine}), [f"r_{c}" for c in fine])
+    cut = cut.filter("sure is null or penalty_factor > sure").filter(S.haversine_km(F.col("at_lat"), F.col("at_lon"), F.col("lat"), F.col("lon")) * 1000 <= radius_m)
+    found = points.join(sure, same).select(*key, F.col("sure").alias("near")).unionByName(cut.select(*key, F.col("penalty_factor").alias("near")))
+    return found.groupBy(*key).agg(F.max("near").alias("near_penalty"))
+
+
 def apply_penalties(roads: DataFrame, incidents: DataFrame, key: list[str], radius_m: float = RADIUS_M) -> DataFrame:
     """roads with the largest penalty of themselves and of incidents within the radius."""
     spots = incidents.groupBy("lat", "lon").agg(F.max("penalty_factor").alias("penalty_factor"))
-    worst = radius_pairs(roads.select(*key, "lat", "lon"), spots, radius_m).groupBy(*key).agg(F.max("r_penalty_factor").alias("near_penalty"))
-    joined = roads.join(worst, key, "left")
+    joined = roads.join(worst_within(roads, spots, key, radius_m), key, "left")
     penalty = F.greatest(F.coalesce("penalty_factor", F.lit(1.0)), F.coalesce("near_penalty", F.lit(1.0)))
     return joined.withColumn("penalty_factor", penalty).drop("near_penalty").select(*roads.columns)
 

@@ -484,3 +484,27 @@ def test_nearest_node_of_very_many_far_points(spark):
     assert got.pop(99_999) == (None, None) and len(got) == 10_000
     assert all(got[i][1] == pytest.approx(km[i].min(), abs=1e-6) and km[i, int(got[i][0][1:])] == pytest.approx(km[i].min(), abs=1e-6) for i in got)
     assert got[3003][0] == ("n0402" if excluded[3003] != "n0402" else "n0403")  # ties go to the lesser name
+
+
+@pytest.mark.parametrize("penalties", [[1.75], [1.35, 1.75], [1.0 + k / 50 for k in range(50)]])
+def test_worst_penalty_equals_brute_force(spark, penalties):
+    """Points over a few crowded cells and sparse ones, near the equator and far from it."""
+    rng = np.random.default_rng(8)
+    place = lambda n: np.vstack([np.column_stack([c + rng.random(n) * w, -73 + rng.random(n) * w]) for c, w in ((-36.8, 0.001), (-36.7, 0.02), (0.0, 0.002), (68.0, 0.004))])
+    roads, spots = place(150), place(100)
+    worth = rng.choice(penalties, len(spots))
+    left = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(roads)] + [(9999, None, 1.0)], "key long, lat double, lon double")
+    right = spark.createDataFrame([(float(a), float(b), float(w)) for (a, b), w in zip(spots, worth, strict=True)] + [(None, 1.0, 9.0)], "lat double, lon double, penalty_factor double")
+    got = {r.key: r.near_penalty for r in spatial.worst_within(left, right, ["key"]).collect()}
+    p, q = np.radians(roads), np.radians(spots)
+    h = np.sin((q[None, :, 0] - p[:, None, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(q[None, :, 0]) * np.sin((q[None, :, 1] - p[:, None, 1]) / 2) ** 2
+    near = 2 * 6371.0 * np.arcsin(np.sqrt(h)) * 1000 <= 60
+    assert got == {i: worth[near[i]].max() for i in range(len(roads)) if near[i].any()}
+
+
+def test_worst_penalty_in_a_crowded_cell(spark):
+    """100,000 points and 100,000 spots in one cell: ten thousand million pairs, of which next to none are compared."""
+    spread = lambda seed, n: spark.range(n).select(F.col("id").alias("key"), (F.lit(-36.8) + F.rand(seed) * 0.0004).alias("lat"), (F.lit(-73.0) + F.rand(seed + 1) * 0.0004).alias("lon"))
+    spots = spread(5, 100_000).withColumn("penalty_factor", F.when(F.col("key") % 2 == 0, 1.75).otherwise(1.35))
+    got = spatial.worst_within(spread(1, 100_000), spots, ["key"]).groupBy("near_penalty").count().collect()
+    assert [tuple(r) for r in got] == [(1.75, 100_000)]
