@@ -1,6 +1,12 @@
 """A training-data pipeline over `documents`: each stage's rows are written as Parquet and read again by the next.
 
 ORACLE_SQL is None: language ID and SimHash can't be expressed in SQL; tests hold the stages against brute force.
+
+Defined results: documents whose text is null, empty or without letters are rejected by the first stage. A null doc_id loses against any other among equal texts, names no
+component of near copies (its row stays) and is packed like any other. Rows of a repeated id are told apart by their texts: only the near copy among
+them goes, and rows that repeat id and text are one after the second stage. Ties are broken by id: the largest stays among equal texts, the smallest among near
+copies. Texts of any length are read whole. A null source is a source of its own, the last. Columns other than those of documents are left out by the
+first stage, so their names can't clash. An empty table, or one without accepted documents, gives an empty result.
 """
 
 from __future__ import annotations
