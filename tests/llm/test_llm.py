@@ -514,6 +514,32 @@ def test_nearest_in_a_large_group_of_near_copies(spark):
         assert [r[1] for r in sorted(rows)] == np.argsort(-cos)[:5].tolist()
 
 
+@pytest.mark.parametrize(("dim", "levels"), [(64, 1), (64, 2), (64, 3), (7, 2), (1, 2)])
+def test_bounds_of_the_levels(dim, levels):
+    """A score is off by no more than its level's bound; two levels leave few rows open, one level a third or more."""
+    x = np.random.default_rng(3).normal(size=(4000, dim))
+    quantiser = ann.Quantiser(x[:2000], levels=levels)
+    codes = quantiser.codes(x)
+    errors = quantiser.errors(x, codes)
+    assert codes.shape == (4000, levels, quantiser.parts) and errors.shape == (4000, levels)
+    assert (np.diff(errors.mean(0)) < 0).all()
+    queries = x[::100]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit[::100].T
+    cos[np.arange(0, 4000, 100), np.arange(40)] = -9
+    fifth = np.sort(cos, 0)[-5]
+    score = np.zeros((40, 4000), np.float32)
+    shares = []
+    for level, tables in enumerate(quantiser.tables(queries)):
+        for table, code in zip(tables, ann.packed(codes)[:, level].T, strict=True):
+            score += table[:, code]
+        off = np.abs(score.T - unit @ unit[::100].T)
+        assert (off <= errors[:, level, None]).all()
+        shares.append((score.T + errors[:, level, None] >= fifth).mean())
+    if dim == 64:
+        assert shares[0] > 0.3 and all(s < 0.05 for s in shares[1:])
+
+
 def test_nearest_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
