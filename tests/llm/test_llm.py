@@ -522,7 +522,7 @@ def test_bounds_of_the_levels(dim, levels):
     codes = quantiser.codes(x)
     errors = quantiser.errors(x, codes)
     assert codes.shape == (4000, levels, quantiser.parts) and errors.shape == (4000, levels)
-    assert (np.diff(errors.mean(0)) < 0).all()
+    assert dim == 1 or (np.diff(errors.mean(0)) < 0).all()  # of one component nothing is left after the first level
     queries = x[::100]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = unit @ unit[::100].T
