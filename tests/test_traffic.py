@@ -1,5 +1,6 @@
 """Golden values, quirks and properties of the traffic operators."""
 
+import collections
 import heapq
 import math
 import random
@@ -328,11 +329,11 @@ def hot_ratings():
 
 
 @pytest.mark.parametrize("strategy", ["ubcf", "ibcf"])
-@pytest.mark.parametrize(("held", "heavy"), [(4_000_000, 2048), (60, 7)])
-def test_scores_of_hot_items_equal_whole_matrices(spark, hot_ratings, strategy, held, heavy):
-    """In one block, and in many small ones with the hot items joined by themselves and their raters paired block against block."""
+@pytest.mark.parametrize("held", [4_000_000, 60])
+def test_scores_of_hot_items_equal_whole_matrices(spark, hot_ratings, strategy, held):
+    """In one block, and in many small ones with the hot items joined by themselves."""
     m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
-    t = cf.scores(m, strategy, held=held, heavy=heavy).withColumnsRenamed({"user_id": "user_no", "via": "place"}).join(users, "user_no").join(vias, "place")
+    t = cf.scores(m, strategy, held=held).withColumnsRenamed({"user_id": "user_no", "via": "place"}).join(users, "user_no").join(vias, "place")
     got = {(r.user_id, r.via): r.score for r in t.collect()}
     assert got == pytest.approx(brute_scores(hot_ratings, strategy))
 
@@ -347,13 +348,39 @@ def test_limits_keep_the_best(spark, hot_ratings):
     assert all(r.user_id < 50 for r in few)
 
 
-def test_raters_of_a_hot_item_are_paired_in_blocks(spark):
-    """Each pair once; no key of the join holds more than a block against a block."""
-    m = spark.range(3000).select(F.col("id").alias("k"), F.lit(0).alias("o"), F.lit(1.0).alias("rating"))
-    pairs = cf.rater_pairs(m, heavy=100)
-    assert pairs.count() == 3000 * 2999 // 2 == pairs.distinct().count()
-    keys = m.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(30))).groupBy("own").count().agg(F.max("count")).first()[0]
-    assert keys < 200  # so a task pairs 200 * 200 at most, not 3,000 * 3,000
+@pytest.mark.parametrize("of", ["user_id", "via"])
+@pytest.mark.parametrize("held", [4_000_000, 200, 20])
+def test_cosines_of_raters_of_a_hot_item(spark, hot_ratings, of, held):
+    """One item that everyone has rated: each ordered pair once, whatever a task holds (20: rows longer than that are joined by themselves)."""
+    over = "via" if of == "user_id" else "user_id"
+    m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
+    names = {r[0]: r[1] for r in (users.select("user_no", "user_id") if of == "user_id" else vias.select("place", "via")).collect()}
+    got = [(names[r.a], names[r.b], r.sim) for r in cf.cosines(m, of, over, held).collect()]
+    rows = {}
+    for u, i, x in hot_ratings:
+        rows.setdefault(u if of == "user_id" else i, {})[i if of == "user_id" else u] = x
+    norm = {k: sum(x * x for x in v.values()) ** 0.5 for k, v in rows.items()}
+    want = {(a, b): sum(x * rows[b][o] for o, x in rows[a].items() if o in rows[b]) / norm[a] / norm[b] for a in rows for b in rows if a != b and rows[a].keys() & rows[b].keys()}
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == pytest.approx(want)
+    named = cf.similarity(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"), of, over)
+    assert {(r.a, r.b): r.sim for r in named.collect()} == pytest.approx(want)
+
+
+def test_entries_are_sent_only_to_blocks_that_need_them(spark):
+    """A rare item's entries go to as many blocks as it has raters at most, a hot one's to all."""
+    m = spark.createDataFrame([(u, 0, 1.0) for u in range(1, 501)] + [(u, 1, 1.0) for u in (1, 2)], "user long, mid long, value double")
+    right = m.withColumnRenamed("user", "item")
+    rows = collections.Counter(r.mid for r in cf.sent(m, right, 16).collect())
+    assert rows[0] == 500 * 16 and 2 <= rows[1] <= 4
+    assert collections.Counter(r.block for r in cf.sent(m, right, 1).collect()) == {0: 502}
+
+
+def test_cosines_of_zero_ratings(spark):
+    """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
+    rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
+    got = {(r.a, r.b): r.sim for r in cf.similarity(spark.createDataFrame(rows, "user_id string, via string, rating double"), "user_id", "via").collect()}
+    assert got == {(a, b): 0.0 for a in "abc" for b in "abc" if a != b}
+    assert cf.similarity(spark.createDataFrame([], "user_id string, via string, rating double"), "via", "user_id").count() == 0
 
 
 def test_solves_with_one_source_and_price_are_one_search(spark):
