@@ -375,6 +375,24 @@ def test_entries_are_sent_only_to_blocks_that_need_them(spark):
     assert collections.Counter(r.block for r in cf.sent(m, right, 1).collect()) == {0: 502}
 
 
+def test_names_cost_no_shuffle_of_results(spark, hot_ratings):
+    """Names are put in as results are made: nothing is joined or shuffled after the product."""
+    t = spark.createDataFrame(hot_ratings, "user_id string, via string, rating double")
+    for df in (cf.similarity(t, "via", "user_id"), cf.item_scores(t)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan[: plan.index("MapInArrow")] and "Repartition" not in plan[: plan.index("MapInArrow")]
+
+
+def test_ranges_that_share_nothing_meet_no_common_block():
+    """Entries of 50 separate groups of items: each range of users gets the blocks of its own items, not all."""
+    cut = cf.Cut({r: 10 for r in range(cf.RANGES)}, 50_000, 50_000, cf.RANGES * 10 / 50)
+    asked = {(r, b) for r in range(50) for b in cut.block(np.arange(r * 1000 + 1, r * 1000 + 1000)).tolist()}
+    g, slots = cf._slots(asked, 50, cut.n_blocks)
+    assert 50 <= cut.n_blocks <= 52 and g == 1 and len(slots) <= 150
+    g, slots = cf._slots({(r, b) for r in range(50) for b in range(50)}, 50, 50)  # all meet all: a block's entries go to two parts
+    assert len(slots) <= 100
+
+
 def test_cosines_of_zero_ratings(spark):
     """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
     rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
