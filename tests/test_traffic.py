@@ -393,6 +393,17 @@ def test_ranges_that_share_nothing_meet_no_common_block():
     assert len(slots) <= 100
 
 
+def test_a_search_settles_few_nodes_at_first():
+    """A line of 3,000 nodes whose target lies elsewhere: 500 are settled, the next one waits, and going on from it gives the same costs."""
+    n = 3000
+    row = paths.NO_EDGES | {"names": [str(i) for i in range(n)], "first": np.append(np.arange(n), n - 1).astype(np.int64).tobytes(), "to": np.arange(1, n).tobytes(), "numbers": np.zeros((4, n - 1), np.int32).tobytes(), "prices": np.ones((n - 1, 2)).tobytes(), "incidents": np.ones((1, 12)).tobytes()}
+    block, weights, elsewhere = paths.Block(row), [1.0] * (n - 1), {"x": float("inf")}
+    best, waits = block.settle(weights, elsewhere, {}, {0: 0.0}, 500)
+    assert len(best) == 500 and waits == {(500, None): 500.0}
+    rest, waits = block.settle(weights, elsewhere, best, {500: 500.0}, None)
+    assert not waits and best | rest == block.settle(weights, elsewhere, {}, {0: 0.0})[0]
+
+
 def test_cosines_of_zero_ratings(spark):
     """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
     rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
