@@ -404,6 +404,18 @@ def test_a_search_settles_few_nodes_at_first():
     assert not waits and best | rest == block.settle(weights, elsewhere, {}, {0: 0.0})[0]
 
 
+def test_popular_vias_meet_requests_where_these_are(spark):
+    """Places are the same few for all requests: rows are shuffled by user only, never by place."""
+    r = spark.createDataFrame([("u", f"v{n}", float(n)) for n in range(30)], "user_id string, via string, rating double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = cf.popular(r, spark.range(100).selectExpr("cast(id as string) user_id", "array('v29') known", "2 limit"))
+        assert "SortMergeJoin" not in t._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(x["rank"], x.via) for x in t.collect()} == {(1, "v28"), (2, "v27")} and t.count() == 200
+
+
 def test_cosines_of_zero_ratings(spark):
     """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
     rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
