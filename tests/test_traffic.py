@@ -416,6 +416,18 @@ def test_popular_vias_meet_requests_where_these_are(spark):
     assert {(x["rank"], x.via) for x in t.collect()} == {(1, "v28"), (2, "v27")} and t.count() == 200
 
 
+def test_edges_are_shuffled_few_times(spark):
+    """Pairs are made distinct once, by their ends, and heads are joined where measured edges lie (16 shuffles before)."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n, e = graph.build(points(spark, [("s", str(i), "-36.8", f"-73.{i}", "", "false", i) for i in range(4)], "referencia"))
+        t = paths.edge_costs(n, e)
+        assert t._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 13
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert t.count() == 6  # three pairs, both ways
+
+
 def test_cosines_of_zero_ratings(spark):
     """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
     rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
