@@ -474,6 +474,25 @@ def test_a_trip_across_many_blocks(spark):
         paths.shortest_paths(node, edge, solves, factors, most_rounds=3, block_nodes=2)
 
 
+def test_searches_that_nothing_leaves_write_their_ways_only(spark):
+    """A search that ends in its first round writes the way to its target, and none if there is none: not the six nodes that it has seen (9 rows before)."""
+    node, edge, factors = chain(spark, 12)
+    solves = spark.createDataFrame([("s", "n004", "n006", "", "", False, False, True, 1.0), ("none", "n006", "n000", "", "", False, False, True, 1.0)], SOLVE)
+    rounds = []
+    found = paths.shortest_paths(node, edge, solves, factors, told=lambda k, n: rounds.append((k, n))).collect()
+    assert sorted((r.solve_id, r.position, r.node_id) for r in found) == [("s", i, f"n{4 + i:03}") for i in range(3)] and rounds == [(1, 3)]
+
+
+def test_targets_in_several_lists_are_explored_once(spark, monkeypatch):
+    """Lists of one source and price share their search: each of six nodes is settled once and sent on once at most."""
+    monkeypatch.setattr(paths, "TARGETS", 1)
+    node, edge, factors = chain(spark, 6)
+    solves = spark.createDataFrame([(f"s{i}", "n000", f"n{i:03}", "", "", False, False, True, 1.0) for i in range(1, 6)], SOLVE)
+    rounds = []
+    found = paths.shortest_paths(node, edge, solves, factors, block_nodes=2, told=lambda k, n: rounds.append(n)).collect()
+    assert sorted((r.solve_id, r.position, r.node_id) for r in found) == [(f"s{i}", k, f"n{k:03}") for i in range(1, 6) for k in range(i + 1)] and sum(rounds) <= 11
+
+
 def trip(spark, origin, destination):
     schema = "request_id long, origin struct<lat:double,lon:double>, destination struct<lat:double,lon:double>, ubcf_preferences array<struct<via:string,weight:double>>, ibcf_preferences array<struct<via:string,weight:double>>, day_of_week string, departure_hour double, avoid_congestion boolean, avoid_accidents boolean"
     return spark.createDataFrame([(1, origin, destination, [], [], "lunes", 8.0, False, False)], schema)
