@@ -493,6 +493,18 @@ def test_targets_in_several_lists_are_explored_once(spark, monkeypatch):
     assert sorted((r.solve_id, r.position, r.node_id) for r in found) == [(f"s{i}", k, f"n{k:03}") for i in range(1, 6) for k in range(i + 1)] and sum(rounds) <= 11
 
 
+def test_blocks_are_packed_as_their_edges_pass():
+    """Blocks of sorted edges are packed from a stream, wherever its batches end, and hold what a block by itself gives; nodes aren't sorted for it."""
+    row = lambda b, s, d, db: {"src": s, "dst": d, "via": "v", "base_km": 1.0, "static_factor": 1.0, "block": b, "dst_block": db, "day": "", "bucket": "", "incident": [1.0] * 11 + [float(s)]}
+    t = paths.pa.Table.from_pylist([row("a", "2", "1", "a"), row("a", "1", "2", "a"), row("b", "3", "1", "a"), row("b", "3", "4", "b"), row("b", "4", "3", "b"), row("c", "5", "5", "c")])
+    want = [paths._pack([paths.pa.scalar(b)], t.slice(i, n)).to_pylist()[0] for b, i, n in (("a", 0, 2), ("b", 2, 3), ("c", 5, 1))]
+    for n in (1, 2, 4, 9):
+        assert [r for b in paths._pack_sorted(iter(t.to_batches(n))) for r in b.to_pylist()] == want
+    assert [r["names"] for r in want] == [["2", "1"], ["3", "4"], ["5"]] and [r["out_names"] for r in want] == [[], ["1"], []]
+    price = {"prefs": {}, "default_factor": 1.0, "penalties": True, "day": "", "bucket": "", "avoid_congestion": True, "avoid_accidents": True}
+    assert paths.Block(want[1]).incident[:, -1].tolist() == [3.0, 4.0] and paths.Block(want[1]).weights(price) == [1.0] * 3
+
+
 def trip(spark, origin, destination):
     schema = "request_id long, origin struct<lat:double,lon:double>, destination struct<lat:double,lon:double>, ubcf_preferences array<struct<via:string,weight:double>>, ibcf_preferences array<struct<via:string,weight:double>>, day_of_week string, departure_hour double, avoid_congestion boolean, avoid_accidents boolean"
     return spark.createDataFrame([(1, origin, destination, [], [], "lunes", 8.0, False, False)], schema)
