@@ -366,6 +366,32 @@ def test_cosines_of_raters_of_a_hot_item(spark, hot_ratings, of, held):
     assert {(r.a, r.b): r.sim for r in named.collect()} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("numbers", [[], [5], [7] * 9, range(40), [3, 90, 70_000, 20_000_000], [9, 2, 300], [1 << 30, 1, 70_000]])
+def test_packed_numbers_come_back(numbers):
+    x = np.array(list(numbers), np.int32)
+    assert cf._ints_of(cf._ints(x)).tolist() == x.tolist()
+    for y in (x / 7, x % 3 * 0.1):
+        assert cf._floats_of(cf._floats(y)).tolist() == y.tolist()
+
+
+def test_neighbours_are_packed_tightly(spark, hot_ratings):
+    """A neighbour takes about a byte for its number and one for its product, with what a row needs besides (12 bytes before)."""
+    m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
+    rows = cf.neighbours(*cf._rows(m, "user_id", "via")).collect()
+    n = sum(len(cf._ints_of(r.mids)) for r in rows)
+    assert n == 120 * 119 and sum(len(r.mids) + len(r.values) for r in rows) < 6 * n
+
+
+def test_only_the_ends_of_long_lists_are_kept(spark, hot_ratings):
+    """Those of a request that scored vias answer in full; others keep all for the vias without a score."""
+    r = spark.createDataFrame(hot_ratings, "user_id string, via string, rating double")
+    for limit in (12, 200):
+        q = spark.createDataFrame([(f"u{u:03}", ["i3"], limit) for u in range(0, 120, 9)], "user_id string, known_vias array<string>, limit int")
+        whole, some = cf.recommend(r, q, "ubcf"), cf.recommend(r, q, "ubcf", ends=2)
+        assert sorted(cf.extremes(some, 2).collect()) == sorted(cf.extremes(whole, 2).collect())
+        assert some.count() < whole.count() if limit == 12 else some.count() == whole.count()
+
+
 def test_entries_are_sent_only_to_blocks_that_need_them(spark):
     """A rare item's entries go to as many blocks as it has raters at most, a hot one's to all."""
     m = spark.createDataFrame([(u, 0, 1.0) for u in range(1, 501)] + [(u, 1, 1.0) for u in (1, 2)], "user long, mid long, value double")
