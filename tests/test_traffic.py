@@ -374,6 +374,20 @@ def test_packed_numbers_come_back(numbers):
         assert cf._floats_of(cf._floats(y)).tolist() == y.tolist()
 
 
+@pytest.mark.parametrize("weigh", [None, "left", "count"])
+def test_users_at_once_get_what_each_gets_alone(weigh):
+    rng = np.random.default_rng(3)
+    held = cf.Held(rng.integers(1, 30, 200).astype(np.int32), rng.integers(40, 60, 200).astype(np.int32), rng.integers(-1, 6, 200).astype(float), scale=(np.arange(1, 40), rng.random(39)))
+    users = [(u, u % 4 + 1 if u % 3 else None, [np.unique(rng.integers(1, 40, 6))], [], [np.array([41, u, 99])]) for u in range(38, 38 + held.most)]
+    users = [(u, limit, mids, [rng.random(len(mids[0]))], out) for u, limit, mids, _, out in users]
+    together = held.results(users, weigh, True)
+    for user, (items, score) in zip(users, together, strict=True):
+        alone = held.results([user], weigh, True)[0]
+        assert items.tolist() == alone[0].tolist() and score.tolist() == pytest.approx(alone[1].tolist())
+        assert all(i > user[0] and i not in (41, 99) for i in items)
+    assert held.most == 64 and sum(len(items) for items, _ in together) > 64
+
+
 def test_neighbours_are_packed_tightly(spark, hot_ratings):
     """A neighbour takes about a byte for its number and one for its product, with what a row needs besides (12 bytes before)."""
     m, users, vias = cf.numbered(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"))
