@@ -468,6 +468,12 @@ def test_edges_are_shuffled_few_times(spark):
     assert t.count() == 6  # three pairs, both ways
 
 
+def test_pairs_come_in_runs(spark, hot_ratings):
+    """A user's pairs follow each other, then the same turned around, so that one column of written rows hardly changes."""
+    t = cf.similarity(spark.createDataFrame(hot_ratings, "user_id string, via string, rating double"), "user_id", "via").collect()
+    assert sum(x.a == y.a or x.b == y.b for x, y in zip(t[:-1], t[1:], strict=True)) > 0.8 * len(t)
+
+
 def test_cosines_of_zero_ratings(spark):
     """Pairs that share an item have a row, also where a row of zeros or nulls makes it 0; an empty table has none."""
     rows = [("a", "x", 0.0), ("b", "x", 2.0), ("c", "x", None), ("c", "y", 1.0), ("d", "z", 1.0)]
